@@ -2,6 +2,7 @@
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,24 +15,23 @@ KDF_ITERATIONS = 10_000
 KEY_BYTES = 32
 NONCE_BYTES = 12
 
+REMEMBERED_KEYS = 65_536
+
 
 @F.pandas_udf(T.BinaryType())
 def derive_key(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Key of a (seed, salt) pair.
+    """Key of a (seed, salt) pair, null when either is null.
 
-    Apply it to the request rows before they are joined to content, where each pair occurs once;
-    pairs that repeat inside an Arrow batch are derived once.
+    The last pairs of a task are remembered, so over rows partitioned by pair each is derived once.
     """
+
+    @lru_cache(maxsize=REMEMBERED_KEYS)
+    def derive(seed: str, salt: str) -> bytes:
+        return hashlib.pbkdf2_hmac(KDF_HASH, seed.encode(), salt.encode(), KDF_ITERATIONS, KEY_BYTES)
+
     for seeds, salts in batches:
-        pairs = list(zip(seeds, salts))
-        keys = {
-            (seed, salt): hashlib.pbkdf2_hmac(
-                KDF_HASH, seed.encode(), salt.encode(), KDF_ITERATIONS, KEY_BYTES
-            )
-            for seed, salt in set(pairs)
-            if seed is not None and salt is not None
-        }
-        yield pd.Series([keys.get(pair) for pair in pairs], dtype="object")
+        keys = [None if None in pair else derive(*pair) for pair in zip(seeds, salts)]
+        yield pd.Series(keys, dtype="object")
 
 
 def seal_content(payload: Column, key: Column) -> Column:

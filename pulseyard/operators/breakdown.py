@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..functions.arithmetic import percent_half_even
 from ..functions.clock import format_duration
+from .nested import server_place
 
 # Rows kept per breakdown, and the eight breakdowns of the statistics page
 # (segment, dimension, measure, metric name, count name).
@@ -80,8 +81,7 @@ def count_by_key(
 def _facts(instances: DataFrame) -> DataFrame:
     """(dim, key, amount, seq) of every instance and server, from one explode.
 
-    ``seq`` orders instances by position and servers by position inside their instance; a list has
-    at most 64 servers, so six bits hold the position.
+    ``seq`` orders instances by position and servers by position inside their instance.
     """
 
     def fact(dim: str, key: Column, amount: Column, seq: Column) -> Column:
@@ -92,7 +92,7 @@ def _facts(instances: DataFrame) -> DataFrame:
             seq.alias("seq"),
         )
 
-    base = F.shiftleft(F.col("instance_seq").cast("bigint"), 6)
+    base = server_place(F.col("instance_seq"), F.lit(0))
     own = F.array(
         fact("version", F.col("version"), F.lit(0), base),
         fact("ip_address", F.col("ip_address"), F.col("uptime"), base),
@@ -101,7 +101,7 @@ def _facts(instances: DataFrame) -> DataFrame:
         F.transform(
             "servers",
             lambda s, i: F.array(
-                *[fact(d, s[d], s["clientnum"], base + i) for d in ("game", "gametype", "map")]
+                *[fact(d, s[d], s["clientnum"], server_place(F.col("instance_seq"), i)) for d in ("game", "gametype", "map")]
             ),
         )
     )

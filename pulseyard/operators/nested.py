@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import connect_string, occupancy_label, strip_color_codes
@@ -17,6 +17,14 @@ def flatten_nested(
     )
 
 
+def server_place(seq: Column, pos: Column) -> Column:
+    """One number that orders servers by instance, then by position; a list has at most 64 servers.
+
+    A single number keeps aggregates over it in hash form, where a struct would force a sort.
+    """
+    return F.shiftleft(seq.cast("bigint"), 6) + pos
+
+
 def attach_parent(
     instances: DataFrame, nested: str = "servers", prefix: str = "instance_", key: str = "instance_seq"
 ) -> DataFrame:

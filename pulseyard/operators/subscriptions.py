@@ -97,20 +97,23 @@ def subscribed_content(
 ) -> DataFrame:
     """Encrypted content per request and plan, as ``(email, instance_id, plan_id, content, type)``.
 
-    Keys are derived on the distinct requests, before the joins multiply them. A key takes
-    milliseconds of CPU and few bytes, so these rows are spread over all cores by number. Items
-    whose content is missing are left out.
+    A key takes milliseconds of CPU. Items are partitioned by request before their contents join, so
+    the key of a request with items is derived once, and the number of partitions is set by cores
+    because these narrow rows are too small for their size to ask for more than one. (By hash and
+    not by the columns: an equal partitioning left by the distinct would be taken over, merged.)
+    Items whose content is missing are left out.
     """
     cores = requests.sparkSession.sparkContext.defaultParallelism
     complete = require_params(requests).filter(F.col("error").isNull())
-    keyed = (
-        complete.select("email", "instance_id")
-        .distinct()
-        .repartition(cores, "email", "instance_id")
+    asked = complete.select("email", "instance_id").distinct()
+    items = (
+        entitlements(asked, customers, subscriptions, plan_meta)
+        .select("email", "instance_id", "plan_id", "content_url")
+        .repartition(cores, F.xxhash64("email", "instance_id"))
         .withColumn("_key", derive_key("email", "instance_id"))
     )
-    items = entitlements(keyed, customers, subscriptions, plan_meta).join(contents, "content_url")
-    return items.filter(F.col("payload").isNotNull()).select(
+    sealed = items.join(contents.filter(F.col("payload").isNotNull()), "content_url")
+    return sealed.select(
         "email",
         "instance_id",
         "plan_id",

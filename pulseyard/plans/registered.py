@@ -43,7 +43,13 @@ def _registry(spark, folder) -> DataFrame:
 
 
 def _servers(spark, folder) -> DataFrame:
-    return nested.flatten_nested(_registry(spark, folder))
+    servers = nested.flatten_nested(_registry(spark, folder))
+    return servers.withColumn("place", nested.server_place(F.col("instance_seq"), F.col("pos")))
+
+
+def _all_servers(spark, folder) -> DataFrame:
+    servers = nested.flatten_nested(b.heartbeats(spark, folder), parents=("seq",))
+    return servers.withColumn("place", nested.server_place(F.col("seq"), F.col("pos")))
 
 
 def _census(spark, folder, dense=False) -> DataFrame:
@@ -331,14 +337,14 @@ def translation_lookup(spark, folder):
 
 @query
 def count_by_key(spark, folder):
-    servers = nested.flatten_nested(b.heartbeats(spark, folder), parents=("seq",))
-    return breakdown.count_by_key(servers, "map", ("seq", "pos"), "clientnum", metric_name="Map", metric_count="Players")
+    servers = _all_servers(spark, folder)
+    return breakdown.count_by_key(servers, "map", ("place",), "clientnum", metric_name="Map", metric_count="Players")
 
 
 def _stat(name: str, key: str, count_by: str | None, metric: str, count: str, of_servers: bool, formatter=None):
     def run(spark, folder):
         rows = _servers(spark, folder) if of_servers else _registry(spark, folder)
-        order = ("instance_seq", "pos") if of_servers else ("instance_seq",)
+        order = ("place",) if of_servers else ("instance_seq",)
         return breakdown.count_by_key(
             rows, key, order, count_by, metric_name=metric, metric_count=count, formatter=formatter
         )
@@ -364,8 +370,7 @@ def formatter_callback(spark, folder):
 
 @query
 def top_k_stable(spark, folder):
-    servers = nested.flatten_nested(b.heartbeats(spark, folder), parents=("seq",))
-    return breakdown.count_by_key(servers, "gametype", ("seq", "pos"), limit=3)
+    return breakdown.count_by_key(_all_servers(spark, folder), "gametype", ("place",), limit=3)
 
 
 @query
