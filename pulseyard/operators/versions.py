@@ -1,6 +1,6 @@
 """Version table and its updates."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VERSION_FIELDS = ("current_version_stable", "current_version_prerelease")
@@ -17,12 +17,16 @@ def versions_for(config: DataFrame, api_version: int = DEFAULT_API_VERSION) -> D
 def apply_version_updates(config: DataFrame, updates: DataFrame, order: str = "seq") -> DataFrame:
     """Config after all authorised updates, in order; absent fields keep their value.
 
-    The last value per field is an aggregate, so any number of updates leaves one row to join.
+    The last value per field is an aggregate, so any number of updates leaves one row, which is read
+    as a scalar subquery.
     """
-    def last_given(field: str):
-        return F.max_by(field, F.when(F.col(field).isNotNull(), F.col(order))).alias(f"_{field}")
 
-    last = updates.filter("authorised").agg(*map(last_given, VERSION_FIELDS))
-    last = last.withColumn("api_version", F.lit(UPDATED_API_VERSION))
-    joined = config.join(F.broadcast(last), "api_version", "left")
-    return joined.select("api_version", *[F.coalesce(f"_{f}", f).alias(f) for f in VERSION_FIELDS])
+    def last_given(field: str) -> Column:
+        return F.max_by(field, F.when(F.col(field).isNotNull(), F.col(order))).alias(field)
+
+    last = updates.filter("authorised").agg(F.struct(*map(last_given, VERSION_FIELDS)).alias("last")).scalar()
+    updated = F.col("api_version") == UPDATED_API_VERSION
+    return config.select(
+        "api_version",
+        *[F.coalesce(F.when(updated, last[field]), F.col(field)).alias(field) for field in VERSION_FIELDS],
+    )

@@ -107,7 +107,8 @@ def census_stream(
             last.alias("last"),
         )
         .filter(F.col("first") <= F.col("last"))
-        .select("id", "order", "hb", F.timestamp_seconds(F.explode(F.sequence("first", "last", step))).alias("at"))
+        .select("id", "order", "hb", F.explode(F.sequence("first", "last", step)).alias("at"))
+        .withColumn("at", F.timestamp_seconds("at"))
     )
     newest = (
         placed.withWatermark("at", f"{expiry + sweep + lateness} seconds")
