@@ -30,6 +30,8 @@ def test_equals_sql(spark, duck, name):
     columns = [d[0] for d in cursor.description]
     assert sorted(df.columns) == sorted(columns)
     assert ordered(map(tuple, df.collect()), df.columns) == ordered(cursor.fetchall(), columns)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_entry(spark):

@@ -24,12 +24,6 @@ def test_every_query_has_sql():
     assert set(queries()) == set(oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - {"register_sql_functions"}))
-def test_no_cross_joins(spark, name):
-    plan = initial_plan(queries()[name](spark, SMALL))
-    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-
-
 @pytest.mark.parametrize("name", ["count_by_key", "slice_stride"])
 def test_total_shares_the_shuffle(spark, name):
     assert "ReusedExchange" in executed_plan(queries()[name](spark, SMALL))
