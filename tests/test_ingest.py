@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pulseyard.operators import ingest
 
 SERVER = dict(
-    id=1, ip="8.8.8.8", port=28960, version="1", game="IW4", hostname="host", clientnum=3, maxclientnum=18,
+    id=1, ip="8.8.8.8", port=28960, version="1", game="g1", hostname="host", clientnum=3, maxclientnum=18,
     map="mp_a", gametype="tdm",
 )
 
