@@ -1,6 +1,6 @@
 """Session settings and the shared folder used to cut lineage."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,19 +28,14 @@ def build_session(app_name: str = "pulseyard", master: str | None = None, **conf
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    A local master without the setting gets a temporary folder; a cluster without it is an error,
-    because a machine-local folder is lost with its executor.
+    Where the key is unset, as in tests, a folder below the warehouse takes its place: the warehouse
+    is shared by the driver and all executors on every master, a temporary folder is not.
     """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        folder = context.getCheckpointDir()
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="pulseyard-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cut"
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
@@ -48,3 +43,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a written table in the shared folder, to be read as often as needed.
+
+    Tables of one application lie below one folder, so they can be removed together after it ended.
+    """
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)

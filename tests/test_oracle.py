@@ -5,7 +5,9 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from pulseyard.plans.oracle import ORACLE
+from pulseyard.plans.registered import QUERIES
 
 FOLDER = Path("/root/testdata/sf0.001")
 
@@ -23,10 +25,10 @@ def ordered(rows, columns):
     return sorted(repr(tuple(row[i] for i in places)) for row in rows)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_equals_sql(spark, duck, name):
-    df = queries()[name](spark, str(FOLDER))
-    cursor = duck.execute(oracle_sql()[name])
+    df = QUERIES[name](spark, str(FOLDER))
+    cursor = duck.execute(ORACLE[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(df.columns) == sorted(columns)
     assert ordered(map(tuple, df.collect()), df.columns) == ordered(cursor.fetchall(), columns)
