@@ -9,7 +9,7 @@ from pulseyard.session import stored
 
 from . import exact_dedup as dedup
 from . import license_scan as licenses
-from . import mixing, quality_rules, secrets
+from . import bpe, langid, mixing, ngram_join, quality_rules, secrets, toxicity
 from .oracle import ORACLE as ORACLE
 from .shared import lower_ascii, table, text_or_empty
 
@@ -56,3 +56,42 @@ def op8_secret_scan(spark, folder):
     base = F.filter("findings", lambda f: f["rank"] < len(secrets.BASE_RULES))
     counts = [secrets.count_kind(F.col("findings"), rule.kind).alias(f"n_{rule.kind}") for rule in secrets.BASE_RULES]
     return found.select("doc_id", *counts, F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("findings")).alias("spans"))
+
+
+def crc_fold(name: str = "doc_id"):
+    """crc32 of the id as text, modulo 3; ids that are null belong to fold 0."""
+    return F.coalesce(F.crc32(F.col(name).cast("string").cast("binary")) % 3, F.lit(0))
+
+
+@query
+def op3_language_id(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    filters = langid.fit_filters(docs.filter(crc_fold() != 1).select("text", "lang"))
+    held_out = (crc_fold() == 1).alias("held_out")
+    return langid.identify(docs.select("doc_id", "text", held_out), filters).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op6_byte_bpe(spark, folder):
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    done = bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, bpe.COARSE)
+    return done.select(
+        "doc_id",
+        (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op10_toxicity(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    chain = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs, chain).drop("text")
+
+
+@query
+def op7_ngram_jaccard_join(spark, folder):
+    return ngram_join.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
