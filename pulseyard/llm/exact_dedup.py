@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulseyard.session import stored
+
 from .shared import lower_ascii, may_contain, membership_bits, spare_names, text_or_empty, without
 
 OUTPUT = ("keep_id", "group_size", "kept")
@@ -25,8 +27,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = without(docs, OUTPUT)
     length, prefix, full = spare_names(docs, "text_length", "prefix_hash", "full_hash")
     norm = lower_ascii(text_or_empty(text_col))
-    measured = F.length(norm)
-    start = F.xxhash64(F.substring(norm, 1, prefix_chars))
+    measured = F.octet_length(text_or_empty(text_col))  # lower-casing A-Z changes no length
+    start = F.xxhash64(lower_ascii(F.substring(text_or_empty(text_col), 1, prefix_chars)))
 
     lengths = docs.select(measured.alias(length)).groupBy(length).count().filter("count > 1").select(length)
     lengths_bits = membership_bits(lengths)
@@ -38,7 +40,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     only = docs.filter(~doubtful).withColumns(
         {"keep_id": F.col(id_col), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)}
     )
-    hashed = docs.filter(doubtful).withColumn(full, F.unhex(F.sha2(norm, 256)))
+    top, first, tie = spare_names(docs, "top_rows", "first_row", "row_tie")
+    whole_row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    hashed = docs.filter(doubtful).withColumns({full: F.unhex(F.sha2(norm, 256)), tie: whole_row})
 
     by_id = hashed.groupBy(full, F.col(id_col).alias("keep_id")).agg(F.count(F.lit(1)).alias("rows"))
     groups = by_id.groupBy(full).agg(
@@ -46,11 +50,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.sum("rows").alias("group_size"),
         F.coalesce(F.max_by("rows", "keep_id"), F.sum("rows")).alias("top_rows"),
     )
-    top, first = spare_names(docs, "top_rows", "first_row")
-    joined = hashed.join(groups.withColumnRenamed("top_rows", top), full).withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
+    groups = stored(groups.filter("group_size > 1").withColumnRenamed("top_rows", top))
+    joined = hashed.join(groups, full, "left").fillna({"group_size": 1, top: 1})
+    joined = joined.withColumn("keep_id", F.when(F.col("group_size") > 1, F.col("keep_id")).otherwise(F.col(id_col)))
+    joined = joined.withColumn("kept", F.col(id_col).eqNullSafe(F.col("keep_id")))
     settled = joined.filter(~F.col("kept") | (F.col(top) == 1))
     # Only repeats of one id with one text reach this window.
-    order = Window.partitionBy(full).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    order = Window.partitionBy(full).orderBy(tie)
     repeated = joined.filter(F.col("kept") & (F.col(top) > 1)).withColumn(first, F.row_number().over(order) == 1)
     repeated = repeated.withColumn("kept", F.col(first))
     columns = [*docs.columns, *OUTPUT]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulseyard.session import stored
 
-from .shared import SPACE_RUN, spare_names, text_or_empty, uniform, without
+from .shared import SPACE_RUN, may_contain, membership_bits, spare_names, text_or_empty, uniform, without
 
 OUTPUT = ("size", "source_size", "target", "copies")
 
@@ -167,7 +167,7 @@ def mix_sources(
     columns named like an output are replaced. An empty table gives none.
     """
     docs = without(docs, OUTPUT)
-    ordinal, n_rows = spare_names(docs, "row_ordinal", "n_equal_rows")
+    ordinal, n_rows, tie = spare_names(docs, "row_ordinal", "n_equal_rows", "row_tie")
     sized = docs.withColumn("size", word_count(text_or_empty(text_col)))
     rows = stored(sized.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), "size"))
     id_type = rows.schema["id"].dataType.simpleString()
@@ -196,13 +196,15 @@ def mix_sources(
     )
     settled = settled.withColumnsRenamed({"id": "__id", "source": "__source", "size": "__size", "n": n_rows})
     targets = targets.select(F.col("source").alias("__t_source"), "source_size", "target")
-    settled = settled.join(targets, F.col("__source").eqNullSafe(F.col("__t_source")))
+    settled = stored(settled.join(targets, F.col("__source").eqNullSafe(F.col("__t_source"))).drop("__t_source"))
+    row_key = [F.col(id_col), F.col(source_col).cast("string"), F.col("size")]
+    maybe_equal = may_contain(membership_bits(settled.filter(F.col(n_rows) > 1).select("__id", "__source", "__size")), *row_key)
     same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size"))
-    joined = sized.join(settled, same)
-    single = joined.filter(F.col(n_rows) == 1).withColumn("copies", F.col("whole"))
-    # Only equal rows reach this window.
-    order = Window.partitionBy(id_col, source_col, "size").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    equal = joined.filter(F.col(n_rows) > 1).withColumn(ordinal, F.row_number().over(order))
+    single = sized.filter(~maybe_equal).join(settled, same).withColumn("copies", F.col("whole"))
+    # Rows are numbered only where equal rows exist (or the filter of fixed size takes them for such).
+    order = Window.partitionBy(id_col, source_col, "size").orderBy(tie)
+    whole_row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    equal = sized.withColumn(tie, whole_row).filter(maybe_equal).join(settled, same).withColumn(ordinal, F.row_number().over(order))
     shared = F.expr(f"whole div {n_rows}") + F.when(F.col(ordinal) <= F.col("whole") % F.col(n_rows), 1).otherwise(0)
     equal = equal.withColumn("copies", shared)
     columns = [*docs.columns, *OUTPUT]

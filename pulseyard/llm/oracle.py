@@ -119,3 +119,23 @@ FROM (SELECT m.*, array_to_string(list_filter([{fails}], lambda x: x IS NOT NULL
 
 
 ORACLE["op2_quality_rules"] = _quality_sql()
+
+ORACLE["op9_chat_format"] = """
+WITH m AS (
+  SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+    CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS call_turn FROM conversations),
+c AS (SELECT DISTINCT conv_id, turn FROM m WHERE kind = 'call'),
+i AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM c),
+v AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS level FROM i),
+r AS (SELECT DISTINCT conv_id, call_turn FROM m WHERE kind = 'result')
+SELECT m.conv_id, m.turn, m.role, m.kind,
+  CASE WHEN m.kind = 'message' THEN 'plain' WHEN m.kind = 'result' THEN CASE WHEN v.turn IS NULL THEN 'orphan' ELSE 'linked' END
+    WHEN r.conv_id IS NULL THEN 'pending' ELSE 'answered' END AS status,
+  coalesce(v.turn, m.turn) AS at_turn, v.level, CASE WHEN m.kind = 'result' THEN 1 ELSE 0 END AS step,
+  CASE WHEN m.kind = 'call' THEN CASE WHEN m.text IS NULL THEN 'missing: text' ELSE '' END END AS errors,
+  CASE m.kind WHEN 'call' THEN to_json({arguments: {text: m.text, turn: m.turn}, call_id: 'c' || m.conv_id || '-' || m.turn, role: m.role, text: m.text, tool: 'answer'})
+    WHEN 'result' THEN to_json({call_id: 'c' || m.conv_id || '-' || (m.turn - 1), role: m.role, text: m.text})
+    ELSE to_json({role: m.role, text: m.text}) END::VARCHAR AS json
+FROM m LEFT JOIN v ON v.conv_id = m.conv_id AND v.turn = m.call_turn
+LEFT JOIN r ON r.conv_id = m.conv_id AND r.call_turn = m.turn AND m.kind = 'call'
+"""

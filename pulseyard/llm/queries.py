@@ -5,11 +5,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pulseyard.session import stored
 
 from . import exact_dedup as dedup
 from . import license_scan as licenses
-from . import bpe, langid, mixing, ngram_join, quality_rules, secrets, toxicity
+from . import bpe, chat, langid, mixing, ngram_join, quality_rules, secrets, toxicity
 from .oracle import ORACLE as ORACLE
 from .shared import lower_ascii, table, text_or_empty
 
@@ -95,3 +96,15 @@ def op10_toxicity(spark, folder):
 @query
 def op7_ngram_jaccard_join(spark, folder):
     return ngram_join.near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query
+def op9_chat_format(spark, folder):
+    messages = chat.conversation_messages(table(spark, folder, "conversations"))
+    done = chat.format_chat(messages, [chat.ANSWER])
+    return done.select("conv_id", "turn", "role", "kind", "status", "at_turn", "level", "step", F.array_join("errors", ";").alias("errors"), "json")
+
+
+@query
+def pipeline(spark, folder):
+    return corpus_pipeline.run(spark, folder)

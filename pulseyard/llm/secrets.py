@@ -6,6 +6,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulseyard.session import stored
+
 from .shared import may_contain, membership_bits, spare_names, text_or_empty, without
 
 LEDGER_SCHEMA = "blob binary, rules array<string>, findings array<struct<start:int,rank:int,kind:string,end:int>>"
@@ -130,6 +132,7 @@ def findings_by_path(docs: DataFrame, ledger: DataFrame, text_col: str = "text",
     )
     spans = spans.filter(live).select("blob", F.struct("f.start", F.element_at(rank_of, F.col("f.kind")).alias("rank"), "f.kind", "f.end").alias("f"))
     found = spans.groupBy("blob").agg(F.array_sort(F.collect_set("f")).alias("findings")).withColumnRenamed("blob", blob)
+    found = stored(found)  # a table of its own, so that the join can split a hot blob
     keyed = docs.withColumn(blob, F.unhex(F.sha2(text_or_empty(text_col), 256)))
     empty = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     return keyed.join(found, blob, "left").select(*docs.columns, F.coalesce("findings", empty).alias("findings"))

@@ -22,8 +22,9 @@ def text_or_empty(name: str) -> Column:
 
 
 def lower_ascii(text: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    """Lower-case A-Z and nothing else. For texts of ASCII alone ``lower`` does that, and much faster."""
+    ascii_only = F.octet_length(text) == F.length(text)
+    return F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
 def uniform(*columns: Column) -> Column:
