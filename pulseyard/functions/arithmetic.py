@@ -11,8 +11,15 @@ def percent_half_even(part: Column, total: Column) -> Column:
 
 
 def ceil_div(numerator: Column, denominator: Column) -> Column:
-    """Smallest integer not below the ratio, in integer arithmetic."""
-    return -F.floor(-numerator / denominator).cast("bigint")
+    """Smallest integer not below the ratio, in integer arithmetic at any size."""
+    whole = F.call_function("div", numerator, denominator)
+    above = (numerator % denominator != 0) & ((numerator > 0) == (denominator > 0))
+    return (whole + above.cast("bigint")).cast("bigint")
+
+
+def floor_to(value: Column, step: int) -> Column:
+    """Largest multiple of ``step`` not above an integer."""
+    return value - F.pmod(value, F.lit(step))
 
 
 def mask16(value: Column) -> Column:

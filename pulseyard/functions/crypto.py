@@ -2,7 +2,6 @@
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,17 +14,10 @@ KDF_ITERATIONS = 10_000
 KEY_BYTES = 32
 NONCE_BYTES = 12
 
-REMEMBERED_KEYS = 65_536
-
-
 @F.pandas_udf(T.BinaryType())
 def derive_key(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Key of a (seed, salt) pair, null when either is null.
-
-    The last pairs of a task are remembered, so over rows partitioned by pair each is derived once.
-    """
+    """Key of a (seed, salt) pair, null when either is null. To be used on distinct pairs."""
 
-    @lru_cache(maxsize=REMEMBERED_KEYS)
     def derive(seed: str, salt: str) -> bytes:
         return hashlib.pbkdf2_hmac(KDF_HASH, seed.encode(), salt.encode(), KDF_ITERATIONS, KEY_BYTES)
 

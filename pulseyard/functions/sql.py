@@ -2,10 +2,14 @@
 
 from pyspark.sql import SparkSession
 
+from .text import COLOR_CODE_PATTERN, CONTENT_KINDS
+
+_KINDS = " ".join(f"WHEN endswith(lower(name), '{suffix}') THEN {kind}" for suffix, kind in CONTENT_KINDS.items())
+
 # name: (parameters, result type, expression); each stays visible to the optimizer.
 SQL_FUNCTIONS = {
-    "strip_color_codes": ("s STRING", "STRING", r"regexp_replace(s, r'\^([0-9]+|:)', '')"),
-    "regex_replace": ("s STRING, find STRING, put STRING", "STRING", "regexp_replace(s, find, put)"),
+    "strip_color_codes": ("s STRING", "STRING", f"regexp_replace(s, r'{COLOR_CODE_PATTERN}', '')"),
+    "regex_replace": ("s STRING, find STRING, put STRING", "STRING", r"regexp_replace(s, find, regexp_replace(replace(put, '$', r'\$'), r'\\([0-9]+)', r'\$$1'))"),
     "occupancy_label": ("used INT, capacity INT", "STRING", "concat(used, '/', capacity)"),
     "connect_string": ("ip STRING, port INT", "STRING", "concat('connect ', ip, ':', port)"),
     "cents_to_text": ("cents BIGINT", "STRING", "format_string('%.2f', cents / 100.0D)"),
@@ -18,14 +22,14 @@ SQL_FUNCTIONS = {
     "content_type": (
         "name STRING",
         "INT",
-        "CASE WHEN endswith(lower(name), '.dll') THEN 0 WHEN endswith(lower(name), '.js') THEN 1 END",
+        f"CASE {_KINDS} END",
     ),
     "percent_half_even": (
         "part BIGINT, total BIGINT",
         "BIGINT",
         "CAST(rint(CAST(part AS DOUBLE) / greatest(total, 1L) * 100) AS BIGINT)",
     ),
-    "ceil_div": ("a BIGINT, b BIGINT", "BIGINT", "-floor(-a / b)"),
+    "ceil_div": ("a BIGINT, b BIGINT", "BIGINT", "a div b + CASE WHEN a % b <> 0 AND (a > 0) = (b > 0) THEN 1 ELSE 0 END"),
     "mask16": ("n BIGINT", "BIGINT", "n & 65535L"),
     "uptime_clock": (
         "s BIGINT",

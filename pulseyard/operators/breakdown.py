@@ -45,12 +45,14 @@ def count_by_key(
     metric_name: str = "Metric",
     metric_count: str = "Count",
     formatter: Callable[[Column], Column] | None = None,
+    key_class: str | None = None,
 ) -> DataFrame:
     """The ``limit`` largest groups of ``key`` with their share of the total over all rows.
 
     The measure is the row count, or the sum of ``count_by`` (0 where it is missing). Equal measures
     keep the order in which their key first occurs along ``order``, whose columns must not be null.
-    ``formatter`` is applied to the counts that are kept.
+    ``formatter`` is applied to the counts that are kept. Keys of different ``key_class``, such as the
+    number 1 and the text "1", are different groups.
     """
     if count_by is None:
         measure = F.count(F.lit(1))
@@ -58,7 +60,8 @@ def count_by_key(
         measure = F.sum(F.coalesce(F.col(count_by), F.lit(0)).cast("bigint"))
     else:
         measure = F.sum(F.lit(0).cast("bigint"))
-    groups = rows.groupBy(F.col(key).alias("key")).agg(
+    apart = [F.col(key_class).alias("_class")] if key_class else []
+    groups = rows.groupBy(F.col(key).alias("key"), *apart).agg(
         measure.alias("count"), _earliest(order).alias("_first")
     )
     seen = F.col("_first").isNotNull()
@@ -79,15 +82,18 @@ def count_by_key(
 
 
 def _facts(instances: DataFrame) -> DataFrame:
-    """(dim, key, amount, seq) of every instance and server, from one explode.
+    """(dim, key, kind, amount, seq) of every instance and server, from one explode.
 
     ``seq`` orders instances by position and servers by position inside their instance.
     """
 
+    kind = F.col("version_kind") if "version_kind" in instances.columns else F.lit(None).cast("string")
+
     def fact(dim: str, key: Column, amount: Column, seq: Column) -> Column:
         return F.struct(
             F.lit(dim).alias("dim"),
             key.cast("string").alias("key"),
+            (kind if dim == "version" else F.lit(None).cast("string")).alias("kind"),
             amount.cast("bigint").alias("amount"),
             seq.alias("seq"),
         )
@@ -118,7 +124,7 @@ def stats_all(instances: DataFrame, limit: int = TOP) -> DataFrame:
     """
     groups = (
         _facts(instances)
-        .groupBy("dim", "key")
+        .groupBy("dim", "key", "kind")
         .agg(F.count(F.lit(1)).alias("rows"), F.sum("amount").alias("amount"), F.min("seq").alias("first"))
     )
     # One row per dimension, which is a fixed list, so this side is safe to broadcast.

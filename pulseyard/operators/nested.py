@@ -18,11 +18,11 @@ def flatten_nested(
 
 
 def server_place(seq: Column, pos: Column) -> Column:
-    """One number that orders servers by instance, then by position; a list has at most 64 servers.
+    """One number that orders servers by instance, then by position, for any position.
 
     A single number keeps aggregates over it in hash form, where a struct would force a sort.
     """
-    return F.shiftleft(seq.cast("bigint"), 6) + pos
+    return seq.cast("decimal(28,0)") * F.lit(2**31).cast("decimal(10,0)") + pos.cast("decimal(10,0)")
 
 
 def attach_parent(

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.arithmetic import floor_to
 from ..functions.clock import epoch_seconds
 
 # Seconds without a heartbeat before expiry, seconds between sweeps, token life.
@@ -40,7 +41,7 @@ def purge_time(last_heartbeat: Column, expiry: int = EXPIRY_SECONDS, sweep: int
     """
     if sweep == 0:
         return last_heartbeat + expiry + 1
-    return (F.floor((last_heartbeat + expiry) / sweep).cast("bigint") + 1) * sweep
+    return floor_to(last_heartbeat + expiry, sweep) + sweep
 
 
 def expire_stale(
@@ -60,7 +61,7 @@ def _thin(heartbeats: DataFrame, key: str, time: str, order: Sequence[str], cell
     """One row per key and time cell, with the ends of the cell's heartbeats."""
     return (
         heartbeats.withColumn("_t", epoch_seconds(F.col(time)))
-        .groupBy(key, F.floor(F.col("_t") / cell).alias("_cell"))
+        .groupBy(key, floor_to(F.col("_t"), cell).alias("_cell"))
         .agg(
             F.min("_t").alias("first_t"),
             F.max("_t").alias("last_t"),
@@ -136,19 +137,22 @@ def current_registry(
     seq: str = "seq",
     expiry: int = EXPIRY_SECONDS,
     sweep: int = SWEEP_SECONDS,
+    position: bool = False,
 ) -> DataFrame:
-    """Registered instances at ``now`` with ``last_heartbeat`` and ``instance_seq``.
+    """Registered instances at ``now`` with ``last_heartbeat``, and ``instance_seq`` on request.
 
-    Full rows are read only for the seconds in which a registered heartbeat can lie, a filter that
-    reaches the scan. Positions need the whole past, but only three narrow columns of it.
+    Rows are read only for the seconds in which a registered heartbeat can lie, a filter that reaches
+    the scan. A position needs the past as well, three narrow columns of it, and of the registered keys
+    alone.
     """
     seen = heartbeats.filter(F.col(time) < F.timestamp_seconds(F.lit(now + 1)))
     recent = seen.filter(F.col(time) >= F.timestamp_seconds(F.lit(now - expiry - sweep)))
-    latest = upsert_latest(recent, key, (time, seq)).withColumn(
-        "last_heartbeat", epoch_seconds(F.col(time))
-    )
+    latest = upsert_latest(recent, key, (time, seq)).withColumn("last_heartbeat", epoch_seconds(F.col(time)))
     alive = expire_stale(latest, now, "last_heartbeat", expiry, sweep)
-    return alive.join(first_seen(seen, key, time, seq, expiry, sweep), key)
+    if not position:
+        return alive
+    past = seen.select(key, time, seq).join(recent.select(key).distinct(), key, "left_semi")
+    return alive.join(first_seen(past, key, time, seq, expiry, sweep), key)
 
 
 def token_registry(

@@ -12,16 +12,15 @@ from ..functions.crypto import derive_key, seal_content
 from ..functions.text import base64_encode, cents_to_text, content_type, count_or_zero, price_label
 from .ordered import ordered_blocks
 
-# Listing limits and event types.
-MAX_PLANS = 100
-MAX_CUSTOMERS = 4
+# Event types.
 CREATED = "subscription_created"
 CANCELLED = "subscription_cancelled"
 
 
-def active_plans(plans: DataFrame, limit: int = MAX_PLANS) -> DataFrame:
-    """The first ``limit`` active plans by id."""
-    return plans.filter(F.col("status") == "active").orderBy("id").limit(limit)
+def active_plans(plans: DataFrame, limit: int | None = None) -> DataFrame:
+    """Active plans, or the first ``limit`` of them by id."""
+    active = plans.filter(F.col("status") == "active")
+    return active if limit is None else active.orderBy("id").limit(limit)
 
 
 def plan_catalogue(plans: DataFrame, meta: DataFrame, strict: bool = False) -> DataFrame:
@@ -42,11 +41,12 @@ def plan_catalogue(plans: DataFrame, meta: DataFrame, strict: bool = False) -> D
     )
 
 
-def customers_by_email(emails: DataFrame, customers: DataFrame, limit: int = MAX_CUSTOMERS) -> DataFrame:
-    """Up to ``limit`` customers per requested email, by id."""
+def customers_by_email(emails: DataFrame, customers: DataFrame, limit: int | None = None) -> DataFrame:
+    """Customers per requested email with their position by id, all or the first ``limit``."""
     matches = customers.join(emails.select("email").distinct(), "email", "left_semi")
     by_id = Window.partitionBy("email").orderBy("id")
-    return matches.withColumn("position", F.row_number().over(by_id)).filter(F.col("position") <= limit)
+    numbered = matches.withColumn("position", F.row_number().over(by_id))
+    return numbered if limit is None else numbered.filter(F.col("position") <= limit)
 
 
 def first_customer(customers: DataFrame) -> DataFrame:
@@ -94,24 +94,20 @@ def subscribed_content(
     subscriptions: DataFrame,
     plan_meta: DataFrame,
     contents: DataFrame,
+    key_tasks: int = 64,
 ) -> DataFrame:
     """Encrypted content per request and plan, as ``(email, instance_id, plan_id, content, type)``.
 
-    A key takes milliseconds of CPU. Items are partitioned by request before their contents join, so
-    the key of a request with items is derived once, and the number of partitions is set by cores
-    because these narrow rows are too small for their size to ask for more than one. (By hash and
-    not by the columns: an equal partitioning left by the distinct would be taken over, merged.)
-    Items whose content is missing are left out.
+    A key takes milliseconds of CPU, so it is derived once per request that has any item, on the
+    distinct requests and before the items join. Those rows are too narrow for their size to ask for
+    many tasks; ``key_tasks`` does. Items whose content is missing are left out.
     """
-    cores = requests.sparkSession.sparkContext.defaultParallelism
     complete = require_params(requests).filter(F.col("error").isNull())
     asked = complete.select("email", "instance_id").distinct()
-    items = (
-        entitlements(asked, customers, subscriptions, plan_meta)
-        .select("email", "instance_id", "plan_id", "content_url")
-        .repartition(cores, F.xxhash64("email", "instance_id"))
-        .withColumn("_key", derive_key("email", "instance_id"))
-    )
+    items = entitlements(asked, customers, subscriptions, plan_meta).select("email", "instance_id", "plan_id", "content_url")
+    entitled = items.select("email", "instance_id").distinct()
+    keys = entitled.repartition(key_tasks, F.xxhash64("email", "instance_id")).withColumn("_key", derive_key("email", "instance_id"))
+    items = items.join(keys, ["email", "instance_id"])
     sealed = items.join(contents.filter(F.col("payload").isNotNull()), "content_url")
     return sealed.select(
         "email",
@@ -128,8 +124,8 @@ def event_delta(event_type: Column) -> Column:
 
 
 def _split_events(events: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(created and cancelled events of known plans, all others), both with ``delta``."""
-    known = meta.select("plan_id", F.lit(True).alias("_known"))
+    """(created and cancelled events of plans with a stored count, all others), both with ``delta``."""
+    known = meta.filter(F.col("subscription_count").isNotNull()).select("plan_id", F.lit(True).alias("_known"))
     flagged = events.withColumn("delta", event_delta(F.col("event_type"))).join(known, "plan_id", "left")
     counts = F.col("delta").isNotNull() & F.col("_known").isNotNull()
     return flagged.filter(counts).drop("_known"), flagged.filter(~counts).drop("_known")
@@ -213,8 +209,8 @@ def plan_subscription_count(events: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def event_outcome(events: DataFrame, meta: DataFrame) -> DataFrame:
-    """Every event as ``applied``, ``acknowledged`` (cancel at zero) or ``error`` (unknown type or
-    plan)."""
+    """Every event as ``applied``, ``acknowledged`` (cancel at zero) or ``error`` (unknown type, or a
+    plan without metadata or without a stored count)."""
     _, others = _split_events(events, meta)
     counted = clamped_counter(events, meta).select(
         "event_id",

@@ -7,8 +7,6 @@ work of a query grows with its table.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.readers import spread_small_source
-
 NOW = 1_706_659_200  # 2024-01-31 00:00:00 UTC
 # The users of `events` report about twice a day, so periods are hours instead of seconds.
 STATS_EXPIRY, STATS_SWEEP = 86_400, 7_200
@@ -75,6 +73,7 @@ def heartbeats(spark: SparkSession, folder: str) -> DataFrame:
         F.col("ts").alias("received_at"),
         F.col("event_id").alias("seq"),
         F.pmod("k", F.lit(5)).cast("string").alias("version"),
+        F.when(F.pmod("event_id", F.lit(2)) == 0, "number").otherwise("string").alias("version_kind"),
         F.floor(F.col("value") * 1000).cast("int").alias("uptime"),
         F.concat(F.lit("203.0.113."), F.pmod("user_id", F.lit(20)).cast("string")).alias("ip_address"),
         F.concat(F.lit("http://h"), F.pmod("user_id", F.lit(9)).cast("string"), F.lit(".example.com")).alias(
@@ -141,7 +140,7 @@ def heartbeat_bodies(spark: SparkSession, folder: str) -> DataFrame:
         F.when(fault == 19, "").otherwise(servers),
         F.lit("}"),
     )
-    return spread_small_source(_events(spark, folder)).select(
+    return _events(spark, folder).select(
         F.when(fault == 21, "not json").otherwise(body).alias("body"),
         F.lit(REMOTE_IP).alias("remote_ip"),
         F.col("ts").alias("received_at"),
@@ -150,8 +149,7 @@ def heartbeat_bodies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, folder: str) -> DataFrame:
-    views = _events(spark, folder).filter(F.col("event_type") == "view")
-    return views.select(
+    return _events(spark, folder).select(
         F.concat(F.lit("i"), F.col("user_id").cast("string")).alias("id"),
         F.col("ts").alias("issued_at"),
         F.col("event_id").alias("token"),

@@ -1,5 +1,7 @@
 """The registered queries as plain SQL over the same tables."""
 
+from ..functions.network import URL_PATTERN
+
 NOW = 1_706_659_200
 
 HB = """
@@ -12,7 +14,7 @@ hb AS (
          CAST(floor(value) AS BIGINT) AS whole,
          '203.0.113.' || (user_id % 20) AS ip_address,
          'http://h' || (user_id % 9) || '.example.com' AS webfront_url,
-         event_id % 4 AS n_servers
+         event_id % 4 AS n_servers, event_id % 2 AS kind
   FROM events)"""
 
 SERVER_COLUMNS = """
@@ -106,13 +108,18 @@ def duration(s: str) -> str:
     )
 
 
+def _grouping(key: str) -> str:
+    """A version that is a number and one that is a text are different groups."""
+    return "version, kind" if key == "version" else key
+
+
 def breakdown(source, key, measure, place, metric="Metric", count="Count", limit=9, shown="count") -> str:
     return f"""
 SELECT key, {shown} AS count, total, CAST(round_even(m / greatest(total, 1)::DOUBLE * 100, 0) AS BIGINT) AS percent,
        '{metric}' AS metric_name, '{count}' AS metric_count
 FROM (SELECT {key} AS key, CAST({measure} AS BIGINT) AS m, CAST({measure} AS BIGINT) AS count, min({place}) AS first,
              (SELECT CAST({measure} AS BIGINT) FROM {source}) AS total
-      FROM {source} GROUP BY {key} ORDER BY m DESC, first LIMIT {limit})"""
+      FROM {source} GROUP BY {_grouping(key)} ORDER BY m DESC, first LIMIT {limit})"""
 
 
 STATS = (
@@ -139,7 +146,7 @@ SELECT '{segment}' AS segment, rank, key, {shown} AS count,
 FROM (SELECT {key} AS key, CAST({measure} AS BIGINT) AS m,
              row_number() OVER (ORDER BY {measure} DESC, min({place})) AS rank,
              (SELECT CAST({measure} AS BIGINT) FROM {source}) AS total
-      FROM {source} GROUP BY {key}) WHERE rank <= 9""")
+      FROM {source} GROUP BY {_grouping(key)}) WHERE rank <= 9""")
     return WITH_RSRV + " UNION ALL ".join(parts)
 
 
@@ -184,7 +191,7 @@ WITH urls AS (
     WHEN 3 THEN 'http://localhost:' || page_id
     WHEN 4 THEN url || ' x'
     ELSE url END AS url FROM pages)"""
-URL_OK = r"""regexp_full_match(url, '(?i)https?://((?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+(?:[a-z]{2,6}\.?|[a-z0-9-]{2,}\.?)|localhost|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?::\d+)?(?:/?|[/?]\S+)')"""
+URL_OK = f"regexp_matches(url, '{URL_PATTERN}')"
 URL_SPLIT = r"""'(?i)^(https?://([a-z0-9.-]+))(.*)$'"""
 
 SHEET = """
@@ -252,7 +259,7 @@ counting AS (
   SELECT e.*, CASE WHEN event_type = 'subscription_created' THEN 1 ELSE -1 END AS delta,
          coalesce(subscription_count, 0) AS start
   FROM subscription_events e JOIN meta USING (plan_id)
-  WHERE event_type IN ('subscription_created', 'subscription_cancelled')),
+  WHERE subscription_count IS NOT NULL AND event_type IN ('subscription_created', 'subscription_cancelled')),
 summed AS (SELECT *, sum(delta) OVER (PARTITION BY plan_id ORDER BY ts, event_id) AS s FROM counting),
 lowest AS (SELECT *, min(s) OVER (PARTITION BY plan_id ORDER BY ts, event_id) AS low FROM summed),
 folded AS (SELECT *, CAST(start + s - least(0, start + low) AS BIGINT) AS n FROM lowest),
@@ -310,10 +317,12 @@ ORACLE: dict[str, str] = {
         SELECT seq, '203.0.113.9' AS remote_ip, t AS received_at, fault <> 21 AS is_object,
                CASE WHEN fault NOT IN (19, 21) THEN sent END AS n_servers FROM checked""",
     "src_plans": f"""{WITH_STORE}
-        SELECT id, name, price, status FROM plans WHERE status = 'active' ORDER BY id LIMIT 100""",
+        SELECT id, name, price, status FROM plans WHERE status = 'active'""",
+    "limit_n": f"{WITH_STORE} SELECT id, name FROM plans WHERE status = 'active' ORDER BY id LIMIT 100",
+    "first_match": f"{WITH_STORE} SELECT email, customer_id FROM first_customer",
+    "filter_webfront_present": f"{WITH_HB} SELECT seq, CASE WHEN seq % 3 = 1 THEN webfront_url END AS webfront FROM hb",
     "src_customer_by_email": f"""{WITH_STORE}
-        SELECT * FROM (SELECT email, id, row_number() OVER (PARTITION BY email ORDER BY id) AS position FROM cust)
-        WHERE position <= 4""",
+        SELECT email, id, row_number() OVER (PARTITION BY email ORDER BY id) AS position FROM cust""",
     "src_subscriptions_active": f"{WITH_STORE} SELECT customer_id, plan_id FROM subs WHERE status = 'active'",
     "src_plans_by_ids": f"""{WITH_STORE}
         SELECT id, name, status FROM plans WHERE id IN (SELECT plan_id FROM subs WHERE status = 'active')""",
@@ -324,9 +333,7 @@ ORACLE: dict[str, str] = {
                CASE WHEN event_id % 17 = 0 THEN 'request body must be json' END AS error FROM subscription_events""",
     "sink_version_update": f"{WITH_VERSIONS} SELECT * FROM config",
     "sink_meta_set": f"""{WITH_COUNTS}
-        SELECT m.plan_id, CASE WHEN f.subscription_count > 0 THEN f.subscription_count ELSE m.subscription_count END
-                 AS subscription_count, m.author
-        FROM meta m JOIN final f USING (plan_id)""",
+        SELECT plan_id, subscription_count, author FROM final""",
     "export_instances": f"""{WITH_REG}
         SELECT id, version, uptime, last_heartbeat, ip_address, webfront_url,
                array_to_string(['^' || (k % 10) || 'host ' || event_id || '^:' FOR j IN range(n_servers)], ',') AS hostnames
@@ -419,8 +426,11 @@ ORACLE: dict[str, str] = {
     "game_summary": f"""{WITH_RSRV}
         SELECT game, CAST(sum(clientnum) AS BIGINT) AS players, count(*) AS servers FROM rsrv GROUP BY game""",
     "group_servers": f"{WITH_RSRV} SELECT game, instance_seq, pos, server_id AS id FROM rsrv",
-    "sort_by_game": f"{WITH_SRV} SELECT game, seq AS instance_seq, server_id AS id FROM srv",
-    "sort_by_players": f"{WITH_SRV} SELECT game, seq AS instance_seq, clientnum, server_id AS id FROM srv",
+    "sort_by_game": f"""{WITH_SRV}
+        SELECT game, seq AS instance_seq, server_id AS id, lag(server_id) OVER (PARTITION BY game ORDER BY seq, pos) AS follows FROM srv""",
+    "sort_by_players": f"""{WITH_SRV}
+        SELECT game, seq AS instance_seq, clientnum, server_id AS id,
+               lag(server_id) OVER (PARTITION BY game ORDER BY clientnum DESC, seq, pos) AS follows FROM srv""",
     "translation_sets": f"{WITH_SHEET} SELECT language, key, text FROM sets",
     "upsert_latest": f"""{WITH_REG}
         SELECT id, t AS received_at, seq, version, n_servers FROM latest""",
@@ -456,9 +466,8 @@ ORACLE: dict[str, str] = {
     "event_outcome": f"{WITH_COUNTS} SELECT event_id, plan_id, event_type, outcome FROM outcomes",
     "plan_subscription_count": f"{WITH_COUNTS} SELECT plan_id, subscription_count FROM final",
     "token_registry": f"""{WITH_HB},
-        views AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC, seq DESC) AS rn FROM hb
-                  WHERE event_type = 'view')
-        SELECT id, seq AS token, t AS issued_at, t + 30 * 86400 AS expires_at FROM views WHERE rn = 1""",
+        issued AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts DESC, seq DESC) AS rn FROM hb)
+        SELECT id, seq AS token, t AS issued_at, t + 30 * 86400 AS expires_at FROM issued WHERE rn = 1""",
     "resolve_language": f"{WITH_SHEET} SELECT doc_id, tag, language FROM resolved",
     "translation_for_tag": f"""{WITH_SHEET}
         SELECT tag, language, key, text FROM (SELECT DISTINCT tag, language FROM resolved) JOIN sets USING (language)""",
@@ -490,7 +499,10 @@ ORACLE: dict[str, str] = {
     "register_sql_functions": f"""{WITH_HB}
         SELECT seq, {duration('uptime')} AS duration,
                printf('%02d:%02d:%02d', uptime % 86400 // 3600, uptime % 3600 // 60, uptime % 60) AS clock,
-               uptime & 65535 AS masked, CAST(ceil(uptime / 30.0) AS BIGINT) AS slots FROM hb""",
+               uptime & 65535 AS masked, CAST(ceil(uptime / 30.0) AS BIGINT) AS slots, 9007199254740993 + seq AS large,
+               regexp_replace(id, '(i)([0-9]+)', '\\2-\\1') AS swapped, id AS plain, (seq % 9) || '/9' AS occupancy,
+               'connect ' || ip_address || ':7' AS connect, printf('%.2f', seq / 100.0) AS price, 'Free' AS free, seq % 3 AS counted,
+               0 AS kind, CAST(round_even((seq % 7) / 8.0::DOUBLE * 100, 0) AS BIGINT) AS percent FROM hb""",
     "seal_content": f"""{WITH_STORE}
         SELECT content_url, payload AS opened, strlen(payload) + 28 AS sealed_bytes FROM contents""",
     "q_server_list": f"""{WITH_RSRV}
@@ -511,7 +523,7 @@ ORACLE: dict[str, str] = {
         SELECT tag, language, key, text FROM (SELECT DISTINCT tag, language FROM resolved) JOIN sets USING (language)""",
     "q_plans": f"""{WITH_STORE}
         SELECT id, name, description, price, period_unit, price_label, author, help_url, subscription_count, subscribers
-        FROM catalogue WHERE status = 'active' ORDER BY id LIMIT 100""",
+        FROM catalogue WHERE status = 'active'""",
     "q_entitlements": f"""{WITH_STORE}
         SELECT email, instance_id, plan_id,
                CAST(CASE WHEN lower(content_url) LIKE '%.dll' THEN 0 WHEN lower(content_url) LIKE '%.js' THEN 1 END AS BIGINT)

@@ -11,7 +11,7 @@ def server_list(
     heartbeats: DataFrame, now: int, expiry: int = registry.EXPIRY_SECONDS, sweep: int = registry.SWEEP_SECONDS
 ) -> DataFrame:
     """Servers of all registered instances, by game and most players first."""
-    current = registry.current_registry(heartbeats, now, expiry=expiry, sweep=sweep)
+    current = registry.current_registry(heartbeats, now, expiry=expiry, sweep=sweep, position=True)
     return nested.sort_by_players(nested.describe_servers(nested.attach_parent(current)))
 
 
@@ -19,7 +19,7 @@ def stats(
     heartbeats: DataFrame, now: int, expiry: int = registry.EXPIRY_SECONDS, sweep: int = registry.SWEEP_SECONDS
 ) -> DataFrame:
     """The eight breakdowns of the registered instances."""
-    return breakdown.stats_all(registry.current_registry(heartbeats, now, expiry=expiry, sweep=sweep))
+    return breakdown.stats_all(registry.current_registry(heartbeats, now, expiry=expiry, sweep=sweep, position=True))
 
 
 def history(
@@ -70,7 +70,7 @@ def translation_page(requests: DataFrame, sheet: DataFrame) -> DataFrame:
     return translations.translation_for_tag(requests, sheet)
 
 
-def plan_page(plans: DataFrame, meta: DataFrame, limit: int = subscriptions.MAX_PLANS) -> DataFrame:
+def plan_page(plans: DataFrame, meta: DataFrame, limit: int | None = None) -> DataFrame:
     """The listed plans with their labels."""
     return subscriptions.plan_catalogue(subscriptions.active_plans(plans, limit), meta)
 

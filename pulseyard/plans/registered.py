@@ -5,7 +5,7 @@ Timestamps are shown as epoch seconds and arrays as text, so that results compar
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
@@ -36,14 +36,14 @@ def _seconds(name: str) -> Column:
     return F.unix_seconds(name).alias(name)
 
 
-def _registry(spark, folder) -> DataFrame:
+def _registry(spark, folder, position=False) -> DataFrame:
     return registry.current_registry(
-        b.heartbeats(spark, folder), b.NOW, expiry=b.STATS_EXPIRY, sweep=b.STATS_SWEEP
+        b.heartbeats(spark, folder), b.NOW, expiry=b.STATS_EXPIRY, sweep=b.STATS_SWEEP, position=position
     )
 
 
 def _servers(spark, folder) -> DataFrame:
-    servers = nested.flatten_nested(_registry(spark, folder))
+    servers = nested.flatten_nested(_registry(spark, folder, position=True))
     return servers.withColumn("place", nested.server_place(F.col("instance_seq"), F.col("pos")))
 
 
@@ -99,6 +99,16 @@ def src_plans(spark, folder):
     return subscriptions.active_plans(b.plans(spark, folder)).select("id", "name", "price", "status")
 
 
+@query
+def limit_n(spark, folder):
+    return subscriptions.active_plans(b.plans(spark, folder), limit=100).select("id", "name")
+
+
+@query
+def first_match(spark, folder):
+    return subscriptions.first_customer(b.customers(spark, folder))
+
+
 @query
 def src_customer_by_email(spark, folder):
     asked = b.content_requests(spark, folder).select("email")
@@ -141,7 +151,7 @@ def sink_version_update(spark, folder):
 def sink_meta_set(spark, folder):
     meta = b.plan_meta(spark, folder)
     counts = subscriptions.plan_subscription_count(b.subscription_events(spark, folder), meta)
-    changed = meta.drop("subscription_count").join(counts, "plan_id").filter(F.col("subscription_count") > 0)
+    changed = meta.drop("subscription_count").join(counts, "plan_id")
     return writers.meta_set(meta, changed).select("plan_id", "subscription_count", "author")
 
 
@@ -279,9 +289,17 @@ def flatten_nested(spark, folder):
     )
 
 
+@query
+def filter_webfront_present(spark, folder):
+    beats = b.heartbeats(spark, folder).withColumn(
+        "instance_webfront_url", F.when(F.col("seq") % 3 == 0, "").when(F.col("seq") % 3 == 1, F.col("webfront_url"))
+    )
+    return nested.webfront_link(beats).select("seq", "webfront")
+
+
 @query
 def attach_parent(spark, folder):
-    return nested.attach_parent(_registry(spark, folder)).select(
+    return nested.attach_parent(_registry(spark, folder), key="seq").select(
         "id", "game", "instance_id", "instance_ip_address", "instance_version", "instance_last_heartbeat"
     )
 
@@ -343,10 +361,11 @@ def count_by_key(spark, folder):
 
 def _stat(name: str, key: str, count_by: str | None, metric: str, count: str, of_servers: bool, formatter=None):
     def run(spark, folder):
-        rows = _servers(spark, folder) if of_servers else _registry(spark, folder)
+        rows = _servers(spark, folder) if of_servers else _registry(spark, folder, position=True)
         order = ("place",) if of_servers else ("instance_seq",)
         return breakdown.count_by_key(
-            rows, key, order, count_by, metric_name=metric, metric_count=count, formatter=formatter
+            rows, key, order, count_by, metric_name=metric, metric_count=count, formatter=formatter,
+            key_class="version_kind" if key == "version" else None,
         )
 
     QUERIES[name] = run
@@ -375,7 +394,7 @@ def top_k_stable(spark, folder):
 
 @query
 def stats_all(spark, folder):
-    return breakdown.stats_all(_registry(spark, folder)).withColumn("rank", F.col("rank").cast("bigint"))
+    return breakdown.stats_all(_registry(spark, folder, position=True)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @query
@@ -390,7 +409,14 @@ def instance_count(spark, folder):
 
 @query
 def game_summary(spark, folder):
-    return nested.game_summary(_servers(spark, folder))
+    return nested.game_summary(nested.flatten_nested(_registry(spark, folder), parents=("seq",)))
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """Sorted rows with ``follows``, the id of the row before within the game, as they come out of the sort."""
+    placed = rows.withColumn("_place", F.monotonically_increasing_id())
+    before = Window.partitionBy("game").orderBy("_place")
+    return placed.withColumn("follows", F.lag("id").over(before))
 
 
 @query
@@ -402,13 +428,14 @@ def group_servers(spark, folder):
 @query
 def sort_by_game(spark, folder):
     servers = nested.flatten_nested(b.heartbeats(spark, folder).withColumnRenamed("seq", "instance_seq"))
-    return nested.sort_by_game(servers).select("game", "instance_seq", "id")
+    return _in_order(nested.sort_by_game(servers)).select("game", "instance_seq", "id", "follows")
 
 
 @query
 def sort_by_players(spark, folder):
     servers = nested.flatten_nested(b.heartbeats(spark, folder).withColumnRenamed("seq", "instance_seq"))
-    return nested.sort_by_players(servers).select("game", "instance_seq", F.col("clientnum").cast("bigint").alias("clientnum"), "id")
+    clients = F.col("clientnum").cast("bigint").alias("clientnum")
+    return _in_order(nested.sort_by_players(servers)).select("game", "instance_seq", clients, "id", "follows")
 
 
 @query
@@ -665,7 +692,12 @@ def register_sql_functions(spark, folder):
     b.heartbeats(spark, folder).createOrReplaceTempView("py_heartbeats")
     return spark.sql(
         """SELECT seq, py_format_duration(uptime) AS duration, py_uptime_clock(uptime) AS clock,
-                  py_mask16(uptime) AS masked, py_ceil_div(uptime, 30) AS slots
+                  py_mask16(uptime) AS masked, py_ceil_div(uptime, 30) AS slots,
+                  py_ceil_div(9007199254740993L + seq, 1L) AS large, py_regex_replace(id, '(i)([0-9]+)', '\\\\2-\\\\1') AS swapped,
+                  py_strip_color_codes(concat('^', seq, id, '^:')) AS plain, py_occupancy_label(CAST(seq % 9 AS INT), 9) AS occupancy,
+                  py_connect_string(ip_address, 7) AS connect, py_cents_to_text(seq) AS price, py_price_label('0.00', id) AS free,
+                  py_count_or_zero(nullif(seq % 3, 0)) AS counted, py_content_type(concat(id, '.DLL')) AS kind,
+                  py_percent_half_even(seq % 7, 8) AS percent
            FROM py_heartbeats"""
     )
 

@@ -23,24 +23,21 @@ SERIES_FIELDS = {
 }
 
 
-def spread_small_source(df: DataFrame) -> DataFrame:
-    """``df`` over all cores when it has fewer splits than cores, as it is otherwise.
-
-    For sources of few files before work that is heavy on CPU; a large source is never shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_heartbeats(spark: SparkSession, path: str, remote_ip: str | None = None) -> DataFrame:
-    """JSON heartbeats, one per line, as ``(body, remote_ip, received_at)``.
+    """JSON heartbeats, one per line, as ``(body, remote_ip, received_at, seq)``.
 
-    The sender comes from a ``remote_ip=`` folder unless given; the receive time is the file's.
+    The sender comes from a ``remote_ip=`` folder unless given; the receive time is the file's. ``seq``
+    rises with the place in the file: the byte at which the line's split begins, then the line's number
+    among those a task reads. Splits lie far more bytes apart than a task reads lines per 2**24.
     """
     lines = spark.read.text(path).withColumnRenamed("value", "body")
     sender = F.lit(remote_ip) if remote_ip is not None else F.col("remote_ip").cast("string")
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
     return lines.select(
-        "body", sender.alias("remote_ip"), F.col("_metadata.file_modification_time").alias("received_at")
+        "body",
+        sender.alias("remote_ip"),
+        F.col("_metadata.file_modification_time").alias("received_at"),
+        (F.shiftleft(F.col("_metadata.file_block_start"), 24) + number).alias("seq"),
     )
 
 

@@ -111,3 +111,9 @@ def test_server_order_is_stable(spark):
     assert by_players == sorted(rows, key=lambda r: (r[0], -r[1]))
     summary = {r.game: (r.players, r.servers) for r in nested.game_summary(flat).collect()}
     assert summary == {g: (sum(r[1] for r in rows if r[0] == g), sum(r[0] == g for r in rows)) for g in {r[0] for r in rows}}
+
+
+def test_number_and_text_are_different_keys(spark):
+    rows = spark.createDataFrame([("1", "number", 1), ("1", "string", 2), ("1", "number", 3)], "version string, version_kind string, seq bigint")
+    got = breakdown.count_by_key(rows, "version", ("seq",), key_class="version_kind").collect()
+    assert [(r["key"], r["count"], r.percent) for r in got] == [("1", 2, 67), ("1", 1, 33)]

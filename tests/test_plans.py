@@ -4,8 +4,10 @@ import re
 
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from __spark_entry__ import queries
 from pulseyard.plans import bindings as b
+from pulseyard.plans.oracle import ORACLE
+from pulseyard.plans.registered import QUERIES
 from pulseyard.session import shared_folder
 
 SMALL = "/root/testdata/sf0.001"
@@ -21,7 +23,7 @@ def initial_plan(df) -> str:
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
 
 
 @pytest.mark.parametrize("name", ["count_by_key", "slice_stride"])
@@ -65,3 +67,9 @@ def test_ingestion_does_not_shuffle(spark, tmp_path):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+@pytest.mark.parametrize("name", ["instance_count", "fleet_totals", "exists_by_key", "q_instances", "game_summary"])
+def test_registry_without_position_reads_no_past(spark, name):
+    plan = initial_plan(queries()[name](spark, SMALL))
+    assert plan.count("events.parquet") == 1 and "_cell" not in plan

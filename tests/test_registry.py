@@ -41,7 +41,7 @@ def simulate(rows, now, expiry, sweep):
 @pytest.mark.parametrize("now", [1500, 2101, 4000])
 def test_current_registry_equals_simulation(spark, expiry, sweep, now):
     rows = make_beats(1)
-    got = registry.current_registry(frame(spark, rows), now, expiry=expiry, sweep=sweep).collect()
+    got = registry.current_registry(frame(spark, rows), now, expiry=expiry, sweep=sweep, position=True).collect()
     expected = simulate(rows, now, expiry, sweep)
     assert {r.id: (r.payload, r.last_heartbeat, r.instance_seq) for r in got} == {
         k: (v[3], v[1], v[4]) for k, v in expected.items()

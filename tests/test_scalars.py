@@ -175,3 +175,23 @@ def test_sql_functions_equal_columns(spark):
                   occupancy_label(1, 2) g, connect_string('h', 5) h"""
     ).first()
     assert tuple(row) == ("a", 0, "Free", "1.50", 12, 0, "1/2", "connect h:5")
+
+
+def test_ceil_div_is_exact(spark):
+    big = 2**53 + 1
+    cases = [(7, 3), (-7, 3), (6, 3), (0, 5), (big, 1), (-big, 2), (7, -3), (-7, -3)]
+    rows = spark.createDataFrame(cases, "a bigint, b bigint")
+    fn.register_sql_functions(spark, "t_")
+    rows.createOrReplaceTempView("t_cases")
+    wanted = [-(-a // b) for a, b in cases]
+    assert [r.n for r in rows.select(fn.ceil_div(F.col("a"), F.col("b")).alias("n")).collect()] == wanted
+    assert [r.n for r in spark.sql("SELECT t_ceil_div(a, b) AS n FROM t_cases").collect()] == wanted
+
+
+def test_sql_replace_equals_the_column(spark):
+    fn.register_sql_functions(spark, "t_")
+    row = spark.createDataFrame([("ab $x",)], "s string")
+    row.createOrReplaceTempView("t_texts")
+    for find, put in (("(a)(b)", r"\\2\\1"), ("x", "$1"), ("b", "")):
+        sql = spark.sql("SELECT t_regex_replace(s, :find, :put) AS x FROM t_texts", args={"find": find, "put": put}).first().x
+        assert sql == row.select(fn.regex_replace(F.col("s"), find, put).alias("x")).first().x

@@ -75,12 +75,16 @@ def test_event_bodies(spark):
     assert all(rows[i].error for i in (2, 3, 4)) and rows[5].error is None and rows[5].event_type is None
 
 
-def test_spread_small_source(spark):
-    small = spark.range(100).coalesce(1)
-    cores = spark.sparkContext.defaultParallelism
-    assert readers.spread_small_source(small).rdd.getNumPartitions() == cores
-    wide = spark.range(0, 100, 1, cores + 3)
-    assert readers.spread_small_source(wide) is wide
+def test_lines_reach_the_registry(spark, tmp_path):
+    """Reader to registry: of two heartbeats in one file the later line wins."""
+    from pulseyard.operators import ingest, registry
+
+    lines = [json.dumps({"id": "a", "version": "1", "uptime": n, "servers": []}) for n in range(50)]
+    (tmp_path / "beats.json").write_text("\n".join(lines))
+    raw = readers.read_heartbeats(spark, str(tmp_path), remote_ip="9.9.9.9")
+    assert [r.seq for r in raw.collect()] == sorted({r.seq for r in raw.collect()})
+    good, _ = ingest.reject_quarantine(raw)
+    assert [r.uptime for r in registry.upsert_latest(good).collect()] == [49]
 
 
 def test_census_to_history(spark):

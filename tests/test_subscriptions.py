@@ -44,7 +44,7 @@ def test_counter_equals_fold(spark, seed, coalesce):
     rows = make_events(seed)
     start = {"hot": 2, "a": 0, "b": 5, "c": 0, "d": 1, "idle": 4}
     counts, values, outcomes = fold(rows, start)
-    meta = spark.createDataFrame([(k, v or None) for k, v in start.items()], META)
+    meta = spark.createDataFrame(list(start.items()), META)
     # Without merging of small partitions the hot plan is cut into several blocks.
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
     try:
@@ -143,5 +143,13 @@ def test_catalogue(spark):
 def test_customer_limit(spark):
     customers = spark.createDataFrame([(i, "a@x") for i in range(9, 0, -1)], "id bigint, email string")
     asked = spark.createDataFrame([("a@x",)] * 3, "email string")
-    assert sorted(r.id for r in s.customers_by_email(asked, customers).collect()) == [1, 2, 3, 4]
+    assert sorted(r.id for r in s.customers_by_email(asked, customers, limit=4).collect()) == [1, 2, 3, 4]
+    assert s.customers_by_email(asked, customers).count() == 9
     assert s.first_customer(customers).first().customer_id == 1
+
+
+def test_a_plan_without_a_stored_count_is_an_error(spark):
+    meta = spark.createDataFrame([("none", None), ("zero", 0)], META)
+    rows = [(1, 1, "none", "subscription_created"), (2, 2, "zero", "subscription_created")]
+    events = spark.createDataFrame(rows, "event_id bigint, t bigint, plan_id string, event_type string").withColumn("ts", F.timestamp_seconds("t"))
+    assert {r.event_id: r.outcome for r in s.event_outcome(events, meta).collect()} == {1: "error", 2: "applied"}
