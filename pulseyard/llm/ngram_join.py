@@ -255,16 +255,16 @@ def exact_links(a: np.ndarray, b: np.ndarray, sets: Callable[[int], np.ndarray],
     column = np.unique(column, return_inverse=True)[1]
     place = np.searchsorted(used, a), np.searchsorted(used, b)
     both = np.zeros(len(a), dtype=np.int64)
-    width = max(256, 4_000_000 // len(used))
+    width = max(256, 2_000_000 // len(used))
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
         inside = slice(*np.searchsorted(column, [at, at + width]))
         matrix = np.zeros((len(used), width), dtype=np.float32)
         matrix[row[inside], column[inside] - at] = 1
-        if len(a) * 4 > len(used) ** 2:
+        if len(a) > len(used):
             both += (matrix @ matrix.T)[place].astype(np.int64)
-        else:
+        else:  # no more pairs than rows, so their rows need no more memory than the matrix
             both += np.einsum("ij,ij->i", matrix[place[0]], matrix[place[1]]).astype(np.int64)
     union = size[place[0]] + size[place[1]] - both
     return np.nonzero(both >= threshold * union - 1e-9)[0]

@@ -16,6 +16,9 @@ CATEGORIES = (("quality", 0, "low_quality"), ("toxic", 1, "toxic"))
 
 BUCKETS = 1 << 18
 FOLDS = 5
+
+#: Rows of the sample in which a bucket must occur to be selected.
+LEAST_ROWS = 5
 _STEP = np.uint32(0x01000193)
 _MIX = {4: np.uint32(0x9E3779B1), 5: np.uint32(0x85EBCA77)}
 _SHIFT = np.uint32(32 - 18)
@@ -79,13 +82,13 @@ class Chain:
 
 
 def _select(rows: np.ndarray, buckets: np.ndarray, y: np.ndarray, features: int) -> np.ndarray:
-    """Buckets that differ most between the classes by chi-square, seen in five rows at least."""
+    """Buckets that differ most between the classes by chi-square."""
     with_it = np.bincount(buckets, minlength=BUCKETS).astype(float)
     positive = np.bincount(buckets[y[rows] == 1], minlength=BUCKETS)
     n, p = len(y), y.sum()
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = (positive * n - with_it * p) ** 2 / (with_it * (n - with_it) * p * (n - p))
-    chi[(with_it < 5) | ~np.isfinite(chi)] = 0
+    chi[(with_it < LEAST_ROWS) | ~np.isfinite(chi)] = 0
     best = np.argsort(-chi, kind="stable")[:features]
     return np.sort(best[chi[best] > 0])
 
@@ -142,7 +145,17 @@ def fit_chain(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, folds:
     return chain
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+def _frequent(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of the buckets that ``LEAST_ROWS`` rows have; no other can be selected."""
+    count = np.zeros(BUCKETS, dtype=np.int32)
+    for row in held:
+        count[np.frombuffer(row, dtype="<i4")] += 1
+    kept = [b[count[b] >= LEAST_ROWS] for b in (np.frombuffer(row, dtype="<i4") for row in held)]
+    rows = np.repeat(np.arange(len(kept), dtype=np.int32), [len(b) for b in kept])
+    return rows, np.concatenate(kept) if kept else np.zeros(0, dtype=np.int32)
+
+
+def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Chain fitted on a sample of about ``sample_rows`` labelled documents, chosen by a hash of the id.
 
     The bound holds at any input size: the share of ids that is let in falls as the labels grow, before
@@ -170,9 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows:
     schema = ", ".join(["id long", *[f"{name} int" for name in names], "fold long", "buckets binary"])
     got = sample.select(F.xxhash64("id").alias("id"), *names, "fold", "text").select("id", "text", *names, "fold")
     got = got.mapInPandas(features, schema).toPandas().sort_values(["id", "buckets"]).reset_index(drop=True)
-    held = [np.frombuffer(b, dtype="<i4").astype(np.int64) for b in got["buckets"]]
-    rows = np.repeat(np.arange(len(held)), [len(b) for b in held])
-    buckets = np.concatenate(held) if held else np.zeros(0, dtype=np.int64)
+    rows, buckets = _frequent(got.pop("buckets").tolist())
     return fit_chain(rows, buckets, got[names].to_numpy(dtype=np.int64).reshape(-1, len(names)), got["fold"].to_numpy(), names)
 
 
