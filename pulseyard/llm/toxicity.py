@@ -18,14 +18,14 @@ BUCKETS = 1 << 18
 FOLDS = 5
 
 #: Rows of the sample in which a bucket must occur to be selected.
-LEAST_ROWS = 5
+LEAST_ROWS = 4
 _STEP = np.uint32(0x01000193)
 _MIX = {4: np.uint32(0x9E3779B1), 5: np.uint32(0x85EBCA77)}
-_SHIFT = np.uint32(32 - 18)
+_SHIFT = np.uint32(32 - (BUCKETS.bit_length() - 1))
 
 
-def text_features(texts: Sequence[str], useful: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the text, bucket) of every 4- and 5-gram inside the words of whole texts; each pair once.
+def text_features(texts: Sequence[str], useful: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the text, bucket, log(1 + count)) of every 4- and 5-gram inside the words of whole texts.
 
     With ``useful``, a flag per bucket, only those buckets are reported.
     """
@@ -48,8 +48,8 @@ def text_features(texts: Sequence[str], useful: np.ndarray | None = None) -> tup
                 ok &= useful[buckets]
             at = np.nonzero(ok)[0]
             found.append(numbers[owner[at + 1]] * BUCKETS + buckets[at])
-    key = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
-    return key // BUCKETS, key % BUCKETS
+    key, count = np.unique(np.concatenate(found) if found else np.zeros(0, dtype=np.int64), return_counts=True)
+    return key // BUCKETS, key % BUCKETS, np.log1p(count).astype(np.float32)
 
 
 @dataclass
@@ -72,39 +72,45 @@ class Chain:
     names: tuple[str, ...]
     models: list[Linear] = field(default_factory=list)
 
-    def predict(self, rows: np.ndarray, buckets: np.ndarray, n: int) -> np.ndarray:
+    def predict(self, rows: np.ndarray, buckets: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
         """Probabilities, one column per category, each fed with those before it."""
         odds = np.zeros((n, 0))
         for model in self.models:
-            z = model.bias + np.bincount(rows, weights=model.table()[buckets], minlength=n) + odds @ model.earlier
+            z = model.bias + np.bincount(rows, weights=values * model.table()[buckets], minlength=n) + odds @ model.earlier
             odds = np.column_stack([odds, np.clip(z, -30, 30)])
         return 1 / (1 + np.exp(-odds))
 
 
-def _select(rows: np.ndarray, buckets: np.ndarray, y: np.ndarray, features: int) -> np.ndarray:
-    """Buckets that differ most between the classes by chi-square."""
-    with_it = np.bincount(buckets, minlength=BUCKETS).astype(float)
-    positive = np.bincount(buckets[y[rows] == 1], minlength=BUCKETS)
+def _select(rows: np.ndarray, buckets: np.ndarray, values: np.ndarray, y: np.ndarray, features: int) -> np.ndarray:
+    """Buckets whose values differ most between the classes, by squared difference of means over variance."""
     n, p = len(y), y.sum()
+    with_it = np.bincount(buckets, minlength=BUCKETS)
+    whole = np.bincount(buckets, weights=values, minlength=BUCKETS)
+    square = np.bincount(buckets, weights=values * values, minlength=BUCKETS)
+    yes = y[rows] == 1
+    positive = np.bincount(buckets[yes], weights=values[yes], minlength=BUCKETS)
+    gap = positive / p - (whole - positive) / (n - p)
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi = (positive * n - with_it * p) ** 2 / (with_it * (n - with_it) * p * (n - p))
-    chi[(with_it < LEAST_ROWS) | ~np.isfinite(chi)] = 0
-    best = np.argsort(-chi, kind="stable")[:features]
-    return np.sort(best[chi[best] > 0])
+        gain = gap**2 / (square / n - (whole / n) ** 2)
+    gain[(with_it < LEAST_ROWS) | ~np.isfinite(gain)] = 0
+    best = np.argsort(-gain, kind="stable")[:features]
+    return np.sort(best[gain[best] > 0])
 
 
-def fit_linear(rows: np.ndarray, buckets: np.ndarray, y: np.ndarray, earlier: np.ndarray, features: int, ridge: float = 1.0) -> Linear:
-    """Ridge logistic regression by Newton steps. ``rows`` and ``buckets`` name the ones of a 0/1 matrix."""
+def fit_linear(
+    rows: np.ndarray, buckets: np.ndarray, values: np.ndarray, y: np.ndarray, earlier: np.ndarray, features: int, ridge: float = 0.3
+) -> Linear:
+    """Ridge logistic regression by Newton steps on the sparse matrix (rows, buckets, values)."""
     width = earlier.shape[1]
     if not len(y) or y.min() == y.max():
         sure = 30.0 if len(y) and y[0] else -30.0
         return Linear(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(width), sure)
-    chosen = _select(rows, buckets, y, features)
+    chosen = _select(rows, buckets, values, y, features)
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
     hit = place[buckets] >= 0
     x = np.zeros((len(y), len(chosen) + width + 1), dtype=np.float32)
-    x[rows[hit], place[buckets[hit]]] = 1
+    x[rows[hit], place[buckets[hit]]] = values[hit]
     x[:, len(chosen) : len(chosen) + width] = earlier
     x[:, -1] = 1
     penalty = np.full(x.shape[1], ridge)
@@ -121,7 +127,9 @@ def fit_linear(rows: np.ndarray, buckets: np.ndarray, y: np.ndarray, earlier: np
     return Linear(chosen, w[: len(chosen)], w[len(chosen) : -1], float(w[-1]))
 
 
-def fit_chain(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, folds: np.ndarray, names: Sequence[str], features: int = 384) -> Chain:
+def fit_chain(
+    rows: np.ndarray, buckets: np.ndarray, values: np.ndarray, labels: np.ndarray, folds: np.ndarray, names: Sequence[str], features: int = 256
+) -> Chain:
     """Fit the categories in order. A later model learns from log odds that the earlier ones gave to
     rows of folds they had not seen, as it will meet unseen rows too."""
     chain = Chain(tuple(names))
@@ -129,7 +137,7 @@ def fit_chain(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, folds:
     odds = np.zeros((n, 0))
     for k in range(len(names)):
         y = labels[:, k]
-        chain.models.append(fit_linear(rows, buckets, y, odds, features))
+        chain.models.append(fit_linear(rows, buckets, values, y, odds, features))
         if k + 1 == len(names):
             break
         unseen = np.zeros(n)
@@ -138,21 +146,26 @@ def fit_chain(rows: np.ndarray, buckets: np.ndarray, labels: np.ndarray, folds:
             number = np.full(n, -1)
             number[train] = np.arange(len(train))
             inside = number[rows] >= 0
-            model = fit_linear(number[rows[inside]], buckets[inside], y[train], odds[train], features)
-            z = model.bias + np.bincount(rows, weights=model.table()[buckets], minlength=n) + odds @ model.earlier
+            model = fit_linear(number[rows[inside]], buckets[inside], values[inside], y[train], odds[train], features)
+            z = model.bias + np.bincount(rows, weights=values * model.table()[buckets], minlength=n) + odds @ model.earlier
             unseen[test] = np.clip(z[test], -30, 30)
         odds = np.column_stack([odds, unseen])
     return chain
 
 
-def _frequent(held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of the buckets that ``LEAST_ROWS`` rows have; no other can be selected."""
+def _frequent(buckets: list[bytes], values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, value) of the buckets that ``LEAST_ROWS`` rows have; no other can be selected."""
     count = np.zeros(BUCKETS, dtype=np.int32)
-    for row in held:
+    for row in buckets:
         count[np.frombuffer(row, dtype="<i4")] += 1
-    kept = [b[count[b] >= LEAST_ROWS] for b in (np.frombuffer(row, dtype="<i4") for row in held)]
-    rows = np.repeat(np.arange(len(kept), dtype=np.int32), [len(b) for b in kept])
-    return rows, np.concatenate(kept) if kept else np.zeros(0, dtype=np.int32)
+    rows, kept, held = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.float32)]
+    for i, (b, v) in enumerate(zip(buckets, values, strict=True)):
+        bucket = np.frombuffer(b, dtype="<i4")
+        often = count[bucket] >= LEAST_ROWS
+        kept.append(bucket[often])
+        held.append(np.frombuffer(v, dtype="<f4")[often])
+        rows.append(np.full(len(kept[-1]), i, dtype=np.int32))
+    return np.concatenate(rows), np.concatenate(kept), np.concatenate(held)
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
@@ -175,19 +188,21 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows:
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows, buckets = text_features(batch["text"].tolist())
+            rows, buckets, values = text_features(batch["text"].tolist())
             cut = np.searchsorted(rows, np.arange(len(batch) + 1))
-            held = [buckets[a:b].astype("<i4").tobytes() for a, b in zip(cut, cut[1:], strict=False)]
-            yield batch.drop(columns="text").assign(buckets=held)
+            spans = list(zip(cut, cut[1:], strict=False))
+            held = [buckets[a:b].astype("<i4").tobytes() for a, b in spans]
+            counted = [values[a:b].astype("<f4").tobytes() for a, b in spans]
+            yield batch.drop(columns="text").assign(buckets=held, counts=counted)
 
-    schema = ", ".join(["id long", *[f"{name} int" for name in names], "fold long", "buckets binary"])
+    schema = ", ".join(["id long", *[f"{name} int" for name in names], "fold long", "buckets binary", "counts binary"])
     got = sample.select(F.xxhash64("id").alias("id"), *names, "fold", "text").select("id", "text", *names, "fold")
     got = got.mapInPandas(features, schema).toPandas().sort_values(["id", "buckets"]).reset_index(drop=True)
-    rows, buckets = _frequent(got.pop("buckets").tolist())
-    return fit_chain(rows, buckets, got[names].to_numpy(dtype=np.int64).reshape(-1, len(names)), got["fold"].to_numpy(), names)
+    rows, buckets, values = _frequent(got.pop("buckets").tolist(), got.pop("counts").tolist())
+    return fit_chain(rows, buckets, values, got[names].to_numpy(dtype=np.int64).reshape(-1, len(names)), got["fold"].to_numpy(), names)
 
 
-def score(docs: DataFrame, chain: Chain, limit: float = 0.5, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, chain: Chain, limit: float = 0.4, text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``p_<category>`` and ``toxic`` (last category at ``limit`` or above).
 
     Whole texts, no shuffle. Null and empty texts have no n-gram and get the models' base rates. Without
@@ -203,8 +218,8 @@ def score(docs: DataFrame, chain: Chain, limit: float = 0.5, text_col: str = "te
         tables = [m.table() for m in chain.models]
         useful = np.any([t != 0 for t in tables], axis=0)
         for texts in batches:
-            rows, buckets = text_features(texts.tolist(), useful)
-            yield pd.DataFrame(chain.predict(rows, buckets, len(texts)), columns=list(chain.names))
+            rows, buckets, values = text_features(texts.tolist(), useful)
+            yield pd.DataFrame(chain.predict(rows, buckets, values, len(texts)), columns=list(chain.names))
 
     scored = docs.withColumn(held, predict(text_or_empty(text_col)))
     columns = [F.col(f"{held}.{name}").alias(f"p_{name}") for name in chain.names]

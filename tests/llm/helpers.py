@@ -4,9 +4,10 @@ from pathlib import Path
 
 SMALL = Path("/root/testdata/sf0.001")
 MEDIUM = Path("/root/testdata/sf0.01")
+LARGE = Path("/root/testdata/sf0.1")
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size string, score string, labels string, copies int"
-LONG = "Lorem ipsum dolor sit amet, consetetur sadipscing elitr. " * 4000 + "x" * 5000
+LONG = "Lorem ipsum dolor sit amet, consetetur sadipscing elitr. " * 1500 + "x" * 3000
 
 
 def awkward_rows():
