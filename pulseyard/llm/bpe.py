@@ -3,14 +3,14 @@
 import base64
 import heapq
 from collections.abc import Callable, Iterator, Sequence
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty, without
+from .shared import short_batches, text_or_empty, without
 
 OUTPUT = ("token_ids", "decoded")
 
@@ -26,7 +26,7 @@ MATRIX_CELLS = 1 << 18
 LONGEST_ROW = 1024
 
 #: Encoded pieces that a task remembers; when full it starts afresh, which changes no result.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 200_000
 
 _NEVER = np.int32(2**31 - 1)
 
@@ -84,25 +84,35 @@ class PairTable:
 
 
 class Vocabulary:
+    """Token ids; the tables for merging are built when a text is first encoded, so that decoding needs none."""
+
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-        left, right, merged = [], [], []
         for token, rank in ranks.items():
             self.tokens[rank] = token
-            for cut in range(1, len(token)):
-                a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
-                if a is not None and b is not None:
-                    left.append(a)
-                    right.append(b)
-                    merged.append(rank)
-        self.pairs = PairTable(*(np.array(x, dtype=np.int64) for x in (left, right)), np.array(merged, dtype=np.int32))
-        self.pair_ranks = dict(zip(zip(left, right, strict=True), merged, strict=True))
         self.bytes_to_id = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         lengths = np.array([len(t) for t in self.tokens], dtype=np.int64)
         self.flat = np.frombuffer(b"".join(self.tokens), dtype=np.uint8)
         self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
 
+    def _merges(self) -> Iterator[tuple[int, int, int]]:
+        """(left id, right id, merged id) of every way to put a token together from two."""
+        for token, rank in self.ranks.items():
+            for cut in range(1, len(token)):
+                a, b = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
+                if a is not None and b is not None:
+                    yield a, b, rank
+
+    @cached_property
+    def pairs(self) -> PairTable:
+        found = np.fromiter(self._merges(), dtype=np.dtype((np.int64, 3)))
+        return PairTable(found[:, 0], found[:, 1], found[:, 2].astype(np.int32))
+
+    @cached_property
+    def pair_ranks(self) -> dict[tuple[int, int], int]:
+        return {(a, b): rank for a, b, rank in self._merges()}
+
     def encode_pieces(self, pieces: Sequence[bytes]) -> list[bytes]:
         """Ids of each piece as little-endian 32-bit integers."""
         out: list[bytes] = [b""] * len(pieces)
@@ -231,8 +241,8 @@ def text_encoder(vocab: Vocabulary, pattern: str, coarse: str | None = None) ->
     return encode
 
 
-def _slices(texts: Sequence[str], characters: int = 4_000_000) -> Iterator[list[str]]:
-    """Consecutive texts of some million characters together; a longer text stands alone."""
+def _slices(texts: Sequence[str], characters: int = 1_000_000) -> Iterator[list[str]]:
+    """Consecutive texts of a million characters together; a longer text stands alone."""
     held, size = [], 0
     for text in texts:
         if held and size + len(text) > characters:
@@ -280,6 +290,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, coarse: str | None =
     are replaced.
     """
     docs = without(docs, OUTPUT)
+    short_batches(docs.sparkSession)
     file = read_file(path)
     encoded = docs.withColumn("token_ids", encode_column(text_or_empty(text_col), file, pattern, coarse))
     return encoded.withColumn("decoded", decode_column(F.col("token_ids"), file))

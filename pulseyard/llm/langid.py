@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngrams import letter_codes, parts, windows
-from .shared import spare_names, text_or_empty, without
+from .shared import short_batches, spare_names, text_or_empty, without
 
 UNKNOWN = "und"
 OUTPUT = ("lang_pred", "score")
@@ -47,6 +47,8 @@ def _slot_numbers(grams: np.ndarray, size: int, hashes: int) -> list[np.ndarray]
 def gram_counts(labelled: DataFrame) -> DataFrame:
     """(lang, gram, n) over all rows of (text, lang); counted per batch before the shuffle."""
 
+    short_batches(labelled.sparkSession)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for lang, texts in rows.groupby("lang")["text"]:
@@ -118,6 +120,7 @@ def identify(docs: DataFrame, filters: LanguageFilters, text_col: str = "text")
     bounded size; there is no shuffle. Input columns named like an output are replaced.
     """
     docs = without(docs, OUTPUT)
+    short_batches(docs.sparkSession)
     (guess,) = spare_names(docs, "language_guess")
 
     @F.pandas_udf("lang string, score double")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pulseyard.session import stored
 
 from .components import connected_components
-from .shared import may_contain, membership_bits, spare_names, text_or_empty
+from .shared import may_contain, membership_bits, short_batches, spare_names, text_or_empty
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -335,6 +335,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     left is verified on the whole sets. Groups are cut into blocks; a task sees two blocks at most and
     returns counts and a tree of links, not pairs.
     """
+    short_batches(docs.sparkSession)
     signed = stored(sign(docs, id_col, text_col))
     counted = signed.groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
     texts = signed.dropDuplicates(["key"]).select("key", "id", "signature", "bands")

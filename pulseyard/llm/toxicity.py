@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ngrams import letter_codes, parts
-from .shared import spare_names, text_or_empty, uniform, without
+from .shared import short_batches, spare_names, text_or_empty, uniform, without
 
 #: The chain: label column, value that means "yes", name of the category. Later ones see earlier ones.
 CATEGORIES = (("quality", 0, "low_quality"), ("toxic", 1, "toxic"))
@@ -25,7 +25,7 @@ _SHIFT = np.uint32(32 - (BUCKETS.bit_length() - 1))
 
 
 def text_features(texts: Sequence[str], useful: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the text, bucket, log(1 + count)) of every 4- and 5-gram inside the words of whole texts.
+    """(number of the text, bucket, log(1 + count up to 255)) of every 4- and 5-gram inside the words of whole texts.
 
     With ``useful``, a flag per bucket, only those buckets are reported.
     """
@@ -49,7 +49,7 @@ def text_features(texts: Sequence[str], useful: np.ndarray | None = None) -> tup
             at = np.nonzero(ok)[0]
             found.append(numbers[owner[at + 1]] * BUCKETS + buckets[at])
     key, count = np.unique(np.concatenate(found) if found else np.zeros(0, dtype=np.int64), return_counts=True)
-    return key // BUCKETS, key % BUCKETS, np.log1p(count).astype(np.float32)
+    return key // BUCKETS, key % BUCKETS, np.log1p(np.minimum(count, 255)).astype(np.float32)
 
 
 @dataclass
@@ -163,12 +163,12 @@ def _frequent(buckets: list[bytes], values: list[bytes]) -> tuple[np.ndarray, np
         bucket = np.frombuffer(b, dtype="<i4")
         often = count[bucket] >= LEAST_ROWS
         kept.append(bucket[often])
-        held.append(np.frombuffer(v, dtype="<f4")[often])
+        held.append(np.log1p(np.frombuffer(v, dtype=np.uint8)[often], dtype=np.float32))
         rows.append(np.full(len(kept[-1]), i, dtype=np.int32))
     return np.concatenate(rows), np.concatenate(kept), np.concatenate(held)
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Chain fitted on a sample of about ``sample_rows`` labelled documents, chosen by a hash of the id.
 
     The bound holds at any input size: the share of ids that is let in falls as the labels grow, before
@@ -185,6 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows:
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).filter(chosen)
     sample = texts.join(marked.filter(chosen), "id").withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "id"), F.lit(FOLDS)))
     names = [name for _, _, name in categories]
+    short_batches(docs.sparkSession)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -192,7 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows:
             cut = np.searchsorted(rows, np.arange(len(batch) + 1))
             spans = list(zip(cut, cut[1:], strict=False))
             held = [buckets[a:b].astype("<i4").tobytes() for a, b in spans]
-            counted = [values[a:b].astype("<f4").tobytes() for a, b in spans]
+            counts = np.minimum(np.rint(np.expm1(values)), 255).astype(np.uint8)
+            counted = [counts[a:b].tobytes() for a, b in spans]
             yield batch.drop(columns="text").assign(buckets=held, counts=counted)
 
     schema = ", ".join(["id long", *[f"{name} int" for name in names], "fold long", "buckets binary", "counts binary"])
@@ -210,6 +212,7 @@ def score(docs: DataFrame, chain: Chain, limit: float = 0.4, text_col: str = "te
     """
     output = [f"p_{name}" for name in chain.names] + ["toxic"]
     docs = without(docs, output)
+    short_batches(docs.sparkSession)
     (held,) = spare_names(docs, "toxicity_scores")
     schema = ", ".join(f"`{name}` double" for name in chain.names)
 
