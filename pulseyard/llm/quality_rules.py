@@ -70,7 +70,9 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     by_sort = F.transform(pairs, lambda p, i: F.when(twin(p, F.get(pairs, i - 1)) | twin(p, F.get(pairs, i + 1)), p["i"]))
     starts = F.when(~many, looked_up).otherwise(F.array_sort(F.filter(by_sort, lambda x: x.isNotNull())))
     covered = F.when(F.col(twice).isNull(), F.lit(0).cast("long")).otherwise(_starts_covered(starts))
-    return counted.withColumn("n_repeat_words", covered).select(*docs.columns, *BASE, "n_lines")
+    counts = F.struct(*BASE[:-1], covered.alias("n_repeat_words"), "n_lines")
+    # A filter on the counts must not copy their expressions below this step, and into each other's lambdas.
+    return counted.select(*docs.columns, F.inline(F.array(counts)))
 
 
 def _rate(top: str, bottom: str) -> Column:

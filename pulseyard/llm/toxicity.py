@@ -168,7 +168,7 @@ def _frequent(buckets: list[bytes], values: list[bytes]) -> tuple[np.ndarray, np
     return np.concatenate(rows), np.concatenate(kept), np.concatenate(held)
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Chain fitted on a sample of about ``sample_rows`` labelled documents, chosen by a hash of the id.
 
     The bound holds at any input size: the share of ids that is let in falls as the labels grow, before
