@@ -207,14 +207,15 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows:
 def score(docs: DataFrame, chain: Chain, limit: float = 0.4, text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with ``p_<category>`` and ``toxic`` (last category at ``limit`` or above).
 
-    Whole texts, no shuffle. Null and empty texts have no n-gram and get the models' base rates. Without
+    Whole texts, no shuffle. Null and empty texts have no n-gram and get the models' base rates. A text is
+    toxic only if its own n-grams speak for it, so a high base rate alone rejects nothing, and without
     labels nothing is toxic. Input columns named like an output are replaced.
     """
     output = [f"p_{name}" for name in chain.names] + ["toxic"]
     docs = without(docs, output)
     short_batches(docs.sparkSession)
     (held,) = spare_names(docs, "toxicity_scores")
-    schema = ", ".join(f"`{name}` double" for name in chain.names)
+    schema = ", ".join([*[f"`{name}` double" for name in chain.names], "speaks_for_it boolean"])
 
     @F.pandas_udf(schema)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -222,8 +223,11 @@ def score(docs: DataFrame, chain: Chain, limit: float = 0.4, text_col: str = "te
         useful = np.any([t != 0 for t in tables], axis=0)
         for texts in batches:
             rows, buckets, values = text_features(texts.tolist(), useful)
-            yield pd.DataFrame(chain.predict(rows, buckets, values, len(texts)), columns=list(chain.names))
+            scored = pd.DataFrame(chain.predict(rows, buckets, values, len(texts)), columns=list(chain.names))
+            own = np.bincount(rows, weights=values * tables[-1][buckets], minlength=len(texts))
+            yield scored.assign(speaks_for_it=own > 0)
 
     scored = docs.withColumn(held, predict(text_or_empty(text_col)))
     columns = [F.col(f"{held}.{name}").alias(f"p_{name}") for name in chain.names]
-    return scored.select(*docs.columns, *columns, (F.col(f"{held}.{chain.names[-1]}") >= limit).alias("toxic"))
+    toxic = (F.col(f"{held}.{chain.names[-1]}") >= limit) & F.col(f"{held}.speaks_for_it")
+    return scored.select(*docs.columns, *columns, toxic.alias("toxic"))
