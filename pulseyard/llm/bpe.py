@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import short_batches, text_or_empty, without
+from .shared import short_batches, spare_names, text_or_empty, without
 
 OUTPUT = ("token_ids", "decoded")
 
@@ -26,7 +26,7 @@ MATRIX_CELLS = 1 << 18
 LONGEST_ROW = 1024
 
 #: Encoded pieces that a task remembers; when full it starts afresh, which changes no result.
-CACHED_PIECES = 200_000
+CACHED_PIECES = 100_000
 
 _NEVER = np.int32(2**31 - 1)
 
@@ -241,8 +241,8 @@ def text_encoder(vocab: Vocabulary, pattern: str, coarse: str | None = None) ->
     return encode
 
 
-def _slices(texts: Sequence[str], characters: int = 1_000_000) -> Iterator[list[str]]:
-    """Consecutive texts of a million characters together; a longer text stands alone."""
+def _slices(texts: Sequence[str], characters: int = 500_000) -> Iterator[list[str]]:
+    """Consecutive texts of half a million characters together; a longer text stands alone."""
     held, size = [], 0
     for text in texts:
         if held and size + len(text) > characters:
@@ -292,5 +292,16 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, coarse: str | None =
     docs = without(docs, OUTPUT)
     short_batches(docs.sparkSession)
     file = read_file(path)
-    encoded = docs.withColumn("token_ids", encode_column(text_or_empty(text_col), file, pattern, coarse))
-    return encoded.withColumn("decoded", decode_column(F.col("token_ids"), file))
+    (both,) = spare_names(docs, "ids_and_bytes")
+
+    @F.pandas_udf("token_ids binary, decoded binary")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        vocab = vocabulary(file)
+        encoder = text_encoder(vocab, pattern, coarse)
+        for texts in batches:
+            ids = [x for part in _slices(texts.tolist()) for x in encoder(part)]
+            yield pd.DataFrame({"token_ids": ids, "decoded": [vocab.decode(x) for x in ids]})
+
+    # One step for both, so that a task needs one Python worker and one vocabulary.
+    done = docs.withColumn(both, run(text_or_empty(text_col)))
+    return done.select(*docs.columns, f"{both}.token_ids", f"{both}.decoded")

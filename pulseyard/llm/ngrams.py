@@ -6,7 +6,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Characters worked on together; texts are cut between words into parts of this size, never shortened.
-CHARACTERS = 1_000_000
+CHARACTERS = 300_000
 
 
 @lru_cache(maxsize=1)

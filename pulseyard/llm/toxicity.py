@@ -17,6 +17,9 @@ CATEGORIES = (("quality", 0, "low_quality"), ("toxic", 1, "toxic"))
 BUCKETS = 1 << 18
 FOLDS = 5
 
+#: Texts whose n-grams a worker holds at once while the sample is read.
+ROWS_AT_ONCE = 50
+
 #: Rows of the sample in which a bucket must occur to be selected.
 LEAST_ROWS = 4
 _STEP = np.uint32(0x01000193)
@@ -188,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows:
     short_batches(docs.sparkSession)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in (whole.iloc[at : at + ROWS_AT_ONCE] for whole in batches for at in range(0, len(whole), ROWS_AT_ONCE)):
             rows, buckets, values = text_features(batch["text"].tolist())
             cut = np.searchsorted(rows, np.arange(len(batch) + 1))
             spans = list(zip(cut, cut[1:], strict=False))
