@@ -22,35 +22,50 @@ PHRASES = (
 
 @dataclass(frozen=True)
 class Template:
+    """``marks`` tell a template from its siblings: of each group at least one phrase must stand in a block."""
+
     label: str
     text: str
+    marks: tuple[tuple[str, ...], ...] = ()
+
 
+GPL = ("gnu general public license",)
 
 #: Customary wordings of license notices, lower-case words as the scanner sees them.
 TEMPLATES = (
-    Template("apache-2.0", "licensed under the apache license version 2 0"),
-    Template("gpl-3.0", "licensed under the gnu general public license version 3"),
-    Template("gpl-2.0", "licensed under the gnu general public license version 2"),
-    Template("cc-by-nc", "licensed under cc by nc 4 0"),
-    Template("cc-by-sa", "licensed under cc by sa 4 0"),
-    Template("mit", "released under the mit license"),
+    Template("apache-2.0", "licensed under the apache license version 2 0", (("apache",), ("version 2", "license 2", "v 2"))),
+    Template("gpl-3.0", "licensed under the gnu general public license version 3", (GPL, ("version 3", "license 3", "v 3", "or 3", "and 3"))),
+    Template("gpl-2.0", "licensed under the gnu general public license version 2", (GPL, ("version 2", "versions 2", "license 2", "v 2"))),
+    Template("cc-by-nc", "licensed under cc by nc 4 0", (("by nc",),)),
+    Template("cc-by-sa", "licensed under cc by sa 4 0", (("by sa",),)),
+    Template("mit", "released under the mit license", (("mit license", "mit licence", "the mit"),)),
     Template(
         "mit",
         "permission is hereby granted free of charge to any person obtaining a copy of this software "
         "and associated documentation files",
+        (("associated",),),
     ),
     Template(
         "gpl",
         "this program is free software you can redistribute it and or modify it under the terms of the "
         "gnu general public license",
+        (GPL,),
     ),
     Template(
         "bsd",
         "redistribution and use in source and binary forms with or without modification are permitted "
         "provided that the following conditions are met",
     ),
-    Template("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    Template(
+        "cc-by",
+        "this work is licensed under a creative commons attribution 4 0 international license",
+        (tuple(f"attribution {w}" for w in ("1", "2", "3", "4", "international", "license")),),
+    ),
+    Template(
+        "mpl-2.0",
+        "this source code form is subject to the terms of the mozilla public license v 2 0",
+        (("mozilla",), ("v 2", "version 2", "license 2")),
+    ),
 )
 
 OUTPUT = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -92,13 +107,14 @@ def token_order(docs: DataFrame, vocabulary: Sequence[str], text_col: str = "tex
 
 
 def containment_join(blocks: DataFrame, templates: Sequence[Template], order: Sequence[str], threshold: float) -> DataFrame:
-    """All (block, template) with ``|block & template| >= threshold * |template|``, tokens as sets.
+    """All (block, template) with ``|block & template| >= threshold * |template|``, tokens as sets, and the marks.
 
     ``blocks`` has ``key`` and ``tokens``. Tokens of a block outside the templates cannot count and are
     left out at once; the rest stand in the global order, rarest first. A template that keeps ``need``
     tokens must share one of its first ``size - need + 1``, so only these are joined on. The length
     filter asks for ``need`` tokens in the block; the positional filter asks for enough tokens behind
-    the shared one on both sides. What is left is verified on the whole sets.
+    the shared one on both sides. What is left is verified on the whole sets. Siblings share most tokens
+    at any threshold, so each also needs its own marks, as phrases in the words of the block.
     """
     place = {token: i for i, token in enumerate(order)}
     index = []
@@ -106,17 +122,20 @@ def containment_join(blocks: DataFrame, templates: Sequence[Template], order: Se
         tokens = sorted(set(template.text.split()), key=place.__getitem__)
         need = ceil(threshold * len(tokens) - 1e-9)
         for position, token in enumerate(tokens[: len(tokens) - need + 1]):
-            index.append((token, position, number, template.label, tokens, need))
-    schema = "token string, t_place int, template int, label string, t_tokens array<string>, need int"
+            marks = [[f" {phrase} " for phrase in group] for group in template.marks]
+            index.append((token, position, number, template.label, tokens, need, marks))
+    schema = "token string, t_place int, template int, label string, t_tokens array<string>, need int, marks array<array<string>>"
     prefixes = F.broadcast(blocks.sparkSession.createDataFrame(index, schema))  # as many rows as template tokens
     least = min(row[5] for row in index)
     known = F.array_intersect(F.array(*[F.lit(t) for t in order]), F.col("tokens"))
-    ordered = blocks.select("key", known.alias("tokens")).filter(F.size("tokens") >= least)
-    heads = ordered.select("key", "tokens", F.posexplode(F.slice("tokens", F.lit(1), F.size("tokens") - least + 1)).alias("b_place", "token"))
+    read = F.concat(F.lit(" "), F.array_join("tokens", " "), F.lit(" "))
+    ordered = blocks.select("key", known.alias("tokens"), read.alias("block")).filter(F.size("tokens") >= least)
+    heads = ordered.select("key", "tokens", "block", F.posexplode(F.slice("tokens", F.lit(1), F.size("tokens") - least + 1)).alias("b_place", "token"))
     behind = F.least(F.size("t_tokens") - F.col("t_place"), F.size("tokens") - F.col("b_place"))
     candidates = heads.join(prefixes, "token").filter((F.size("tokens") >= F.col("need")) & (behind >= F.col("need")))
     shared = F.size(F.array_intersect("t_tokens", "tokens"))
-    return candidates.filter(shared >= F.col("need")).select("key", "template", "label", (shared / F.size("t_tokens")).alias("containment"))
+    marked = F.forall("marks", lambda group: F.exists(group, lambda phrase: F.contains("block", phrase)))
+    return candidates.filter((shared >= F.col("need")) & marked).select("key", "template", "label", (shared / F.size("t_tokens")).alias("containment"))
 
 
 def license_scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

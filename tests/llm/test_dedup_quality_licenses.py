@@ -122,3 +122,31 @@ def test_containment_join_is_exact(spark):
     got = {(r["key"], r["template"]) for r in got.collect()}
     wanted = {(i, k) for i, b in blocks for k, t in enumerate(templates) if len(set(t.text.split()) & set(b)) >= 0.7 * len(set(t.text.split())) - 1e-9}
     assert got == wanted and wanted
+
+
+def template_labels(spark, texts):
+    """The labels of every text that do not come from a base phrase."""
+    rows = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    return [set(r["labels"].split(",")) - set(r["base_labels"].split(",")) for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_license_siblings(spark):
+    """A notice gets the label of its own template, not that of a sibling which shares most of its tokens."""
+    wanted = {
+        "Licensed under the GNU General Public License, version 3.": {"gpl-3.0"},
+        "Licensed under the GNU General Public License, version 2.": {"gpl-2.0"},
+        "Licensed under the GNU General Public License, version 2, see section 3.": {"gpl-2.0"},
+        "Licensed under the GNU General Public License, version 2 or version 3.": {"gpl-2.0", "gpl-3.0"},
+        "Licensed under the GNU Lesser General Public License, version 3.": set(),
+        "Licensed under CC BY-NC 4.0": {"cc-by-nc"},
+        "Licensed under CC BY-SA 4.0": {"cc-by-sa"},
+        "Licensed under CC BY-NC-SA 4.0": {"cc-by-nc"},
+        "Released under the MIT license": set(),  # a base phrase says it
+        "Released under the BSD license": set(),
+        "Licensed under the Apache License, Version 2.0": {"apache-2.0"},
+        "Licensed under the Apache License, Version 1.0": set(),
+        "Licensed under the Mozilla Public License, Version 2.0": set(),
+    }
+    assert dict(zip(wanted, template_labels(spark, wanted), strict=True)) == wanted
+    bsd = license_scan.license_scan(spark.createDataFrame([(1, "Released under the BSD license")], "doc_id int, text string")).first()
+    assert (bsd["labels"], bsd["score"]) == ("", 0)
