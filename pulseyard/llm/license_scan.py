@@ -138,10 +138,36 @@ def containment_join(blocks: DataFrame, templates: Sequence[Template], order: Se
     return candidates.filter((shared >= F.col("need")) & marked).select("key", "template", "label", (shared / F.size("t_tokens")).alias("containment"))
 
 
+def may_hold(text: Column, templates: Sequence[Template], threshold: float) -> Column:
+    """Whether the text as a whole has the tokens that one of the templates needs; a block of it has no others."""
+    vocabulary = sorted({t for x in templates for t in x.text.split()})
+    held = F.array_intersect(F.array(*[F.lit(t) for t in vocabulary]), words_of(text))
+    sets = [sorted(set(x.text.split())) for x in templates]
+    needs = F.array(*[F.struct(F.array(*[F.lit(t) for t in s]).alias("tokens"), F.lit(ceil(threshold * len(s) - 1e-9)).alias("need")) for s in sets])
+    least = min(ceil(threshold * len(s) - 1e-9) for s in sets)
+    enough = F.filter(F.array(held), lambda h: F.size(h) >= least)
+    return F.exists(enough, lambda h: F.exists(needs, lambda t: F.size(F.array_intersect(t["tokens"], h)) >= t["need"]))
+
+
+def text_blocks(texts: DataFrame, longest: int) -> DataFrame:
+    """(key, tokens) of every line, and of windows of the words of a text that has more than one line.
+
+    Windows have ``2 * longest`` words and start every ``longest`` words, so each run of up to ``longest``
+    words lies whole in one of them, wherever its lines end.
+    """
+    lines = F.transform(F.split("text", "\n"), words_of)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - longest, F.lit(1)), F.lit(longest))
+    windows = F.transform(starts, lambda at: F.slice("words", at, 2 * longest))
+    several = F.when(F.contains("text", F.lit("\n")), windows).otherwise(F.array().cast("array<array<string>>"))
+    read = texts.select("key", "text", F.explode(F.array(words_of(F.col("text")))).alias("words"))
+    return read.select("key", F.explode(F.concat(lines, several)).alias("tokens"))
+
+
 def license_scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with counts and places of the base phrases, labels and a score.
 
-    Text blocks are lines. ``labels`` has the base labels and those of templates contained in a block;
+    Text blocks are lines and, since notices are wrapped, windows of the words across line ends (see
+    ``text_blocks``). ``labels`` has the base labels and those of templates contained in a block;
     ``score`` is 1 for a base phrase, else the largest containment, else 0. Null and empty texts have no
     words, no places (null) and empty labels. Repeated rows get the same result each. Input columns named
     like an output are replaced.
@@ -153,12 +179,8 @@ def license_scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, thr
 
     vocabulary = sorted({t for x in templates for t in x.text.split()})
     order = token_order(docs, vocabulary, text_col)
-    least = min(ceil(threshold * len(set(x.text.split())) - 1e-9) for x in templates)
-    known = F.array(*[F.lit(t) for t in vocabulary])
-    hopeful = docs.select(identity.alias("key"), text.alias("text"))
-    hopeful = hopeful.filter(F.size(F.array_intersect(known, words_of(F.col("text")))) >= least)
-    lines = hopeful.select("key", F.explode(F.split("text", "\n")).alias("line"))
-    blocks = lines.select("key", words_of(F.col("line")).alias("tokens"))
+    texts = docs.select(identity.alias("key"), text.alias("text"))
+    blocks = text_blocks(texts.filter(may_hold(F.col("text"), templates, threshold)), max(len(x.text.split()) for x in templates))
     found = containment_join(blocks, templates, order, threshold)
     found = found.groupBy("key").agg(F.collect_set("label").alias("found_labels"), F.max("containment").alias("containment"))
     found = found.select(F.col("key").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in ("found_labels", "containment")])

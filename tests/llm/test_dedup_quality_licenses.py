@@ -150,3 +150,24 @@ def test_license_siblings(spark):
     assert dict(zip(wanted, template_labels(spark, wanted), strict=True)) == wanted
     bsd = license_scan.license_scan(spark.createDataFrame([(1, "Released under the BSD license")], "doc_id int, text string")).first()
     assert (bsd["labels"], bsd["score"]) == ("", 0)
+
+
+def test_license_wrapped(spark):
+    """Notices that are wrapped anywhere, with comment marks and text around them, keep their labels."""
+    import textwrap
+
+    filler = "lorem ipsum dolor sit amet " * 30
+    texts, wanted = [], []
+    for template in license_scan.TEMPLATES:
+        for width in (16, 30, 76):
+            for before in (0, 1, 20, 21, 22, 43, 44, 45, 66):
+                words = filler.split()[:before] + template.text.split() + filler.split()
+                texts.append("\n".join(f"# {line}" for line in textwrap.wrap(" ".join(words), width)))
+                wanted.append(template.label)
+    rows = license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert wanted[r["doc_id"]] in r["labels"].split(",") and r["score"] == 1, texts[r["doc_id"]]
+    grant = license_scan.TEMPLATES[6].text
+    apart = spark.createDataFrame([(1, (filler * 3).join(grant.split(" free ")))], "doc_id int, text string")
+    assert license_scan.license_scan(apart.selectExpr("doc_id", "replace(text, 'dolor', '\n') AS text")).first()["labels"] == ""
