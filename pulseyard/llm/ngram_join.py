@@ -16,8 +16,8 @@ from .shared import may_contain, membership_bits, short_batches, spare_names, te
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 
-#: MinHash values per text; bands of ROWS values name the candidates.
-HASHES, BANDS, ROWS = 128, 20, 5
+#: MinHash values per text, and the largest probability that no band names a pair at the threshold.
+HASHES, BAND_MISS = 128, 1e-4
 
 #: Values compared at a time, and the posterior probability below which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-5
@@ -78,6 +78,15 @@ def minhash(sets: list[np.ndarray], hashes: int = HASHES) -> np.ndarray:
     return out
 
 
+def bands_and_rows(threshold: float = THRESHOLD, hashes: int = HASHES, miss: float = BAND_MISS) -> tuple[int, int]:
+    """The widest bands, with as many of them as the hashes allow, that miss a pair at the threshold at most so often."""
+    for rows in range(hashes, 0, -1):
+        bands = hashes // rows
+        if (1 - threshold**rows) ** bands <= miss:
+            return bands, rows
+    raise ValueError(f"{hashes} MinHash values cannot name the pairs at a similarity of {threshold}")
+
+
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, hashes: int = HASHES, step: int = STEP) -> list[tuple[int, int]]:
     """(values compared, matches that a pair needs to stay).
 
@@ -170,13 +179,14 @@ def _signatures(rows: pd.DataFrame) -> np.ndarray:
     return np.frombuffer(b"".join(rows["signature"]), dtype=np.uint16).reshape(len(rows), -1)
 
 
-def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(id, key, signature, bands): key is the MD5 of the text, the signature 16 bits per MinHash value.
 
     No shuffle; whole texts. Texts without words have no bands.
     """
+    n_bands, n_rows = bands_and_rows(threshold)
     id_type = docs.schema[id_col].dataType.simpleString()
-    salts = np.random.default_rng(21).integers(1, 2**63, size=BANDS, dtype=np.uint64) | np.uint64(1)
+    salts = np.random.default_rng(21).integers(1, 2**63, size=n_bands, dtype=np.uint64) | np.uint64(1)
 
     def signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _WordHashes()
@@ -186,10 +196,10 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 sets = [shingles(text, words) for text in rows["text"]]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 values = minhash([sets[i] for i in full])
-                bands = np.zeros((len(full), BANDS), dtype=np.uint64)
-                for band in range(BANDS):
-                    for row in range(ROWS):
-                        bands[:, band] = (bands[:, band] ^ values[:, band * ROWS + row]) * salts[band]
+                bands = np.zeros((len(full), n_bands), dtype=np.uint64)
+                for band in range(n_bands):
+                    for row in range(n_rows):
+                        bands[:, band] = (bands[:, band] ^ values[:, band * n_rows + row]) * salts[band]
                         bands[:, band] ^= bands[:, band] >> np.uint64(31)
                 out_bands: list = [[]] * len(rows)
                 out_signature = [b""] * len(rows)
@@ -201,7 +211,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return texts.mapInPandas(signed, f"id {id_type}, key binary, signature binary, bands array<long>")
 
 
-def candidate_links(texts: DataFrame) -> DataFrame:
+def candidate_links(texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Edges (a, b) that connect all texts whose pairs share a band and pass the pruning.
 
     ``texts`` has one row per distinct text. Only bands shared by two texts go on; per group of texts a
@@ -210,7 +220,7 @@ def candidate_links(texts: DataFrame) -> DataFrame:
     rows = texts.select("key", F.explode(F.array_distinct("bands")).alias("band"))
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = rows.join(shared, "band").join(texts.select("key", "signature"), "key")
-    table = least_matches()
+    table = least_matches(threshold)
 
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows, starts in _whole_groups(batches, ["band", "i", "j"]):
@@ -330,17 +340,17 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and ``keep_key`` the text that holds it (the smaller key among several). Null counts as empty; texts
     without words are linked to nothing and stand in a class with their copies.
 
-    Bands of MinHash values name candidates (a pair at 0.8 is missed with probability 0.0004), pruning
+    Bands of MinHash values name candidates (a pair at 0.8 is missed with probability 0.00005, at any threshold with ``BAND_MISS`` at most), pruning
     drops those whose posterior chance of reaching the threshold falls below ``TOLERANCE``, and what is
     left is verified on the whole sets. Groups are cut into blocks; a task sees two blocks at most and
     returns counts and a tree of links, not pairs.
     """
     short_batches(docs.sparkSession)
-    signed = stored(sign(docs, id_col, text_col))
+    signed = stored(sign(docs, id_col, text_col, threshold))
     counted = signed.groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"))
     texts = signed.dropDuplicates(["key"]).select("key", "id", "signature", "bands")
     texts = stored(texts.filter(F.size("bands") > 0))
-    components = stored(connected_components(candidate_links(texts)))
+    components = stored(connected_components(candidate_links(texts, threshold)))
     verified = stored(verified_links(components, texts, docs, id_col, text_col, threshold))
     classes = connected_components(verified.select(F.col("key").alias("a"), F.col("root").alias("b")))
     links = verified.groupBy("key").agg(F.sum("links").alias("n_links"))

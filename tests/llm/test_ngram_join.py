@@ -105,3 +105,26 @@ def test_components(spark):
     wanted = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {200: 200, 201: 200}
     assert got == wanted
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_lower_threshold_finds_the_pairs_above_it(spark):
+    """Pairs at 0.5 to 0.7 are candidates and survive the pruning when the threshold asks for them."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(40):
+        words = [f"a{i}w{j}" for j in range(100)]
+        rows.append((2 * i, " ".join(words)))
+        for place in rng.sample(range(0, 100, 6), 5):
+            words[place] = f"b{place}"
+        rows.append((2 * i + 1, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    wanted = brute(rows, 0.5)
+    assert sum(w[2] for w in wanted) >= 60 and sum(w[2] for w in brute(rows)) == 0
+    assert answer(ngram_join.near_duplicates(docs, threshold=0.5)) == wanted
+
+
+def test_bands_follow_the_threshold():
+    for threshold in (0.3, 0.5, 0.8, 0.9, 1.0):
+        bands, rows = ngram_join.bands_and_rows(threshold)
+        assert bands * rows <= ngram_join.HASHES and (1 - threshold**rows) ** bands <= 1e-4
+    assert ngram_join.bands_and_rows(0.8) == (25, 5)
