@@ -139,3 +139,53 @@ SELECT m.conv_id, m.turn, m.role, m.kind,
 FROM m LEFT JOIN v ON v.conv_id = m.conv_id AND v.turn = m.call_turn
 LEFT JOIN r ON r.conv_id = m.conv_id AND r.call_turn = m.turn AND m.kind = 'call'
 """
+
+
+def _centroid_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    assign = """
+a{i} AS MATERIALIZED (
+  SELECT r, arg_min(k, distance * 64 + k) AS k, min(distance) AS distance FROM (
+    SELECT r, k, sum((e.x - c.x) * (e.x - c.x))::BIGINT AS distance FROM e JOIN c{i} c USING (d) GROUP BY r, k) GROUP BY r)"""
+    move = """
+s{i} AS (SELECT k, d, sum(x)::BIGINT AS s, count(*) AS n FROM a{i} JOIN e USING (r) GROUP BY k, d),
+c{j} AS MATERIALIZED (
+  SELECT k, d, (s - ((s % n) + n) % n) // n AS x FROM s{i} UNION ALL SELECT k, d, x FROM c{i} WHERE k NOT IN (SELECT k FROM a{i}))"""
+    steps = [x for i in range(rounds) for x in (assign.format(i=i), move.format(i=i, j=i + 1))] + [assign.format(i=rounds)]
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS xs FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+e AS MATERIALIZED (SELECT r, unnest(xs) AS x, unnest(range({dims})) AS d FROM v),
+f AS (SELECT r, row_number() OVER (ORDER BY sha256('2:' || vec_id), xs) - 1 AS k FROM v),
+c0 AS MATERIALIZED (SELECT k, d, x FROM f JOIN e USING (r) WHERE k < {k}),
+{",".join(steps)},
+h AS (SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY k)
+SELECT vec_id, k::INTEGER AS cluster, distance, (sum(distance) OVER (PARTITION BY k))::BIGINT AS cluster_inertia,
+  (sum(distance) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM v JOIN a{rounds} USING (r) JOIN h USING (k)
+"""
+
+
+ORACLE["op11_centroid_clustering"] = _centroid_sql()
+
+
+def _decontamination_sql() -> str:
+    words = "list_filter(string_split_regex({}, '{}'), lambda a: a <> '')".format(_LOWER.format("coalesce(text, '')"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS ws FROM documents),
+b AS (SELECT item_id, {words} AS ws FROM benchmark),
+w AS (SELECT DISTINCT item_id, array_to_string(ws[i : i + 9], ' ') AS phrase, least(10, len(ws)) AS size
+  FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+z AS (SELECT DISTINCT size FROM w),
+p AS (SELECT r, i, size, array_to_string(ws[i : i + size - 1], ' ') AS phrase
+  FROM (SELECT r, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, z)),
+o AS (SELECT DISTINCT r, i, p.size, item_id FROM p JOIN w USING (phrase)),
+h AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT r, i, unnest(range(size)) AS k FROM o) GROUP BY r),
+t AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM o GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN t USING (r)
+"""
+
+
+ORACLE["op12_benchmark_decontamination"] = _decontamination_sql()

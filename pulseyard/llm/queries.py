@@ -10,7 +10,7 @@ from pulseyard.session import stored
 
 from . import exact_dedup as dedup
 from . import license_scan as licenses
-from . import bpe, chat, langid, mixing, ngram_join, quality_rules, secrets, toxicity
+from . import bpe, centroids, chat, decontamination, langid, mixing, ngram_join, quality_rules, secrets, toxicity, whitening
 from .oracle import ORACLE as ORACLE
 from .shared import lower_ascii, table, text_or_empty
 
@@ -105,6 +105,24 @@ def op9_chat_format(spark, folder):
     return done.select("conv_id", "turn", "role", "kind", "status", "at_turn", "level", "step", F.array_join("errors", ";").alias("errors"), "json")
 
 
+@query
+def op11_centroid_clustering(spark, folder):
+    return centroids.cluster(table(spark, folder, "embeddings"))[0]
+
+
+@query
+def op12_benchmark_decontamination(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.decontaminate(docs, table(spark, folder, "benchmark"))
+    digest = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest, "contaminated")
+
+
+@query
+def op13_embedding_whitening(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))[0].drop("deviation_exact")
+
+
 @query
 def pipeline(spark, folder):
     return corpus_pipeline.run(spark, folder)

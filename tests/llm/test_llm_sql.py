@@ -26,7 +26,7 @@ def test_equals_sql(spark, duck, name):
     assert sorted(repr(tuple(row[c] for c in columns)) for row in df.collect()) == wanted
 
 
-NATIVE = ("op1_mix_sources", "op2_quality_rules", "op4_license_scan", "op5_exact_dedup", "op8_secret_scan", "op9_chat_format")
+NATIVE = ("op1_mix_sources", "op2_quality_rules", "op4_license_scan", "op5_exact_dedup", "op8_secret_scan", "op9_chat_format", "op12_benchmark_decontamination")
 
 
 @pytest.mark.parametrize("name", NATIVE)
