@@ -68,9 +68,28 @@ TEMPLATES = (
     ),
 )
 
+#: Words that turn a notice into its opposite where they part two words that follow each other in a template.
+NEGATIONS = ("not", "never", "no")
+
+#: Share of a template's neighbouring words that must be neighbours in a block too.
+IN_ORDER = 0.6
+
 OUTPUT = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def neighbours(template: Template) -> list[str]:
+    """Pairs of words that follow each other in a template, as phrases between spaces."""
+    words = template.text.split()
+    return list(dict.fromkeys(f" {a} {b} " for a, b in zip(words, words[1:], strict=False)))
+
+
+def denials(template: Template) -> list[str]:
+    """Phrases that deny a template: a negation before its first word, or between two neighbours."""
+    words = template.text.split()
+    found = [f" {n} {words[0]} " for n in NEGATIONS]
+    return found + [f" {a} {n} {b} " for a, b in zip(words, words[1:], strict=False) for n in NEGATIONS]
+
+
 def spaced(text: Column) -> Column:
     """The words with a space of their own on either side: ``" a  b  c "``; without words two spaces."""
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(lower_ascii(text), WORD_GAP, "  ")), F.lit(" "))
@@ -106,7 +125,7 @@ def token_order(docs: DataFrame, vocabulary: Sequence[str], text_col: str = "tex
     return sorted(vocabulary, key=lambda t: (counts.get(t, 0), t))
 
 
-def containment_join(blocks: DataFrame, templates: Sequence[Template], order: Sequence[str], threshold: float) -> DataFrame:
+def containment_join(blocks: DataFrame, templates: Sequence[Template], order: Sequence[str], threshold: float, in_order: float = 0.0) -> DataFrame:
     """All (block, template) with ``|block & template| >= threshold * |template|``, tokens as sets, and the marks.
 
     ``blocks`` has ``key`` and ``tokens``. Tokens of a block outside the templates cannot count and are
@@ -114,7 +133,9 @@ def containment_join(blocks: DataFrame, templates: Sequence[Template], order: Se
     tokens must share one of its first ``size - need + 1``, so only these are joined on. The length
     filter asks for ``need`` tokens in the block; the positional filter asks for enough tokens behind
     the shared one on both sides. What is left is verified on the whole sets. Siblings share most tokens
-    at any threshold, so each also needs its own marks, as phrases in the words of the block.
+    at any threshold, so each also needs its own marks, as phrases in the words of the block. A set says
+    nothing of order: ``in_order`` is the share of the template's neighbouring words that must be neighbours
+    in the block, and a block that denies the template (``denials``) does not count.
     """
     place = {token: i for i, token in enumerate(order)}
     index = []
@@ -123,8 +144,11 @@ def containment_join(blocks: DataFrame, templates: Sequence[Template], order: Se
         need = ceil(threshold * len(tokens) - 1e-9)
         for position, token in enumerate(tokens[: len(tokens) - need + 1]):
             marks = [[f" {phrase} " for phrase in group] for group in template.marks]
-            index.append((token, position, number, template.label, tokens, need, marks))
-    schema = "token string, t_place int, template int, label string, t_tokens array<string>, need int, marks array<array<string>>"
+            index.append((token, position, number, template.label, tokens, need, marks, neighbours(template), denials(template)))
+    schema = (
+        "token string, t_place int, template int, label string, t_tokens array<string>, need int, "
+        "marks array<array<string>>, pairs array<string>, denied array<string>"
+    )
     prefixes = F.broadcast(blocks.sparkSession.createDataFrame(index, schema))  # as many rows as template tokens
     least = min(row[5] for row in index)
     known = F.array_intersect(F.array(*[F.lit(t) for t in order]), F.col("tokens"))
@@ -135,7 +159,9 @@ def containment_join(blocks: DataFrame, templates: Sequence[Template], order: Se
     candidates = heads.join(prefixes, "token").filter((F.size("tokens") >= F.col("need")) & (behind >= F.col("need")))
     shared = F.size(F.array_intersect("t_tokens", "tokens"))
     marked = F.forall("marks", lambda group: F.exists(group, lambda phrase: F.contains("block", phrase)))
-    return candidates.filter((shared >= F.col("need")) & marked).select("key", "template", "label", (shared / F.size("t_tokens")).alias("containment"))
+    together = F.size(F.filter("pairs", lambda pair: F.contains("block", pair))) >= F.lit(in_order) * F.size("pairs") - 1e-9
+    meant = ~F.exists("denied", lambda phrase: F.contains("block", phrase))
+    return candidates.filter((shared >= F.col("need")) & marked & together & meant).select("key", "template", "label", (shared / F.size("t_tokens")).alias("containment"))
 
 
 def may_hold(text: Column, templates: Sequence[Template], threshold: float) -> Column:
@@ -150,24 +176,21 @@ def may_hold(text: Column, templates: Sequence[Template], threshold: float) -> C
 
 
 def text_blocks(texts: DataFrame, longest: int) -> DataFrame:
-    """(key, tokens) of every line, and of windows of the words of a text that has more than one line.
+    """(key, tokens) of windows over the words of every text, whatever its lines.
 
     Windows have ``2 * longest`` words and start every ``longest`` words, so each run of up to ``longest``
-    words lies whole in one of them, wherever its lines end.
+    words lies whole in one of them, and no block is longer, however long the text or a line.
     """
-    lines = F.transform(F.split("text", "\n"), words_of)
+    read = texts.select("key", F.explode(F.array(words_of(F.col("text")))).alias("words"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - longest, F.lit(1)), F.lit(longest))
-    windows = F.transform(starts, lambda at: F.slice("words", at, 2 * longest))
-    several = F.when(F.contains("text", F.lit("\n")), windows).otherwise(F.array().cast("array<array<string>>"))
-    read = texts.select("key", "text", F.explode(F.array(words_of(F.col("text")))).alias("words"))
-    return read.select("key", F.explode(F.concat(lines, several)).alias("tokens"))
+    return read.select("key", F.explode(F.transform(starts, lambda at: F.slice("words", at, 2 * longest))).alias("tokens"))
 
 
 def license_scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every row of ``docs`` with counts and places of the base phrases, labels and a score.
 
-    Text blocks are lines and, since notices are wrapped, windows of the words across line ends (see
-    ``text_blocks``). ``labels`` has the base labels and those of templates contained in a block;
+    Text blocks are windows of the words, across line ends, since notices are wrapped (see ``text_blocks``).
+    ``labels`` has the base labels and those of templates contained in a block in their order;
     ``score`` is 1 for a base phrase, else the largest containment, else 0. Null and empty texts have no
     words, no places (null) and empty labels. Repeated rows get the same result each. Input columns named
     like an output are replaced.
@@ -181,7 +204,7 @@ def license_scan(docs: DataFrame, templates: Sequence[Template] = TEMPLATES, thr
     order = token_order(docs, vocabulary, text_col)
     texts = docs.select(identity.alias("key"), text.alias("text"))
     blocks = text_blocks(texts.filter(may_hold(F.col("text"), templates, threshold)), max(len(x.text.split()) for x in templates))
-    found = containment_join(blocks, templates, order, threshold)
+    found = containment_join(blocks, templates, order, threshold, IN_ORDER)
     found = found.groupBy("key").agg(F.collect_set("label").alias("found_labels"), F.max("containment").alias("containment"))
     found = found.select(F.col("key").alias(key), *[F.col(c).alias(f"{key}_{c}") for c in ("found_labels", "containment")])
 

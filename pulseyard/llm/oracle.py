@@ -1,6 +1,5 @@
 """The registered queries as DuckDB SQL, where SQL can express them."""
 
-from .license_scan import PHRASES, TEMPLATES
 from .quality_rules import RATES
 
 ORACLE: dict[str, str] = {}
@@ -47,22 +46,55 @@ FROM d LEFT JOIN f USING (doc_id) GROUP BY d.doc_id
 ORACLE["op8_secret_scan"] = _secret_sql()
 
 
+#: Label, text and marks of the templates; of each group of marks at least one phrase must stand in a block.
+_NOTICES = (
+    ("apache-2.0", "licensed under the apache license version 2 0", [["apache"], ["version 2", "license 2", "v 2"]]),
+    ("gpl-3.0", "licensed under the gnu general public license version 3", [["gnu general public license"], ["version 3", "license 3", "v 3", "or 3", "and 3"]]),
+    ("gpl-2.0", "licensed under the gnu general public license version 2", [["gnu general public license"], ["version 2", "versions 2", "license 2", "v 2"]]),
+    ("cc-by-nc", "licensed under cc by nc 4 0", [["by nc"]]),
+    ("cc-by-sa", "licensed under cc by sa 4 0", [["by sa"]]),
+    ("mit", "released under the mit license", [["mit license", "mit licence", "the mit"]]),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", [["associated"]]),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", [["gnu general public license"]]),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", []),
+    (
+        "cc-by",
+        "this work is licensed under a creative commons attribution 4 0 international license",
+        [["attribution 1", "attribution 2", "attribution 3", "attribution 4", "attribution international", "attribution license"]],
+    ),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", [["mozilla"], ["v 2", "version 2", "license 2"]]),
+)
+
+
 def _license_sql() -> str:
-    phrases = ", ".join(f"({i}, '{label}', string_split('{phrase}', ' '))" for i, (phrase, label) in enumerate(PHRASES))
-    templates = ", ".join(f"('{t.label}', list_distinct(string_split('{t.text}', ' ')))" for t in TEMPLATES)
+    base = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
+    phrases = ", ".join(f"({i}, '{label}', string_split('{phrase}', ' '))" for i, (phrase, label) in enumerate(base))
+    marks = lambda groups: " AND ".join("(" + " OR ".join(f"contains(block, ' {p} ')" for p in g) + ")" for g in groups) or "true"
+    templates = ", ".join(f"({i}, '{label}', string_split('{text}', ' '))" for i, (label, text, _) in enumerate(_NOTICES))
+    marked = " ".join(f"WHEN {i} THEN {marks(groups)}" for i, (_, _, groups) in enumerate(_NOTICES))
+    longest = max(len(text.split()) for _, text, _ in _NOTICES)
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return f"""
-WITH p(i, label, ws) AS (VALUES {phrases}), t(label, ws) AS (VALUES {templates}),
+WITH p(i, label, ws) AS (VALUES {phrases}), n(i, label, ws) AS (VALUES {templates}),
+t AS (
+  SELECT i, label, list_distinct(ws) AS tokens,
+    list_distinct([' ' || ws[k] || ' ' || ws[k + 1] || ' ' FOR k IN range(1, len(ws))]) AS pairs,
+    list_concat([' ' || x || ' ' || ws[1] || ' ' FOR x IN ['not', 'never', 'no']],
+      flatten([[' ' || ws[k] || ' ' || x || ' ' || ws[k + 1] || ' ' FOR x IN ['not', 'never', 'no']] FOR k IN range(1, len(ws))])) AS denied
+  FROM n),
 d AS (SELECT doc_id, {_LOWER.format("coalesce(text, '')")} AS x FROM documents),
 w AS (SELECT doc_id, list_filter(string_split_regex(x, '{gap}'), lambda a: a <> '') AS ws FROM d),
 s AS (
   SELECT doc_id, p.label, k FROM (SELECT doc_id, ws, unnest(range(len(ws))) AS k FROM w) q JOIN p
   ON q.ws[k + 1] = p.ws[1] AND q.ws[k + 1 : k + len(p.ws)] = p.ws),
 b AS (SELECT doc_id, count(*) AS n, min(k) AS first_word, max(k) AS last_word, list(DISTINCT label) AS labels FROM s GROUP BY 1),
-l AS (SELECT DISTINCT doc_id, list_distinct(list_filter(string_split_regex(unnest(string_split(x, chr(10))), '{gap}'), lambda a: a <> '')) AS ws FROM d),
+l AS (SELECT doc_id, ws[k : k + {2 * longest - 1}] AS ws FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {longest}, 1) + 1, {longest})) AS k FROM w)),
+c AS (SELECT doc_id, list_distinct(ws) AS ws, ' ' || array_to_string(ws, ' ') || ' ' AS block FROM l),
 m AS (
-  SELECT doc_id, label, len(list_intersect(l.ws, t.ws)) / len(t.ws) AS containment FROM l, t
-  WHERE len(list_intersect(l.ws, t.ws)) >= ceil(0.8 * len(t.ws) - 1e-9)),
+  SELECT doc_id, label, len(list_intersect(c.ws, t.tokens)) / len(t.tokens) AS containment FROM c, t
+  WHERE len(list_intersect(c.ws, t.tokens)) >= ceil(0.8 * len(t.tokens) - 1e-9) AND CASE t.i {marked} END
+    AND len(list_filter(t.pairs, lambda q: contains(block, q))) >= 0.6 * len(t.pairs) - 1e-9
+    AND len(list_filter(t.denied, lambda q: contains(block, q))) = 0),
 a AS (SELECT doc_id, list(DISTINCT label) AS labels, max(containment) AS containment FROM m GROUP BY 1)
 SELECT w.doc_id, len(w.ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,

@@ -171,3 +171,27 @@ def test_license_wrapped(spark):
     grant = license_scan.TEMPLATES[6].text
     apart = spark.createDataFrame([(1, (filler * 3).join(grant.split(" free ")))], "doc_id int, text string")
     assert license_scan.license_scan(apart.selectExpr("doc_id", "replace(text, 'dolor', '\n') AS text")).first()["labels"] == ""
+
+
+def test_license_order_and_denial(spark):
+    """The words of a notice out of their order, or denied, are no notice; nor does the layout matter."""
+    import random
+
+    filler = "lorem ipsum dolor sit amet " * 40
+    for template in license_scan.TEMPLATES:
+        words = template.text.split()
+        if len(words) < 7:
+            continue
+        shuffled = words[:]
+        random.Random(3).shuffle(shuffled)
+        scattered = [x for w in shuffled for x in (w, "lorem")]
+        texts = [" ".join(scattered), " ".join(shuffled), filler + " ".join(scattered) + " " + filler]
+        assert template_labels(spark, texts) == [set()] * 3, template.text
+    denied = [
+        "Permission is not hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "released under a license of our own, the one of mit is not used here",
+        "This work is never licensed under a creative commons attribution 4.0 international license",
+    ]
+    assert template_labels(spark, denied) == [set()] * 3
+    grant = license_scan.TEMPLATES[6].text
+    assert template_labels(spark, [f"{filler} {grant} {filler}", f"{filler}\n{grant}\n{filler}"]) == [{"mit"}] * 2
