@@ -6,14 +6,23 @@ from pyspark.sql import functions as F
 from pulseyard.session import stored
 
 
+#: Parts into which the edges of a node are dealt by their other end.
+SALTS = 64
+
+
 def _star(edges: DataFrame, both_ways: bool) -> DataFrame:
-    """Hang the neighbours of every node on the least of them: the larger ones, or the smaller ones."""
+    """Hang the neighbours of every node on the least of them: the larger ones, or the smaller ones.
+
+    The edges of a node are dealt by (node, salt of the other end), so that the centre of a large star is
+    ``SALTS`` groups. Each finds its least end, these meet per node, and the least comes back per (node, salt).
+    """
     sides = edges
     if both_ways:
         sides = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = sides.groupBy("a").agg(F.min("b").alias("least"))
-    least = least.select("a", F.least("a", "least").alias("least"))
-    joined = sides.join(least, "a")
+    sides = sides.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    parts = sides.groupBy("a", "salt").agg(F.min("b").alias("low"))
+    least = parts.groupBy("a").agg(F.min("low").alias("low")).select("a", F.least("a", "low").alias("least"))
+    joined = sides.join(parts.select("a", "salt").join(least, "a"), ["a", "salt"])
     if both_ways:
         moved = joined.filter("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
     else:

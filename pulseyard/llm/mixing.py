@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulseyard.session import stored
 
-from .shared import SPACE_RUN, may_contain, membership_bits, spare_names, text_or_empty, uniform, without
+from .shared import bit_words, may_contain, membership_bits, row_hash, spare_names, text_or_empty, uniform, without
 
 OUTPUT = ("size", "source_size", "target", "copies")
 
@@ -17,8 +17,7 @@ FAN_IN = 64
 
 def word_count(text: Column) -> Column:
     """Number of runs of other than ASCII white space."""
-    words = F.filter(F.split(text, SPACE_RUN), lambda w: w != "")
-    return F.size(words).cast("long")
+    return F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
 def _running(df: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:
@@ -77,7 +76,7 @@ def _rank(rows: DataFrame) -> DataFrame:
     return counted.drop("__one").withColumn("rank", F.col("rank") - 1)
 
 
-_UNIT = "struct<luck:bigint,id:{id},source:string,size:bigint,n:bigint,whole:bigint,part:double>"
+_UNIT = "struct<luck:bigint,id:{id},source:string,mark:bigint,size:bigint,n:bigint,whole:bigint,part:double>"
 
 
 def _pair_up(units: Column, seed: int, id_type: str) -> Column:
@@ -91,7 +90,7 @@ def _pair_up(units: Column, seed: int, id_type: str) -> Column:
     begin = F.struct(F.lit(None).cast(unit).alias("rest"), F.array().cast(f"array<{unit}>").alias("settled"))
 
     def with_part(u: Column, whole: Column, part: Column) -> Column:
-        return F.struct(u["luck"].alias("luck"), u["id"].alias("id"), u["source"].alias("source"), u["size"].alias("size"), u["n"].alias("n"), whole.alias("whole"), part.alias("part"))
+        return F.struct(u["luck"].alias("luck"), u["id"].alias("id"), u["source"].alias("source"), u["mark"].alias("mark"), u["size"].alias("size"), u["n"].alias("n"), whole.alias("whole"), part.alias("part"))
 
     def step(state: Column, b: Column) -> Column:
         a = state["rest"]
@@ -120,13 +119,13 @@ def _pair_up(units: Column, seed: int, id_type: str) -> Column:
 def pivotal_rounding(units: DataFrame, seed: int, id_type: str) -> DataFrame:
     """Settle every fractional unit through a reduction tree per source.
 
-    ``units``: luck, id, source, size, n, whole, part and ``nodes`` (leaves of the source's tree). Hashed
+    ``units``: luck, id, source, mark, size, n, whole, part and ``nodes`` (leaves of the source's tree). Hashed
     leaves of about ``FAN_IN`` units fold first; each hands one fractional unit on, and ``FAN_IN`` leaves
     meet in a node above, until each source has one unit left, which a last draw settles. A source with a
     third of all rows is thus as many groups as it needs, and each level moves 1/64 of the one below.
     """
     level = stored(units.withColumn("node", F.pmod(F.xxhash64(F.lit(seed), "luck"), F.col("nodes"))))
-    columns = ["luck", "id", "source", "size", "n", "whole", "part"]
+    columns = ["luck", "id", "source", "mark", "size", "n", "whole", "part"]
     done = []
     depth = 0
     while True:
@@ -162,24 +161,30 @@ def mix_sources(
     fractions are rounded by the pivotal method weighted with sizes, so that a source's words differ from
     its target by less than one row's size, whatever the draw. Draws are hashes of ids, sizes and the
     seed: reruns agree. Null and empty texts have size 0; they weigh nothing and are rounded one by one.
-    Equal rows (same id, source and size) are one unit with their number: they share its copies evenly,
+    Equal rows (same id, source and text) are one unit with their number: they share its copies evenly,
     the first ones (in an arbitrary but fixed order) taking what is left over. Null is a source. Input
     columns named like an output are replaced. An empty table gives none.
+
+    Everything is settled on narrow rows (id, source, a hash of the text, size); words are counted once.
+    One merge join, whatever the sizes, then brings each row of ``docs`` its copies, and moves it once.
     """
     docs = without(docs, OUTPUT)
-    ordinal, n_rows, tie = spare_names(docs, "row_ordinal", "n_equal_rows", "row_tie")
-    sized = docs.withColumn("size", word_count(text_or_empty(text_col)))
-    rows = stored(sized.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), "size"))
+    ordinal, n_rows, tie, mark, whole = spare_names(docs, "row_ordinal", "n_equal_rows", "row_tie", "text_mark", "whole_copies")
+    s_id, s_source, s_mark = spare_names(docs, "settled_id", "settled_source", "settled_mark")
+    text = text_or_empty(text_col)
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text).alias("mark"), word_count(text).alias("size"))
+    rows = stored(narrow)
     id_type = rows.schema["id"].dataType.simpleString()
-    targets = stored(source_targets(rows, weights, share, most))
+    targets = stored(source_targets(rows.select("source", "size"), weights, share, most))
 
-    units = rows.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("n")).alias("u")
+    units = rows.groupBy("id", "source", "mark", "size").agg(F.count(F.lit(1)).alias("n")).alias("u")
     units = units.join(targets.alias("t"), F.col("u.source").eqNullSafe(F.col("t.source")))
     mass = F.col("n") * F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = units.select(
         F.xxhash64(F.lit(seed), "u.id", "u.source", "size").alias("luck"),
         "u.id",
         "u.source",
+        "u.mark",
         "size",
         "n",
         F.floor(mass).alias("whole"),
@@ -191,24 +196,30 @@ def mix_sources(
     alone = units.filter("part = 0 or size = 0")
     luck = uniform(F.lit(seed + 1), F.col("luck")) < F.col("part")
     alone = alone.withColumn("whole", F.col("whole") + F.when(luck, 1).otherwise(0))
-    settled = alone.select("id", "source", "size", "n", "whole").unionByName(
-        pivotal_rounding(open_units, seed, id_type).select("id", "source", "size", "n", "whole")
-    )
-    settled = settled.withColumnsRenamed({"id": "__id", "source": "__source", "size": "__size", "n": n_rows})
-    targets = targets.select(F.col("source").alias("__t_source"), "source_size", "target")
-    settled = stored(settled.join(targets, F.col("__source").eqNullSafe(F.col("__t_source"))).drop("__t_source"))
-    row_key = [F.col(id_col), F.col(source_col).cast("string"), F.col("size")]
-    maybe_equal = may_contain(membership_bits(settled.filter(F.col(n_rows) > 1).select("__id", "__source", "__size")), *row_key)
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).cast("string").eqNullSafe(F.col("__source")) & (F.col("size") == F.col("__size"))
-    single = sized.filter(~maybe_equal).join(settled, same).withColumn("copies", F.col("whole"))
-    # Rows are numbered only where equal rows exist (or the filter of fixed size takes them for such).
-    order = Window.partitionBy(id_col, source_col, "size").orderBy(tie)
-    whole_row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    equal = sized.withColumn(tie, whole_row).filter(maybe_equal).join(settled, same).withColumn(ordinal, F.row_number().over(order))
-    shared = F.expr(f"whole div {n_rows}") + F.when(F.col(ordinal) <= F.col("whole") % F.col(n_rows), 1).otherwise(0)
+    unit_columns = ["id", "source", "mark", "size", "n", "whole"]
+    settled = alone.select(*unit_columns).unionByName(pivotal_rounding(open_units, seed, id_type).select(*unit_columns))
+    settled = settled.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source")))
+    names = {"s.id": s_id, "s.source": s_source, "s.mark": s_mark, "s.n": n_rows, "s.whole": whole}
+    settled = stored(settled.select(*[F.col(c).alias(name) for c, name in names.items()], "size", "source_size", "target"))
+
+    marked = docs.withColumn(mark, F.xxhash64(text))
+    source = F.col(source_col).cast("string")
+    same = F.col(id_col).eqNullSafe(F.col(s_id)) & source.eqNullSafe(F.col(s_source)) & (F.col(mark) == F.col(s_mark))
+    twins = stored(settled.filter(F.col(n_rows) > 1).select(s_id, s_source, s_mark))
+    n_twins = twins.count()
+    columns = [*[F.col(f"`{c}`") for c in docs.columns], "size", "source_size", "target"]
+    if not n_twins:
+        return marked.join(settled.hint("merge"), same).select(*columns, F.col(whole).cast("long").alias("copies"))
+    # Rows are numbered only where equal rows exist (or the filter takes them for such).
+    maybe_equal = may_contain(membership_bits(twins, bit_words(n_twins)), F.col(id_col), source, F.col(mark))
+    single = marked.filter(~maybe_equal).join(settled.hint("merge"), same).withColumn("copies", F.col(whole))
+    order = Window.partitionBy(s_id, s_source, s_mark).orderBy(tie)
+    equal = marked.withColumn(tie, row_hash(docs)).filter(maybe_equal).join(settled.hint("merge"), same)
+    equal = equal.withColumn(ordinal, F.row_number().over(order))
+    shared = F.expr(f"`{whole}` div `{n_rows}`") + F.when(F.col(ordinal) <= F.col(whole) % F.col(n_rows), 1).otherwise(0)
     equal = equal.withColumn("copies", shared)
-    columns = [*docs.columns, *OUTPUT]
-    return single.select(*columns).unionByName(equal.select(*columns)).withColumn("copies", F.col("copies").cast("long"))
+    columns = [*columns, F.col("copies").cast("long").alias("copies")]
+    return single.select(*columns).unionByName(equal.select(*columns))
 
 
 def repeat_rows(mixed: DataFrame) -> DataFrame:

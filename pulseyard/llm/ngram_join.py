@@ -388,8 +388,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     keyed = docs.withColumn(key, F.unhex(F.md5(text_or_empty(text_col))))
     maybe = may_contain(membership_bits(doubtful.select("id", "key")), F.col(id_col), F.col(key))
     checked = keyed.filter(maybe)
-    narrow = doubtful.withColumnsRenamed({"id": "__id", "key": "__key", "head": "__head", "rows": "__rows"})
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col(key) == F.col("__key"))
-    others = checked.join(narrow, same, "left_anti").select(*docs.columns)
-    repeated = checked.join(narrow.filter("__head"), same, "left_semi").dropDuplicates([id_col, key]).select(*docs.columns)
-    return keyed.filter(~maybe).select(*docs.columns).unionByName(others).unionByName(repeated)
+    d_id, d_key, d_head = spare_names(keyed, "doubtful_id", "doubtful_key", "doubtful_head")
+    narrow = doubtful.select(F.col("id").alias(d_id), F.col("key").alias(d_key), F.col("head").alias(d_head))
+    same = F.col(id_col).eqNullSafe(F.col(d_id)) & (F.col(key) == F.col(d_key))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    others = checked.join(narrow, same, "left_anti").select(*columns)
+    repeated = checked.join(narrow.filter(d_head), same, "left_semi").dropDuplicates([id_col, key]).select(*columns)
+    return keyed.filter(~maybe).select(*columns).unionByName(others).unionByName(repeated)
