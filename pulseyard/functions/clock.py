@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DAY = 86_400
+HOUR, DAY = 3_600, 86_400
 
 
 def epoch_seconds(timestamp: Column) -> Column:

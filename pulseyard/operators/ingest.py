@@ -1,7 +1,9 @@
 """Heartbeat bodies to typed rows: parse, repair, validate, split.
 
 Every step is a row-wise projection, so ingestion never shuffles. JSON is held as variant because
-an absent key, a null and a wrong type lead to different results.
+an absent key, a null and a wrong type lead to different results. A body's shape is told once, from the
+schema of its variant: bodies of a known good shape are cast to typed rows as a whole, and only limits are
+left to test; the others are read field by field.
 """
 
 from functools import reduce
@@ -36,6 +38,42 @@ DOCUMENT = "map<string,variant>"
 NUMBERS = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT")
 PORT = next(rule for rule in SERVER_RULES if rule.name == "port")
 
+# Schema texts of a JSON scalar that is not null.
+_SCALAR = r"(?:STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|DECIMAL\(\d+,\d+\))"
+
+
+def _object_shape(rules: tuple[Rule, ...], **others: str) -> str:
+    """Pattern of the schema text of an object whose fields have the types of their rules.
+
+    ``others`` are patterns of further fields; one that ends with ``?`` may be absent. Schema texts list
+    fields by name. The first field by name must be a required one.
+    """
+    fields = {name: (pattern.removesuffix("?"), not pattern.endswith("?")) for name, pattern in others.items()}
+    for rule in rules:
+        kind = {"integer": "BIGINT", "text": "STRING", "any": _SCALAR}[rule.kind]
+        fields[rule.name] = (f"(?:{kind}|VOID)" if rule.nullable else kind, rule.required and rule.name != "ip")
+    parts = []
+    for name, (pattern, required) in sorted(fields.items()):
+        part = f"{', ' if parts else ''}{name}: {pattern}"
+        parts.append(part if required else f"(?:{part})?")
+    if parts[0].startswith("(?:"):
+        raise ValueError("the first field by name must be required")
+    return f"OBJECT<{''.join(parts)}>"
+
+
+# A missing address of a server is repaired, so its shape may lack one.
+SERVER_SHAPE = _object_shape(SERVER_RULES)
+BODY_SHAPE = rf"\A{_object_shape(INSTANCE_RULES, servers=rf'ARRAY<(?:VOID|{SERVER_SHAPE})>', ip_address=rf'(?:{_SCALAR}|VOID)?')}\z"
+MAY_BE_ABSENT = tuple(rule.name for rule in SERVER_RULES if not rule.required) + ("ip",)
+
+
+def _typed_schema(rules: tuple[Rule, ...]) -> str:
+    kinds = {"integer": "bigint", "text": "string"}
+    return ",".join(f"{rule.name}:{kinds[rule.kind]}" for rule in rules if rule.kind in kinds)
+
+
+TYPED_BODY = f"struct<{_typed_schema(INSTANCE_RULES)},servers:array<struct<{_typed_schema(SERVER_RULES)}>>>"
+
 
 def variant_kind(value: Column) -> Column:
     """First word of the JSON type: STRING, BIGINT, DECIMAL, DOUBLE, BOOLEAN, VOID (a JSON null),
@@ -166,16 +204,14 @@ def version_class(kind: Column) -> Column:
     return F.when(kind.isin(*NUMBERS), "number").when(kind == "STRING", "text").otherwise(F.lower(kind))
 
 
-def parse_heartbeats(raw: DataFrame, body: str = "body") -> DataFrame:
-    """Add ``doc`` (fields of the JSON object), ``cells`` of its scalar fields and ``servers``
-    (null when not an array), each with its keys and the cells of its fields."""
-    parsed = _computed(raw, raw.columns, doc=F.try_variant_get(F.try_parse_json(body), "$", DOCUMENT))
+def _read_documents(rows: DataFrame) -> DataFrame:
+    """Add ``cells`` and ``servers`` of the column ``doc``."""
     servers = F.try_variant_get(F.try_element_at("doc", F.lit("servers")), "$", "array<variant>")
     documents = F.transform(servers, lambda s: F.try_variant_get(s, "$", DOCUMENT))
     return _computed(
-        parsed,
-        parsed.columns,
-        cells=read_cells(F.col("doc"), INSTANCE_RULES),
+        rows,
+        rows.columns,
+        cells=F.when(F.col("doc").isNotNull(), read_cells(F.col("doc"), INSTANCE_RULES)),
         servers=F.transform(
             documents,
             lambda d: F.struct(F.map_keys(d).alias("keys"), read_cells(d, SERVER_RULES).alias("cells")),
@@ -183,6 +219,64 @@ def parse_heartbeats(raw: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
+def parse_heartbeats(raw: DataFrame, body: str = "body") -> DataFrame:
+    """Add ``doc`` (fields of the JSON object), ``cells`` of its scalar fields and ``servers``
+    (null when not an array), each with its keys and the cells of its fields."""
+    return _read_documents(_computed(raw, raw.columns, doc=F.try_variant_get(F.try_parse_json(body), "$", DOCUMENT)))
+
+
+def _parse_by_shape(raw: DataFrame) -> DataFrame:
+    """Add ``typed``, the whole body read at once, where its shape is good, and ``doc`` for all others.
+
+    ``version`` may have any type and is taken from the variant. The schema of a list merges those of its elements, so it does not show a null beside a value: where
+    the body has a null somewhere, every server must have all fields that may be absent.
+    """
+    parsed = _computed(raw, raw.columns, _json=F.try_parse_json("body"))
+    shaped = F.coalesce(F.schema_of_variant("_json").rlike(BODY_SHAPE), F.lit(False))
+    cast = _computed(parsed, parsed.columns, typed=F.when(shaped, F.from_json("body", TYPED_BODY)))
+    whole = F.forall("typed.servers", lambda s: reduce(and_, (s[name].isNotNull() for name in MAY_BE_ABSENT)))
+    known = F.col("typed").isNotNull() & (~F.contains("body", F.lit("null")) | F.coalesce(whole, F.lit(False)))
+    kept = [c for c in cast.columns if c not in ("_json", "typed", "version")]
+    return _computed(
+        cast,
+        kept,
+        typed=F.when(known, F.col("typed")),
+        version=F.try_variant_get("_json", "$.version", "variant"),
+        doc=F.when(~known, F.try_variant_get("_json", "$", DOCUMENT)),
+    )
+
+
+def _limit_errors(row: Column, rules: tuple[Rule, ...], prefix: Column | None = None) -> Column:
+    """(field, message) of the limits that a typed row breaks; the types are right already."""
+    found, good = [], []
+    for rule in (r for r in rules if r.low is not None):
+        value = row[rule.name]
+        size = F.length(value) if rule.kind == "text" else mask16(value) if rule.name == PORT.name else value
+        inside = F.coalesce(size.between(rule.low, rule.high), F.lit(True))
+        path = F.lit(rule.name) if prefix is None else F.concat(prefix, F.lit(f".{rule.name}"))
+        good.append(inside)
+        found.append(F.when(~inside, _error(path, F.lit(rule.message))))
+    return F.when(reduce(and_, good), F.array().cast(ERROR_TYPE)).otherwise(F.array_compact(F.array(*found)))
+
+
+def _typed_body_errors(typed: Column) -> Column:
+    servers = typed["servers"]
+    count = F.when(F.size(servers) > MAX_SERVERS, F.array(_error(F.lit("servers"), F.lit(BAD_SERVER_COUNT))))
+    each = F.transform(servers, lambda s, i: _limit_errors(s, SERVER_RULES, F.concat(F.lit("servers."), i.cast("string"))))
+    return F.concat(_limit_errors(typed, INSTANCE_RULES), F.coalesce(count, F.array().cast(ERROR_TYPE)), F.flatten(each))
+
+
+def _typed_body_server(server: Column, remote_ip: Column) -> Column:
+    """A typed server after the repairs of ``repair_servers`` and with its defaults."""
+    values = {rule.name: server[rule.name] for rule in SERVER_RULES}
+    usable = F.coalesce(~is_non_public(values["ip"]), F.lit(False))
+    values["ip"] = F.when(usable, values["ip"]).otherwise(remote_ip)
+    values["version"] = F.coalesce(values["version"], F.lit(DEFAULT_SERVER_VERSION))
+    values["gametype"] = F.coalesce(values["gametype"], F.lit(DEFAULT_GAMETYPE))
+    values[PORT.name] = mask16(values[PORT.name])
+    return F.struct(*[values[rule.name].try_cast(rule.spark_type).alias(rule.name) for rule in SERVER_RULES])
+
+
 def repair_servers(parsed: DataFrame, remote_ip: str = "remote_ip") -> DataFrame:
     """Repair address, version and port of every server cell."""
 
@@ -230,7 +324,7 @@ def validate_heartbeats(
     receive time always wins over a client time, and the sender over a client address.
     """
     kept = [c for c in raw.columns if c not in ("body", remote_ip, received_at)]
-    repaired = repair_servers(parse_heartbeats(raw), remote_ip)
+    repaired = repair_servers(_read_documents(_parse_by_shape(raw)), remote_ip)
 
     servers = F.try_element_at("doc", F.lit("servers"))
     server_count = (
@@ -247,20 +341,26 @@ def validate_heartbeats(
     )
     not_object = F.array(_error(F.lit("_schema"), F.lit(NOT_OBJECT)))
 
-    cells = F.col("cells")
-    typed = {rule.name: _typed(cells[rule.name], rule) for rule in INSTANCE_RULES}
+    cells, typed, known = F.col("cells"), F.col("typed"), F.col("typed").isNotNull()
+    read = {rule.name: _typed(cells[rule.name], rule) for rule in INSTANCE_RULES}
+
+    def either(of_shape: Column, of_fields: Column) -> Column:
+        return F.when(known, of_shape).otherwise(of_fields)
+
+    version = F.col("version")
+    sender = F.col(remote_ip)
     return _computed(
         repaired,
         [*kept, received_at],
-        id=typed["id"],
-        version=cells["version"]["text"],
-        version_kind=version_class(cells["version"]["kind"]),
-        uptime=typed["uptime"],
-        servers=F.transform("servers", _typed_server),
-        ip_address=F.col(remote_ip),
-        webfront_url=normalize_webfront(typed["webfront_url"], F.col(remote_ip)),
+        id=either(typed["id"], read["id"]),
+        version=either(F.try_variant_get(version, "$", "string"), cells["version"]["text"]),
+        version_kind=version_class(either(variant_kind(version), cells["version"]["kind"])),
+        uptime=either(typed["uptime"].try_cast("int"), read["uptime"]),
+        servers=either(F.transform(typed["servers"], lambda s: _typed_body_server(s, sender)), F.transform("servers", _typed_server)),
+        ip_address=sender,
+        webfront_url=normalize_webfront(either(typed["webfront_url"], read["webfront_url"]), sender),
         last_heartbeat=epoch_seconds(F.col(received_at)),
-        errors=F.when(F.col("doc").isNull(), not_object).otherwise(errors),
+        errors=F.when(known, _typed_body_errors(typed)).when(F.col("doc").isNull(), not_object).otherwise(errors),
     )
 
 

@@ -6,13 +6,16 @@ per key and time cell, which bounds a key by the time range and not by its row c
 """
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.arithmetic import floor_to
 from ..functions.clock import epoch_seconds
+from ..functions.membership import BIT_WORDS, may_contain, membership_bits
 
 # Seconds without a heartbeat before expiry, seconds between sweeps, token life.
 EXPIRY_SECONDS = 60
@@ -24,13 +27,52 @@ def _order(columns: Sequence[str]) -> Column:
     return F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)
 
 
+def latest_by_aggregate(rows: DataFrame, key: str = "id", order: Sequence[str] = ("received_at", "seq")) -> DataFrame:
+    """Newest row per key by one aggregate over whole rows; for streams, and for a few rows per key."""
+    rest = [c for c in rows.columns if c != key]
+    newest = F.max_by(F.struct(*rest), _order(order)).alias("_row")
+    return rows.groupBy(key).agg(newest).select(key, "_row.*")
+
+
+def _packed(high: Column, low: Column) -> Column:
+    high = F.coalesce(high, F.lit(-(10**18))).cast("decimal(19,0)") * F.lit(Decimal(2**64)).cast("decimal(20,0)")
+    return high.cast("decimal(38,0)") + F.coalesce(low.cast("decimal(20,0)"), F.lit(Decimal(-(2**63) - 1)).cast("decimal(20,0)"))
+
+
+def packed_order(rows: DataFrame, order: Sequence[str]) -> Column | None:
+    """Two order columns as one number that sorts like them, nulls first; null where their types do not allow it.
+
+    A time counts in microseconds, and a whole number has 64 bits below it. One number keeps aggregates
+    over it in hash form, where a struct would force a sort.
+    """
+    types = [rows.schema[c].dataType for c in order]
+    whole = lambda t: isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    timed = lambda t: isinstance(t, (T.TimestampType, T.TimestampNTZType))
+    if len(order) != 2 or not (timed(types[0]) or whole(types[0]) and not isinstance(types[0], T.LongType)) or not whole(types[1]):
+        return None
+    high = F.unix_micros(F.col(order[0]).cast("timestamp")) if timed(types[0]) else F.col(order[0]).cast("bigint")
+    return _packed(high, F.col(order[1]))
+
+
 def upsert_latest(
-    heartbeats: DataFrame, key: str = "id", order: Sequence[str] = ("received_at", "seq")
+    rows: DataFrame, key: str = "id", order: Sequence[str] = ("received_at", "seq"), bit_words: int = BIT_WORDS
 ) -> DataFrame:
-    """Newest row per key. Works on batches and, with update or complete output, on streams."""
-    rest = [c for c in heartbeats.columns if c != key]
-    newest = F.max_by(F.struct(*rest), _order(order)).alias("_row")
-    return heartbeats.groupBy(key).agg(newest).select(key, "_row.*")
+    """Newest row per key; of equally new rows any one. Works on batches and, with update or complete output, on streams.
+
+    Rows are picked up late: a hash aggregate of key and packed order alone finds what is newest, a Bloom
+    filter of ``bit_words`` words lets the winners (and few others) through a second scan, and these meet
+    the aggregate. No whole row is sorted or moved but the winners. Null keys are a key. An order whose
+    types cannot be packed, or a stream, takes one aggregate over whole rows.
+    """
+    packed = None if rows.isStreaming else packed_order(rows, order)
+    if packed is None:
+        return latest_by_aggregate(rows, key, order)
+    newest = rows.groupBy(F.col(key).alias("_key")).agg(F.max(packed).alias("_newest"))
+    placed = rows.withColumn("_order", packed)
+    hopeful = placed.filter(may_contain(membership_bits(newest, bit_words), F.col(key), F.col("_order")))
+    met = hopeful.join(newest, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_order") == F.col("_newest")))
+    one = Window.partitionBy("_key", "_newest").orderBy("_newest")
+    return met.withColumn("_place", F.row_number().over(one)).filter("_place = 1").select(*rows.columns)
 
 
 def purge_time(last_heartbeat: Column, expiry: int = EXPIRY_SECONDS, sweep: int = SWEEP_SECONDS) -> Column:
@@ -57,6 +99,24 @@ def expire_stale(
     return current.filter((F.col(last_heartbeat) >= now - expiry - sweep) & alive)
 
 
+def live_rows(
+    heartbeats: DataFrame,
+    now: int,
+    key: str = "id",
+    order: Sequence[str] = ("received_at", "seq"),
+    expiry: int = EXPIRY_SECONDS,
+    sweep: int = SWEEP_SECONDS,
+) -> DataFrame:
+    """Newest row per key with ``last_heartbeat``, of the keys still registered at ``now``.
+
+    A row older than expiry and sweep can neither be alive nor newer than one that is, so the age bound
+    stands below the aggregate, where it reaches the scan.
+    """
+    young = heartbeats.filter(F.col(order[0]) >= F.timestamp_seconds(F.lit(now - expiry - sweep)))
+    latest = upsert_latest(young, key, order).withColumn("last_heartbeat", epoch_seconds(F.col(order[0])))
+    return expire_stale(latest, now, "last_heartbeat", expiry, sweep)
+
+
 def _thin(heartbeats: DataFrame, key: str, time: str, order: Sequence[str], cell: int, extra=()) -> DataFrame:
     """One row per key and time cell, with the ends of the cell's heartbeats."""
     return (
@@ -147,7 +207,7 @@ def current_registry(
     """
     seen = heartbeats.filter(F.col(time) < F.timestamp_seconds(F.lit(now + 1)))
     recent = seen.filter(F.col(time) >= F.timestamp_seconds(F.lit(now - expiry - sweep)))
-    latest = upsert_latest(recent, key, (time, seq)).withColumn("last_heartbeat", epoch_seconds(F.col(time)))
+    latest = latest_by_aggregate(recent, key, (time, seq)).withColumn("last_heartbeat", epoch_seconds(F.col(time)))
     alive = expire_stale(latest, now, "last_heartbeat", expiry, sweep)
     if not position:
         return alive
@@ -184,6 +244,46 @@ def not_found_by_key(requests: DataFrame, registry: DataFrame, key: str = "id")
     return requests.join(registry.select(key), key, "left_anti")
 
 
+def registry_as_of(
+    requests: DataFrame,
+    heartbeats: DataFrame,
+    at: str = "at",
+    key: str = "id",
+    time: str = "received_at",
+    seq: str = "seq",
+    expiry: int = EXPIRY_SECONDS,
+    sweep: int = SWEEP_SECONDS,
+) -> DataFrame:
+    """Requests with ``found``, ``last_heartbeat`` and ``heartbeat_seq``, as the registry was at each request's second.
+
+    A request sees the newest heartbeat of its key at or before second ``at`` that was not purged by then. A
+    heartbeat is of use for ``expiry + sweep`` seconds, so with time cells of that length a request needs
+    its own cell and the last heartbeat of the cell before, which is carried over as one row. Cells of a hot key
+    are windows of their own; nothing is compared by range. Null keys and null times find nothing.
+    """
+    cell = expiry + sweep + 1
+    beats = heartbeats.select(F.col(key).alias("_key"), epoch_seconds(F.col(time)).alias("_t"), F.col(seq).cast("bigint").alias("_seq"))
+    beats = beats.filter("_key is not null and _t is not null").withColumn("_cell", floor_to(F.col("_t"), cell))
+    last = beats.groupBy("_key", "_cell").agg(F.max("_t").alias("_t"), F.max_by("_seq", _packed(F.col("_t"), F.col("_seq"))).alias("_seq"))
+    following = F.col("_cell") + cell
+    carried = last.select("_key", following.alias("_at"), following.alias("_cell"), F.lit(0).alias("_kind"), "_t", "_seq")
+    seen = beats.select("_key", F.col("_t").alias("_at"), "_cell", F.lit(1).alias("_kind"), "_t", "_seq")
+    asked = requests.withColumn("_at", F.col(at).cast("bigint"))
+    payload = F.struct(*[F.col(f"`{c}`") for c in requests.columns])
+    rows = asked.select(F.col(key).alias("_key"), "_at", floor_to(F.col("_at"), cell).alias("_cell"), F.lit(2).alias("_kind"), payload.alias("_asked"))
+    both = carried.unionByName(seen).unionByName(rows, allowMissingColumns=True)
+    before = Window.partitionBy("_key", "_cell").orderBy("_at", "_kind", "_seq").rowsBetween(Window.unboundedPreceding, 0)
+    held = F.when(F.col("_t").isNotNull(), F.struct("_t", "_seq"))
+    matched = both.withColumn("_hb", F.last(held, ignorenulls=True).over(before)).filter(F.col("_kind") == 2)
+    alive = F.coalesce(purge_time(F.col("_hb._t"), expiry, sweep) > F.col("_at"), F.lit(False)) & F.col("_key").isNotNull()
+    return matched.select(
+        "_asked.*",
+        alive.alias("found"),
+        F.when(alive, F.col("_hb._t")).alias("last_heartbeat"),
+        F.when(alive, F.col("_hb._seq")).alias("heartbeat_seq"),
+    )
+
+
 EXPORT_COLUMNS = ("id", "version", "servers", "uptime", "last_heartbeat", "ip_address", "webfront_url")
 
 

@@ -8,14 +8,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.arithmetic import floor_to
+from ..functions.clock import DAY, HOUR, epoch_seconds
 from ..functions.crypto import derive_key, seal_content
 from ..functions.text import base64_encode, cents_to_text, content_type, count_or_zero, price_label
-from .ordered import ordered_blocks
+from .registry import packed_order
 
 # Event types.
 CREATED = "subscription_created"
 CANCELLED = "subscription_cancelled"
 
+# Counting events of one plan that are folded in one group, about; a fuller hour is cut into parts.
+EVENTS_PER_BLOCK = 100_000
+
 
 def active_plans(plans: DataFrame, limit: int | None = None) -> DataFrame:
     """Active plans, or the first ``limit`` of them by id."""
@@ -131,59 +136,74 @@ def _split_events(events: DataFrame, meta: DataFrame) -> tuple[DataFrame, DataFr
     return flagged.filter(counts).drop("_known"), flagged.filter(~counts).drop("_known")
 
 
-def _block_rows(counting: DataFrame) -> DataFrame:
+def _placed_events(counting: DataFrame, cell: int, most: int) -> DataFrame:
+    """Counting events with ``cell`` and ``part``, the block they are folded in.
+
+    A block is a function of the row and of the number of events in its plan's cell of time: a cell with
+    more than ``most`` is cut into equal parts of its time. Nothing is sampled, so every run of the plan,
+    and every retry of a task, gets the same blocks.
+    """
+    rows = counting.select("plan_id", "ts", "event_id", "delta").withColumn("cell", floor_to(epoch_seconds(F.col("ts")), cell))
+    full = rows.groupBy("plan_id", "cell").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > most)
+    parts = full.select("plan_id", "cell", F.ceil(F.col("_n") / most).alias("_parts"))
+    inside = F.unix_micros(F.col("ts").cast("timestamp")) - F.col("cell") * 1_000_000
+    part = F.call_function("div", inside * F.coalesce("_parts", F.lit(1).cast("bigint")), F.lit(cell * 1_000_000).cast("bigint"))
+    return rows.join(parts, ["plan_id", "cell"], "left").withColumn("part", part).drop("_parts")
+
+
+def _block_rows(counting: DataFrame, cell: int = HOUR, most: int = EVENTS_PER_BLOCK) -> DataFrame:
     """Events in ordered blocks with the sum and the lowest sum inside their block so far."""
-    blocks = ordered_blocks(
-        counting.select("plan_id", "ts", "event_id", "delta"), ["plan_id"], ["ts", "event_id"]
-    )
-    in_block = Window.partitionBy("plan_id", "block").orderBy("ts", "event_id")
-    return blocks.withColumn("sum", F.sum("delta").over(in_block)).withColumn(
-        "low", F.min("sum").over(in_block)
-    )
+    in_block = Window.partitionBy("plan_id", "cell", "part").orderBy("ts", "event_id")
+    summed = _placed_events(counting, cell, most).withColumn("sum", F.sum("delta").over(in_block))
+    return summed.withColumn("low", F.min("sum").over(in_block))
 
 
-def _block_counts(rows: DataFrame, meta: DataFrame) -> DataFrame:
-    """Count of each plan at the start (``opening``) and end (``closing``) of its blocks.
+def fold_blocks(rows: DataFrame) -> DataFrame:
+    """One (``shift``, ``floor``) pair per block.
 
-    A count that may not go below zero follows ``x -> max(floor, x + shift)`` over any stretch of
-    events, where ``shift`` is the sum of the deltas and ``floor`` is ``shift`` less the lowest
-    running sum, or less zero when that is lower. With T the sum of the shifts so far, the count
-    after a block is ``T + max(start, max(floor - T))``. The window holds the blocks of one plan,
-    never its events.
+    A count that may not go below zero follows ``x -> max(floor, x + shift)`` over any stretch of events,
+    where ``shift`` is the sum of the deltas and ``floor`` is ``shift`` less the lowest running sum, or less
+    zero when that is lower. Two stretches make one again: ``(s + s', max(f + s', f'))``.
     """
-    start = meta.select("plan_id", count_or_zero(F.col("subscription_count")).alias("start"))
-    folds = (
-        rows.groupBy("plan_id", "block")
-        .agg(F.sum("delta").alias("shift"), F.min("low").alias("lowest"))
-        .join(start, "plan_id")
-    )
-    by_plan = Window.partitionBy("plan_id").orderBy("block")
-    floor = F.col("shift") - F.least(F.col("lowest"), F.lit(0))
-    chained = folds.withColumn("total", F.sum("shift").over(by_plan)).withColumn(
-        "peak", F.max(floor - F.col("total")).over(by_plan)
-    )
-    return chained.withColumn("closing", F.col("total") + F.greatest("start", "peak")).withColumn(
-        "opening", F.coalesce(F.lag("closing").over(by_plan), F.col("start"))
-    )
+    folds = rows.groupBy("plan_id", "cell", "part").agg(F.sum("delta").alias("shift"), F.min("low").alias("_low"))
+    floor = F.col("shift") - F.least(F.col("_low"), F.lit(0).cast("bigint"))
+    return folds.select("plan_id", "cell", "part", "shift", floor.alias("floor"))
 
 
-def clamped_counter(events: DataFrame, meta: DataFrame) -> DataFrame:
-    """Subscriber count of the plan after every counting event, in order of ``(ts, event_id)``.
+def chain_blocks(pairs: DataFrame, meta: DataFrame, group: int = DAY) -> tuple[DataFrame, DataFrame]:
+    """Counts along the blocks of each plan: (blocks with ``opening`` and ``closing``, groups of blocks with them).
 
-    Counts start at ``subscription_count`` and never go below zero: such a cancel is acknowledged
-    (``applied`` is false) and changes nothing. Blocks are folded on their own and then chained, so
-    a plan with a third of all events is spread over tasks.
+    Pairs are chained inside a group of cells, the groups of a plan through one pair each; with T the sum of
+    shifts so far, the count after a stretch is ``T + max(start, max(floor - T))``. No window holds events, and
+    none all blocks of a plan.
     """
-    counting, _ = _split_events(events, meta)
-    rows = _block_rows(counting)
-    opening = _block_counts(rows, meta).select("plan_id", "block", "opening")
-    in_block = Window.partitionBy("plan_id", "block").orderBy("ts", "event_id")
+    start = meta.select("plan_id", count_or_zero(F.col("subscription_count")).alias("start"))
+    placed = pairs.withColumn("_group", floor_to(F.col("cell"), group))
+    inside = Window.partitionBy("plan_id", "_group").orderBy("cell", "part")
+    blocks = placed.withColumn("_total", F.sum("shift").over(inside))
+    blocks = blocks.withColumn("_rise", F.col("floor") - F.col("_total")).withColumn("_peak", F.max("_rise").over(inside))
+    groups = blocks.groupBy("plan_id", "_group").agg(F.sum("shift").alias("_s"), F.max("_rise").alias("_r"))
+    by_plan = Window.partitionBy("plan_id").orderBy("_group")
+    groups = groups.join(start, "plan_id").withColumn("_t", F.sum("_s").over(by_plan))
+    groups = groups.withColumn("closing", F.col("_t") + F.greatest("start", F.max(F.col("_s") + F.col("_r") - F.col("_t")).over(by_plan)))
+    groups = groups.withColumn("opening", F.coalesce(F.lag("closing").over(by_plan), F.col("start")))
+    groups = groups.select("plan_id", "_group", "opening", "closing")
+    chained = blocks.join(groups.select("plan_id", "_group", F.col("opening").alias("_from")), ["plan_id", "_group"])
+    chained = chained.withColumn("closing", F.col("_total") + F.greatest("_from", "_peak"))
+    chained = chained.withColumn("opening", F.coalesce(F.lag("closing").over(inside), F.col("_from")))
+    return chained.select("plan_id", "cell", "part", "opening", "closing"), groups
+
+
+def _counted(counting: DataFrame, meta: DataFrame, cell: int, most: int) -> DataFrame:
+    rows = _block_rows(counting, cell, most)
+    opening = chain_blocks(fold_blocks(rows), meta)[0].select("plan_id", "cell", "part", "opening")
+    in_block = Window.partitionBy("plan_id", "cell", "part").orderBy("ts", "event_id")
     zero = F.lit(0).cast("bigint")
     below = F.least(F.col("opening") + F.col("low"), zero)
     below_earlier = F.least(F.col("opening") + F.col("_low_before"), zero)
     return (
         rows.withColumn("_low_before", F.coalesce(F.lag("low").over(in_block), zero))
-        .join(opening, ["plan_id", "block"])
+        .join(opening, ["plan_id", "cell", "part"])
         .select(
             "plan_id",
             "ts",
@@ -195,11 +215,28 @@ def clamped_counter(events: DataFrame, meta: DataFrame) -> DataFrame:
     )
 
 
-def plan_subscription_count(events: DataFrame, meta: DataFrame) -> DataFrame:
+def clamped_counter(events: DataFrame, meta: DataFrame, cell: int = HOUR, most: int = EVENTS_PER_BLOCK) -> DataFrame:
+    """Subscriber count of the plan after every counting event, in order of ``(ts, event_id)``.
+
+    Counts start at ``subscription_count`` and never go below zero: such a cancel is acknowledged
+    (``applied`` is false) and changes nothing. Events are folded in blocks of (plan, cell of time, part), each a
+    function of the row, and the blocks are chained in a tree of one small pair each, so a plan with a third
+    of all events is spread over tasks. Nothing is written or run before the result is asked for.
+    """
+    counting, _ = _split_events(events, meta)
+    return _counted(counting, meta, cell, most)
+
+
+def plan_subscription_count(events: DataFrame, meta: DataFrame, cell: int = HOUR, most: int = EVENTS_PER_BLOCK) -> DataFrame:
     """Final count of every known plan, including plans without events."""
     counting, _ = _split_events(events, meta)
-    blocks = _block_counts(_block_rows(counting), meta)
-    final = blocks.groupBy("plan_id").agg(F.max_by("closing", "block").alias("_final"))
+    return counts_from_pairs(fold_blocks(_block_rows(counting, cell, most)), meta)
+
+
+def counts_from_pairs(pairs: DataFrame, meta: DataFrame) -> DataFrame:
+    """Count of every known plan after all pairs, including plans without any."""
+    _, groups = chain_blocks(pairs, meta)
+    final = groups.groupBy("plan_id").agg(F.max_by("closing", "_group").alias("_final"))
     start = count_or_zero(F.col("subscription_count"))
     return (
         meta.select("plan_id", start.alias("_start"))
@@ -208,19 +245,35 @@ def plan_subscription_count(events: DataFrame, meta: DataFrame) -> DataFrame:
     )
 
 
-def event_outcome(events: DataFrame, meta: DataFrame) -> DataFrame:
+def event_pairs(events: DataFrame) -> DataFrame:
+    """(``plan_id``, ``cell``, ``part``, ``shift``, ``floor``) of the created and cancelled events, one pair per plan and second.
+
+    Pairs of several batches of events can be kept and chained at any time (``counts_from_pairs``): an event
+    that comes late falls into a second of its own, before those that are there already.
+    """
+    counting = events.withColumn("delta", event_delta(F.col("event_type"))).filter("delta is not null and plan_id is not null")
+    cell = epoch_seconds(F.col("ts"))
+    rows = counting.select("plan_id", "ts", "event_id", "delta", cell.alias("cell"), F.lit(0).cast("bigint").alias("part"))
+    in_block = Window.partitionBy("plan_id", "cell", "part").orderBy("ts", "event_id")
+    return fold_blocks(rows.withColumn("sum", F.sum("delta").over(in_block)).withColumn("low", F.min("sum").over(in_block)))
+
+
+def event_outcome(events: DataFrame, meta: DataFrame, counts: bool = False) -> DataFrame:
     """Every event as ``applied``, ``acknowledged`` (cancel at zero) or ``error`` (unknown type, or a
-    plan without metadata or without a stored count)."""
-    _, others = _split_events(events, meta)
-    counted = clamped_counter(events, meta).select(
-        "event_id",
-        "plan_id",
-        F.when(F.col("delta") > 0, CREATED).otherwise(CANCELLED).alias("event_type"),
-        F.when(F.col("applied"), "applied").otherwise("acknowledged").alias("outcome"),
-    )
-    return counted.unionByName(
-        others.select("event_id", "plan_id", "event_type", F.lit("error").alias("outcome"))
-    )
+    plan without metadata or without a stored count); with ``counts`` also the count after a counting event
+    and its ``order``."""
+    counting, others = _split_events(events, meta)
+    counted = _counted(counting, meta, HOUR, EVENTS_PER_BLOCK)
+    outcome = F.when(F.col("applied"), "applied").otherwise("acknowledged").alias("outcome")
+    kind = F.when(F.col("delta") > 0, CREATED).otherwise(CANCELLED).alias("event_type")
+    columns, spare = ["event_id", "plan_id", kind, outcome], []
+    if counts:
+        packed = packed_order(counted, ("ts", "event_id"))
+        order = (F.struct("ts", "event_id") if packed is None else packed).alias("order")
+        counted = counted.withColumn("order", order)
+        columns += ["subscription_count", "order"]
+        spare = [F.lit(None).cast(counted.schema[c].dataType).alias(c) for c in ("subscription_count", "order")]
+    return counted.select(*columns).unionByName(others.select("event_id", "plan_id", "event_type", F.lit("error").alias("outcome"), *spare))
 
 
 def filter_has_attr(rows: DataFrame, attribute: str) -> DataFrame:

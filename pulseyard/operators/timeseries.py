@@ -2,8 +2,9 @@
 
 A history is a long table ``(metric, time, count)``. Samples that agree in all three columns are
 interchangeable, so positions are computed on runs of equal samples and not on rows. A run is one
-row of a grouped aggregate with a map-side part; that keeps a burst of equal samples small, and the
-prefix sums over runs go by time bucket first, so no window sees a whole series.
+row of a grouped aggregate with a map-side part; that keeps a burst of equal samples small. Above the
+runs stands a tree of counts, by hour and by day: it tells which hours hold a wanted position, and only
+the runs of these hours are put in order.
 """
 
 from collections.abc import Sequence
@@ -12,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.arithmetic import ceil_div
-from ..functions.clock import DAY, epoch_seconds, time_ago
+from ..functions.arithmetic import ceil_div, floor_to
+from ..functions.clock import DAY, HOUR, epoch_seconds, time_ago
 from ..schemas import HISTORY_METRICS
 from .registry import EXPIRY_SECONDS, SWEEP_SECONDS, purge_time
 
@@ -29,9 +30,13 @@ def _ticks(first: Column, last: Column, step: int) -> Column:
     return F.explode(F.sequence(first, last, F.lit(step).cast("bigint")))
 
 
-def _spine(bounds: DataFrame, first: str, last: str, step: int, name: str, keep: Sequence[str] = ()) -> DataFrame:
+def _spine(
+    bounds: DataFrame, first: str, last: str, step: int, name: str, keep: Sequence[str] = (), until: Column | None = None
+) -> DataFrame:
     """Ticks ``first, first + step, ... <= last`` of every row of ``bounds``, in short arrays."""
     block = step * 4096
+    if until is not None:
+        bounds = bounds.withColumn(last, until)
     starts = bounds.filter(F.col(first) <= F.col(last)).select(
         *keep, F.col(last).alias("_last"), _ticks(F.col(first), F.col(last), block).alias("_start")
     )
@@ -57,7 +62,10 @@ def census_at_ticks(
     reduced to two numbers per row before anything is shuffled. Only the last heartbeat of a key
     before a tick can matter, so a key shrinks to one row per tick on the map side; the window that
     finds the next heartbeat then holds at most one row per tick, however hot the key.
-    With ``dense``, ticks without instances are listed with zeros.
+
+    A sweep line does the rest: a heartbeat counts up at its slot and down where it is replaced or purged,
+    changes are added up per tick, and their running sum is the census. What is shuffled does not depend
+    on how many ticks a heartbeat lives. With ``dense``, ticks without instances are listed with zeros.
     """
     clients = F.aggregate(
         nested, F.lit(0).cast("bigint"), lambda total, s: total + s[measure].cast("bigint")
@@ -76,26 +84,47 @@ def census_at_ticks(
     slots = narrow.groupBy("_key", "slot").agg(F.max_by("hb", "_order").alias("hb"))
     following = F.lead("slot").over(Window.partitionBy("_key").orderBy("slot"))
     alive = slots.withColumn("_end", F.least(following, F.col("hb.gone"))).filter(F.col("_end") > F.col("slot"))
-    counted = (
-        alive.select("hb", _ticks(F.col("slot"), F.col("_end") - tick, tick).alias("tick"))
-        .groupBy("tick")
-        .agg(
-            F.sum("hb.clients").alias("clients"),
-            F.count(F.lit(1)).alias("instances"),
-            F.sum("hb.servers").alias("servers"),
-        )
-    )
+    one = F.lit(1).cast("bigint")
+    up = F.struct(F.col("slot").alias("tick"), F.col("hb.clients").alias("clients"), one.alias("instances"), F.col("hb.servers").alias("servers"))
+    down = F.struct(F.col("_end").alias("tick"), (-F.col("hb.clients")).alias("clients"), (-one).alias("instances"), (-F.col("hb.servers")).alias("servers"))
+    changes = alive.select(F.inline(F.array(up, down))).groupBy("tick").agg(*[F.sum(c).alias(c) for c in _CENSUS])
+    levels = _running_levels(changes, tick * TICKS_PER_CELL)
     if not dense:
-        return counted
-    # The ends of the series depend on the time column alone.
-    bounds = narrow.filter(F.col("hb.gone") > F.col("slot")).agg(
-        F.min("slot").alias("_first"), (F.max("hb.gone") - tick).alias("_until")
+        levels = levels.filter("instances > 0")
+    return _spine(levels, "tick", "_last", tick, "tick", _CENSUS, until=F.col("_next") - tick).select("tick", *_CENSUS)
+
+
+_CENSUS = ("clients", "instances", "servers")
+
+# Ticks that are summed in one group; a cell's sum stands for them in the level above.
+TICKS_PER_CELL = 4096
+
+
+def _running_levels(changes: DataFrame, cell: int) -> DataFrame:
+    """Sums of all changes up to each tick, and ``_next``, the tick of the following change.
+
+    Prefix sums go by cells of time first and then over one row per cell, so that no task holds all ticks.
+    The last change, after which nothing is left, is dropped.
+    """
+    placed = changes.withColumn("_cell", floor_to(F.col("tick"), cell))
+    in_cell = Window.partitionBy("_cell").orderBy("tick")
+    upper = placed.groupBy("_cell").agg(F.min("tick").alias("_begin"), *[F.sum(c).alias(f"_s_{c}") for c in _CENSUS])
+    by_cell = Window.orderBy("_cell")  # one row per TICKS_PER_CELL ticks of the time range
+    earlier = by_cell.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("bigint")
+    upper = upper.select(
+        "_cell",
+        F.lead("_begin").over(by_cell).alias("_following"),
+        *[F.coalesce(F.sum(f"_s_{c}").over(earlier), zero).alias(f"_o_{c}") for c in _CENSUS],
     )
-    spine = _spine(bounds, "_first", "_until", tick, "tick")
-    return spine.join(counted, "tick", "left").select(
+    up_to = in_cell.rowsBetween(Window.unboundedPreceding, 0)
+    sums = {c: F.sum(c).over(up_to) for c in _CENSUS}
+    inside = placed.select("tick", "_cell", F.lead("tick").over(in_cell).alias("_then"), *[v.alias(c) for c, v in sums.items()])
+    return inside.join(upper, "_cell").select(
         "tick",
-        *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("clients", "instances", "servers")],
-    )
+        F.coalesce("_then", "_following").alias("_next"),
+        *[(F.col(c) + F.col(f"_o_{c}")).alias(c) for c in _CENSUS],
+    ).filter("_next is not null")
 
 
 def census_to_history(census: DataFrame) -> DataFrame:
@@ -127,52 +156,58 @@ def _count_runs(history: DataFrame) -> DataFrame:
     )
 
 
-def sample_runs(history: DataFrame, bucket: int = DAY) -> DataFrame:
+def _before(column: str, window) -> Column:
+    return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+
+
+def sample_cells(runs: DataFrame, cell: int = HOUR, group: int = DAY) -> DataFrame:
+    """Tree of counts over runs: ``(metric, cell, samples, start, length)``.
+
+    ``samples`` of the ``length`` samples of a series lie in the cell, after ``start`` earlier ones. Cells
+    are summed inside a group of cells, groups inside a series: windows hold the cells of one group and the
+    groups of one series, a number that the time range bounds and not the rows.
+    """
+    cells = runs.groupBy("metric", floor_to(F.col("t"), cell).alias("cell")).agg(F.sum("n").alias("samples"))
+    cells = cells.withColumn("_group", floor_to(F.col("cell"), group))
+    by_metric = Window.partitionBy("metric")
+    groups = cells.groupBy("metric", "_group").agg(F.sum("samples").alias("_n"))
+    groups = groups.select("metric", "_group", _before("_n", by_metric.orderBy("_group")).alias("_offset"), F.sum("_n").over(by_metric).alias("length"))
+    within = _before("samples", Window.partitionBy("metric", "_group").orderBy("cell"))
+    placed = cells.withColumn("_within", within).join(groups, ["metric", "_group"])
+    return placed.select("metric", "cell", "samples", (F.col("_offset") + F.col("_within")).alias("start"), "length")
+
+
+def _ordered_runs(runs: DataFrame, touched: DataFrame, cell: int, *keep: str) -> DataFrame:
+    """Runs of the touched cells with ``before``, the number of samples of their series before them."""
+    held = runs.withColumn("cell", floor_to(F.col("t"), cell)).join(touched.select("metric", "cell", "start", *keep), ["metric", "cell"])
+    in_cell = Window.partitionBy("metric", "cell").orderBy("t", "count")
+    return held.withColumn("before", F.col("start") + _before("n", in_cell))
+
+
+def sample_runs(history: DataFrame, cell: int = HOUR) -> DataFrame:
     """Runs of equal samples: ``(metric, t, count, n, before, length)``.
 
     ``n`` samples follow ``before`` earlier ones of the ``length`` samples of their series, ordered
     by time, then count.
     """
-    runs = _count_runs(history).withColumn("_bucket", F.floor(F.col("t") / bucket))
-    in_bucket = Window.partitionBy("metric", "_bucket").orderBy("t", "count")
-    by_metric = Window.partitionBy("metric")
-    zero = F.lit(0).cast("bigint")
+    runs = _count_runs(history)
+    return _ordered_runs(runs, sample_cells(runs, cell), cell, "length").select("metric", "t", "count", "n", "before", "length")
 
-    def sum_before(column: str, window) -> Column:
-        return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), zero)
-
-    offsets = (
-        runs.groupBy("metric", "_bucket")
-        .agg(F.sum("n").alias("_n"))
-        .select(
-            "metric",
-            "_bucket",
-            sum_before("_n", by_metric.orderBy("_bucket")).alias("_offset"),
-            F.sum("_n").over(by_metric).alias("length"),
-        )
-    )
-    return (
-        runs.withColumn("_within", sum_before("n", in_bucket))
-        .join(offsets, ["metric", "_bucket"])
-        .select("metric", "t", "count", "n", (F.col("_offset") + F.col("_within")).alias("before"), "length")
-    )
 
+def retain_last_n(history: DataFrame, n: int = MAX_SAMPLES, cell: int = HOUR) -> DataFrame:
+    """The newest ``n`` samples of every series.
 
-def retain_last_n(history: DataFrame, n: int = MAX_SAMPLES, bucket: int = DAY) -> DataFrame:
-    """The newest ``n`` samples of every series."""
-    kept = F.least(F.col("n"), F.col("before") + F.col("n") - (F.col("length") - n))
-    return (
-        sample_runs(history, bucket)
-        .withColumn("_kept", kept)
-        .filter("_kept > 0")
-        .select(
-            "metric",
-            F.timestamp_seconds("t").alias("time"),
-            "count",
-            F.explode(F.sequence(F.lit(1).cast("bigint"), "_kept")).alias("_copy"),
-        )
-        .drop("_copy")
-    )
+    The tree of counts drops the cells that lie before the kept range as a whole and keeps those inside it
+    as they are. One cell per series may lie across the border; its runs alone are put in order.
+    """
+    runs = _count_runs(history)
+    cells = sample_cells(runs, cell).withColumn("_skip", F.col("length") - n - F.col("start"))
+    whole = runs.withColumn("cell", floor_to(F.col("t"), cell)).join(cells.filter("_skip <= 0").select("metric", "cell"), ["metric", "cell"])
+    border = _ordered_runs(runs, cells.filter("_skip > 0 and _skip < samples"), cell, "_skip")
+    left = F.least(F.col("n"), F.col("before") + F.col("n") - F.col("start") - F.col("_skip"))
+    kept = whole.select("metric", "t", "count", "n").unionByName(border.withColumn("n", left).filter("n > 0").select("metric", "t", "count", "n"))
+    copies = F.explode(F.sequence(F.lit(1).cast("bigint"), "n")).alias("_copy")
+    return kept.select("metric", F.timestamp_seconds("t").alias("time"), "count", copies).drop("_copy")
 
 
 def fill_after_stop(
@@ -212,7 +247,7 @@ def fill_gaps(history: DataFrame, step: int = SAMPLE_SECONDS) -> DataFrame:
 def _length(history: DataFrame, metric: str) -> Column:
     """Length of one series as a scalar subquery.
 
-    It is summed over the runs of all series, so it shares the shuffle of ``sample_runs``; a filter
+    It is summed over the runs of all series, so it shares the shuffle of the runs; a filter
     on the series would be pushed below that shuffle and read the history again.
     """
     of_metric = F.when(F.col("metric") == metric, F.col("n"))
@@ -224,23 +259,27 @@ def slice_stride(
     start: int = 0,
     points: int = CHART_POINTS,
     length_metric: str = "instance",
-    bucket: int = DAY,
+    cell: int = HOUR,
 ) -> DataFrame:
     """About ``points`` samples per series from index ``start``, as ``(metric, idx, time, count)``.
 
-    The stride is taken from the length of one series and used for all.
+    The stride is taken from the length of one series and used for all. The tree of counts tells which
+    cells hold a picked index; only their runs are put in order.
     """
     remaining = _length(history, length_metric) - start
-    runs = sample_runs(history, bucket).withColumn(
-        "_stride", F.greatest(ceil_div(remaining, F.lit(points)), F.lit(1).cast("bigint"))
-    )
-    # First picked index inside the run [before, before + n), then every stride after it.
-    skipped = F.greatest(ceil_div(F.col("before") - start, F.col("_stride")), F.lit(0).cast("bigint"))
-    picked = runs.withColumn("_first", start + skipped * F.col("_stride")).filter(
-        F.col("_first") < F.col("before") + F.col("n")
-    )
+    stride = F.greatest(ceil_div(remaining, F.lit(points)), F.lit(1).cast("bigint"))
+
+    def first_pick(before: str) -> Column:
+        """First picked index that is not before this place."""
+        skipped = F.greatest(ceil_div(F.col(before) - start, F.col("_stride")), F.lit(0).cast("bigint"))
+        return start + skipped * F.col("_stride")
+
+    runs = _count_runs(history)
+    cells = sample_cells(runs, cell).withColumn("_stride", stride)
+    touched = cells.filter(first_pick("start") < F.col("start") + F.col("samples"))
+    ordered = _ordered_runs(runs, touched, cell, "_stride").withColumn("_first", first_pick("before"))
     last = F.col("before") + F.col("n") - 1
-    return picked.select(
+    return ordered.filter(F.col("_first") <= last).select(
         "metric",
         F.explode(F.sequence(F.col("_first"), last, F.col("_stride"))).alias("idx"),
         F.timestamp_seconds("t").alias("time"),

@@ -3,8 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import count_or_zero
 from ..operators import breakdown, nested, registry, subscriptions, timeseries, translations, versions
-from ..session import cut_lineage
 
 
 def server_list(
@@ -31,25 +31,23 @@ def history(
 ) -> DataFrame:
     """Plotted samples of the history page beside its zoom points and current values.
 
-    The retained samples are few and read several times, so they are written to the shared folder
-    once. The page values are scalar subqueries over them.
+    Nothing is written on the way. The page values come from the plotted samples and the number of kept ones,
+    as one row that every sample reads.
     """
-    kept = cut_lineage(timeseries.retain_last_n(samples, keep))
+    kept = timeseries.retain_last_n(samples, keep)
     sliced = timeseries.slice_stride(kept, start, points)
-    zoom = timeseries.zoom_points(kept, start, points)
-    latest = timeseries.last_value(sliced)
+    zoom = timeseries.zoom_points(kept, start, points).agg(F.struct(F.first("next_zoom_point").alias("next"), F.first("previous_zoom_point").alias("previous")).alias("v")).scalar()
+    names = [f"{metric}_count" for metric in timeseries.HISTORY_METRICS]
+    latest = timeseries.last_value(sliced).select(F.struct(*names).alias("v")).scalar()
     return timeseries.history_series(sliced, now).select(
         "metric",
         "idx",
         F.unix_seconds("time").alias("t"),
         "value",
         "label",
-        zoom.select("next_zoom_point").scalar().alias("next_zoom_point"),
-        zoom.select("previous_zoom_point").scalar().alias("previous_zoom_point"),
-        *[
-            latest.select(f"{metric}_count").scalar().alias(f"{metric}_count")
-            for metric in timeseries.HISTORY_METRICS
-        ],
+        zoom["next"].alias("next_zoom_point"),
+        zoom["previous"].alias("previous_zoom_point"),
+        *[latest[name].alias(name) for name in names],
     )
 
 
@@ -82,10 +80,13 @@ def content_for_subscribers(
 
 
 def plan_counts(events: DataFrame, meta: DataFrame) -> DataFrame:
-    """Final count of every plan with the number of its events by outcome."""
-    final = subscriptions.plan_subscription_count(events, meta)
+    """Final count of every plan with the number of its events by outcome, from one fold of the events."""
     outcome = F.col("outcome")
-    tallies = subscriptions.event_outcome(events, meta).groupBy("plan_id").agg(
-        *[F.count_if(outcome == name).alias(name) for name in ("applied", "acknowledged", "error")]
+    tallies = subscriptions.event_outcome(events, meta, counts=True).groupBy("plan_id").agg(
+        F.max_by("subscription_count", "order").alias("_final"),
+        *[F.count_if(outcome == name).alias(name) for name in ("applied", "acknowledged", "error")],
     )
-    return final.join(tallies, "plan_id", "left").na.fill(0, ["applied", "acknowledged", "error"])
+    start = count_or_zero(F.col("subscription_count")).alias("_start")
+    joined = meta.select("plan_id", start).join(tallies, "plan_id", "left")
+    final = F.coalesce("_final", "_start").alias("subscription_count")
+    return joined.select("plan_id", final, "applied", "acknowledged", "error").na.fill(0, ["applied", "acknowledged", "error"])

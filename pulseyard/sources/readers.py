@@ -8,7 +8,7 @@ from ..operators.ingest import accepted, validate_heartbeats
 from ..operators.registry import upsert_latest
 from ..operators.translations import SHEET_KEY
 from ..operators.versions import DEFAULT_API_VERSION, versions_for
-from ..schemas import HISTORY_SCHEMA, SUBSCRIPTION_EVENT_SCHEMA
+from ..schemas import HISTORY_SCHEMA
 
 # File name of a version table and its fields.
 VERSION_FILE = r"\.v(\d+)\.json$"
@@ -16,6 +16,8 @@ VERSION_KEYS = {
     "current-version-stable": "current_version_stable",
     "current-version-prerelease": "current_version_prerelease",
 }
+# Messages of rejected subscription events.
+NOT_JSON, NO_EVENT_TYPE = "request body must be json", "event_type is required"
 SERIES_FIELDS = {
     "client_history": "client",
     "instance_history": "instance",
@@ -115,16 +117,15 @@ def meta_get(table: DataFrame, name: str = "", key: str = "plan_id") -> DataFram
 
 
 def parse_subscription_events(raw: DataFrame, body: str = "body") -> DataFrame:
-    """Event columns beside ``error``, which is set when the body is not a JSON object."""
-    event = F.from_json(body, SUBSCRIPTION_EVENT_SCHEMA)
-    is_object = F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT")
-    return (
-        raw.withColumn("_event", event)
-        .withColumn("error", F.when(~F.coalesce(is_object, F.lit(False)), F.lit("request body must be json")))
-        .select(
-            *[c for c in raw.columns if c != body],
-            F.col("_event.event_type").alias("event_type"),
-            F.col("_event.content.subscription.plan_id").alias("plan_id"),
-            "error",
-        )
-    )
+    """Event columns beside ``error``, which is set when the body is not a JSON object or has no event type.
+
+    The body is parsed once: a one-row ``inline`` keeps the optimizer from copying the parsing into each field.
+    """
+    kept = [c for c in raw.columns if c != body]
+    parsed = raw.select(*kept, F.inline(F.array(F.struct(F.try_parse_json(body).alias("_event")))))
+    is_object = F.coalesce(F.schema_of_variant("_event").startswith("OBJECT"), F.lit(False))
+    event_type = F.try_variant_get("_event", "$.event_type", "string")
+    error = F.when(~is_object, F.lit(NOT_JSON)).when(event_type.isNull(), F.lit(NO_EVENT_TYPE))
+    plan = F.try_variant_get("_event", "$.content.subscription.plan_id", "string")
+    fields = F.struct(event_type.alias("event_type"), plan.alias("plan_id"), error.alias("error"))
+    return parsed.select(*kept, F.inline(F.array(fields)))

@@ -1,8 +1,12 @@
 """Heartbeat streams: ingestion, registry, sessions, census."""
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.arithmetic import ceil_div
 from ..functions.clock import epoch_seconds
@@ -13,6 +17,9 @@ from ..operators.timeseries import SAMPLE_SECONDS
 # Seconds between writes of the history.
 PERSIST_SECONDS = 15
 
+# Bits of ``seq`` that hold the offset in a partition of a topic.
+PARTITION_SHIFT = 47
+
 RAW_SCHEMA = "body string, remote_ip string, received_at timestamp, seq bigint"
 
 
@@ -22,7 +29,11 @@ def read_raw_stream(spark: SparkSession, path: str, max_files: int = 1000) -> Da
 
 
 def read_kafka_stream(spark: SparkSession, servers: str, topic: str) -> DataFrame:
-    """Raw heartbeats from a topic whose record key is the sender address."""
+    """Raw heartbeats from a topic whose record key is the sender address.
+
+    Offsets count inside one partition, so ``seq`` puts them below the partition's number: it orders records of
+    one receive time the same way in every run, and those of one partition as they came.
+    """
     records = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
@@ -33,7 +44,7 @@ def read_kafka_stream(spark: SparkSession, servers: str, topic: str) -> DataFram
         F.col("value").cast("string").alias("body"),
         F.col("key").cast("string").alias("remote_ip"),
         F.col("timestamp").alias("received_at"),
-        F.col("offset").alias("seq"),
+        (F.shiftleft(F.col("partition").cast("bigint"), PARTITION_SHIFT) + F.col("offset")).alias("seq"),
     )
 
 
@@ -62,6 +73,76 @@ def registry_stream(heartbeats: DataFrame) -> DataFrame:
     return upsert_latest(heartbeats)
 
 
+REGISTRY_CHANGE = "id string, live boolean, at bigint, instance_seq bigint, last_heartbeat bigint, seq bigint, row string"
+_REGISTRY_STATE = "opening bigint, last bigint, seq bigint, row string"
+
+
+def registry_changes(
+    heartbeats: DataFrame,
+    lateness: int = 60,
+    expiry: int = EXPIRY_SECONDS,
+    sweep: int = SWEEP_SECONDS,
+) -> DataFrame:
+    """Changes of the registry, for update output: newest heartbeats with ``live``, removals without.
+
+    One state row per registered instance holds its newest heartbeat and the ``seq`` of the first one since it was
+    registered (``instance_seq``). The row times out at the sweep that removes the instance, once the watermark
+    (``lateness`` seconds behind the newest receive time) has passed it; then a removal is emitted and the state
+    is gone, so state is bounded by what is registered and not by every id ever seen. A heartbeat that comes after
+    the sweep opens the instance anew. Heartbeats older than the newest one change nothing; those older than
+    the watermark are not read. Null ids are ignored. Window functions over sessions know no update output,
+    which is why the state is a function of its own.
+    """
+    columns = heartbeats.columns
+    rows = heartbeats.filter("id is not null").withWatermark("received_at", f"{lateness} seconds")
+    narrow = rows.select(
+        "id", "received_at", F.unix_seconds("received_at").alias("t"), F.col("seq").cast("bigint").alias("seq"), F.to_json(F.struct(*columns)).alias("row")
+    )
+
+    def gone_at(last: int) -> int:
+        return last + expiry + 1 if sweep == 0 else ((last + expiry) // sweep + 1) * sweep
+
+    def change(key: tuple, live: bool, at: int, state: tuple) -> pd.DataFrame:
+        opening, last, seq, row = state
+        return pd.DataFrame([(key[0], live, at, opening, last, seq, row)], columns=["id", "live", "at", "instance_seq", "last_heartbeat", "seq", "row"])
+
+    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            held = state.get
+            state.remove()
+            yield change(key, False, gone_at(held[1]), held)
+            return
+        held = state.get if state.exists else None
+        # Of a batch only the newest heartbeat and the gaps before it matter; they are found on two numbers per row.
+        came = pd.concat(list(batches), ignore_index=True).sort_values(["t", "seq"], kind="stable")
+        for t, seq, row in zip(came["t"].tolist(), came["seq"].tolist(), came["row"], strict=True):
+            if held is None or t >= gone_at(held[1]):
+                held = (seq, t, seq, row)
+            elif (t, seq) > (held[1], held[2]):
+                held = (held[0], t, seq, row)
+        due = gone_at(held[1])
+        if due * 1000 <= state.getCurrentWatermarkMs():
+            if state.exists:
+                state.remove()
+            yield change(key, False, due, held)
+            return
+        state.update(held)
+        state.setTimeoutTimestamp(due * 1000)
+        yield change(key, True, held[1], held)
+
+    return narrow.groupBy("id").applyInPandasWithState(update, REGISTRY_CHANGE, _REGISTRY_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def registry_from_changes(changes: DataFrame, heartbeat_schema: str) -> DataFrame:
+    """The registry after these changes: the heartbeat columns, ``last_heartbeat`` and ``instance_seq`` of live instances.
+
+    A removal at the very second of a new heartbeat comes before it.
+    """
+    newest = changes.groupBy("id").agg(F.max_by(F.struct("live", "instance_seq", "last_heartbeat", "row"), F.struct("last_heartbeat", "seq", ~F.col("live"))).alias("c"))
+    read = newest.filter("c.live").select(F.from_json("c.row", heartbeat_schema).alias("r"), "c.instance_seq", "c.last_heartbeat")
+    return read.select("r.*", "last_heartbeat", "instance_seq")
+
+
 def session_stream(
     heartbeats: DataFrame, watermark: str = "1 minute", expiry: int = EXPIRY_SECONDS
 ) -> DataFrame:

@@ -72,7 +72,9 @@ def test_event_bodies(spark):
     raw = spark.createDataFrame([(1, good), (2, "plan=1"), (3, None), (4, "[1]"), (5, "{}")], "event_id bigint, body string")
     rows = {r.event_id: r for r in readers.parse_subscription_events(raw).collect()}
     assert (rows[1].event_type, rows[1].plan_id, rows[1].error) == ("subscription_created", "p", None)
-    assert all(rows[i].error for i in (2, 3, 4)) and rows[5].error is None and rows[5].event_type is None
+    assert all(rows[i].error == "request body must be json" for i in (2, 3, 4))
+    # An object without an event type is no event.
+    assert rows[5].error == "event_type is required" and rows[5].event_type is None
 
 
 def test_lines_reach_the_registry(spark, tmp_path):

@@ -109,3 +109,114 @@ def test_history_sink_appends(spark, tmp_path):
     batch = {tuple(r) for r in timeseries.census_at_ticks(beats).select("tick", "clients", "instances", "servers").collect()}
     got = {tuple(r) for r in spark.read.parquet(out).select("tick", "clients", "instances", "servers").collect()}
     assert got and got <= batch
+
+
+def land_by_time(beats, path, parts=4):
+    """Files of one span of time each, in order."""
+    newest = beats.agg(F.max("t")).first()[0] + 1
+    for part in range(parts):
+        low, high = newest * part // parts, newest * (part + 1) // parts
+        beats.filter((F.col("t") >= low) & (F.col("t") < high)).coalesce(1).write.mode("append").parquet(str(path))
+    return str(path)
+
+
+@pytest.mark.parametrize("expiry, sweep", [(60, 300), (90, 0)])
+def test_registry_changes_expire(spark, tmp_path, expiry, sweep):
+    """After every trigger the changes make the batch registry at the watermark, and silent instances leave the state."""
+    beats = beats_with_servers(spark, make_beats(31, ids=12, rows=120, span=6000)).select("id", "received_at", "seq", "payload", "t")
+    source = read(spark, beats, land_by_time(beats, tmp_path / "in"))
+    changes = stream.registry_changes(source.drop("t"), lateness=5, expiry=expiry, sweep=sweep)
+    name = f"changes_{expiry}"
+    query = changes.writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
+    query.awaitTermination(200)
+    watermark = beats.agg(F.max("t")).first()[0] - 5
+    schema = "id string, received_at timestamp, seq bigint, payload string"
+    got = stream.registry_from_changes(spark.table(name), schema).collect()
+    latest = registry.upsert_latest(beats).withColumn("last_heartbeat", F.col("t"))
+    alive = registry.expire_stale(latest, watermark, expiry=expiry, sweep=sweep).join(registry.first_seen(beats, expiry=expiry, sweep=sweep), "id")
+    wanted = {(r.id, r.payload, r.last_heartbeat, r.instance_seq) for r in alive.collect()}
+    assert {(r.id, r.payload, r.last_heartbeat, r.instance_seq) for r in got} == wanted and wanted
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert states[-1] == len(wanted) < beats.select("id").distinct().count()
+    removed = spark.table(name).filter("not live")
+    assert removed.count() > 0 and removed.filter("at <= last_heartbeat").count() == 0
+
+
+def test_stored_registry_equals_batch(spark, tmp_path):
+    """After every batch the table equals the batch registry over everything, also when a batch is replayed."""
+    from pulseyard.streaming import registry_table as table
+
+    beats = beats_with_servers(spark, make_beats(32, ids=20, rows=200, span=3000)).drop("t")
+    schema = beats.schema
+    path = str(tmp_path / "table")
+    seconds = F.unix_seconds("received_at")
+    written = []
+    for k in range(4):
+        batch = beats.filter((seconds >= 750 * k) & (seconds < 750 * (k + 1)))
+        for _ in range(2 if k == 2 else 1):
+            table.apply_batch(batch, k, path, buckets=8)
+        written.append({r[0] for r in batch.select(table._bucket("id", 8)).distinct().collect()})
+        now = 750 * (k + 1) - 1
+        got = table.stored_registry(spark, path, k, schema, now).collect()
+        wanted = registry.current_registry(beats, now, position=True).collect()
+        assert {(r.id, r.payload, r.last_heartbeat, r.instance_seq) for r in got} == {(r.id, r.payload, r.last_heartbeat, r.instance_seq) for r in wanted}
+    some = [r.id for r in wanted][:2]
+    asked = table.stored_instances(spark, path, 3, schema, [*some, "nobody"], now, buckets=8)
+    assert sorted(r.id for r in asked.collect()) == sorted(some)
+    # A batch with one heartbeat rewrites one bucket.
+    one = spark.createDataFrame([("hot", 999_999, "late")], "id string, seq bigint, payload string")
+    one = one.select("id", F.lit(0).cast("bigint").alias("x"), "seq", "payload").drop("x").withColumn("received_at", F.timestamp_seconds(F.lit(3010)))
+    one = one.withColumn("servers", F.array().cast(schema["servers"].dataType)).select(*beats.columns)
+    table.apply_batch(one, 4, path, buckets=8)
+    import os
+
+    assert len([d for d in os.listdir(f"{path}/rows/batch=4") if d.startswith("bucket=")]) == 1
+    assert {r.payload for r in table.stored_registry(spark, path, 4, schema, 3010).filter("id = 'hot'").collect()} == {"late"}
+
+
+def test_registry_table_stream(spark, tmp_path):
+    from pulseyard.streaming import registry_table as table
+
+    beats = beats_with_servers(spark, make_beats(33, ids=6, rows=80, span=2000))
+    source = read(spark, beats, land_by_time(beats, tmp_path / "in", 3)).drop("t")
+    path = str(tmp_path / "table")
+    query = table.registry_table_stream(source, path, str(tmp_path / "cp"), buckets=4).trigger(availableNow=True).start()
+    query.awaitTermination(200)
+    now = beats.agg(F.max("t")).first()[0]
+    got = table.stored_registry(spark, path, 2, source.schema, now).collect()
+    wanted = registry.current_registry(beats.drop("t"), now, position=True).collect()
+    assert {(r.id, r.payload, r.instance_seq) for r in got} == {(r.id, r.payload, r.instance_seq) for r in wanted}
+
+
+def test_raw_events_are_parsed_once_and_counted_once(spark, tmp_path):
+    body = lambda kind, plan: json.dumps({"event_type": kind, "content": {"subscription": {"plan_id": plan}}})
+    rows = [(f"e{i}", 100 + i, body("subscription_created", f"p{i % 3}")) for i in range(12)]
+    rows += rows[:5] + [(None, 103, body("subscription_created", "p0")), (None, 104, body("subscription_created", "p0"))]
+    rows += [("bad", 110, "plan=1"), ("none", 111, None), ("list", 112, "[1]"), ("typeless", 113, '{"content": {}}'), ("bad", 114, "plan=1")]
+    raw = spark.createDataFrame(rows, "event_id string, t bigint, body string").select("event_id", F.timestamp_seconds("t").alias("received_at"), "body")
+    (tmp_path / "in").mkdir()
+    raw.repartition(3).write.mode("append").json(str(tmp_path / "in"))
+    good, bad = str(tmp_path / "good"), str(tmp_path / "bad")
+    for _ in range(2):  # the second run finds nothing new
+        source = counters.read_raw_event_stream(spark, str(tmp_path / "in"), max_files=1)
+        counters.raw_event_stream(source, good, bad, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(200)
+    events = spark.read.parquet(good).collect()
+    assert sorted(r.event_id or "-" for r in events) == sorted([*(f"e{i}" for i in range(12)), "-", "-"])
+    rejected = {r.event_id: r for r in spark.read.parquet(bad).collect()}
+    assert set(rejected) == {"bad", "none", "list", "typeless"} and spark.read.parquet(bad).count() == 4
+    assert rejected["typeless"].error == "event_type is required" and rejected["bad"].body == "plan=1"
+
+
+def test_late_events_fold_right(spark, tmp_path):
+    """Batches in any order of time; the kept pairs give the counts of one fold over everything."""
+    rows = make_events(35, 300)
+    start = {"hot": 1, "a": 0, "b": 2, "c": 0, "d": 0}
+    frame = spark.createDataFrame(rows, "event_id bigint, t bigint, event_type string, plan_id string").withColumn("ts", F.timestamp_seconds("t"))
+    (tmp_path / "in").mkdir()
+    for k in (2, 0, 1):
+        frame.filter(F.col("t") % 3 == k).select("event_id", "ts", "event_type", "plan_id").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        source = counters.read_event_stream(spark, str(tmp_path / "in"))
+        counters.pair_stream(source, str(tmp_path / "pairs"), str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(200)
+    expected, _, _ = fold(rows, start)
+    meta = spark.createDataFrame(list(start.items()), "plan_id string, subscription_count bigint")
+    assert {r.plan_id: r.subscription_count for r in counters.stored_counts(spark, str(tmp_path / "pairs"), meta).collect()} == expected

@@ -71,6 +71,48 @@ def test_hot_plan_is_cut_into_blocks(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+@pytest.mark.parametrize("cell, most", [(3600, 100_000), (50, 20), (10, 3), (7, 1)])
+def test_blocks_of_any_size_fold_alike(spark, cell, most):
+    """Hot cells are cut into parts; a block holds few events, and the counts are those of one fold."""
+    rows = make_events(21, 500)
+    start = {"hot": 2, "a": 0, "b": 5, "c": 0, "d": 1}
+    _, values, _ = fold(rows, start)
+    meta = spark.createDataFrame(list(start.items()), META)
+    counted = s.clamped_counter(events_frame(spark, rows), meta, cell, most).collect()
+    assert {r.event_id: r.subscription_count for r in counted} == values
+    counting, _ = s._split_events(events_frame(spark, rows), meta)
+    blocks = s._placed_events(counting, cell, most).groupBy("plan_id", "cell", "part").count()
+    if most == 20:
+        assert blocks.agg(F.max("count")).first()[0] <= 40 and blocks.filter("plan_id = 'hot'").count() >= 8
+
+
+def test_counts_run_nothing_before_the_action(spark, tmp_path):
+    """No job and no file while the DataFrame is made; blocks agree between runs."""
+    from pulseyard.plans import pages
+
+    meta = spark.createDataFrame([("hot", 2), ("a", 0)], META)
+    events = events_frame(spark, make_events(22, 300))
+    group = "counts-before-action"
+    spark.sparkContext.setJobGroup(group, group)
+    frames = [s.clamped_counter(events, meta), s.plan_subscription_count(events, meta), pages.plan_counts(events, meta)]
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(group) == []
+    spark.sparkContext.setJobGroup("other", "other")
+    first, again = frames[0].collect(), frames[0].repartition(3).collect()
+    assert sorted(first) == sorted(again)
+
+
+def test_pairs_compose(spark):
+    """Pairs of batches that come in any order give the counts of one fold over everything."""
+    rows = make_events(23, 400)
+    start = {"hot": 2, "a": 0, "b": 5, "c": 0, "d": 1, "idle": 4}
+    counts, _, _ = fold(rows, start)
+    meta = spark.createDataFrame(list(start.items()), META)
+    events = events_frame(spark, rows)
+    batches = [s.event_pairs(events.filter(F.col("t") % 3 == k)) for k in (2, 0, 1)]
+    pairs = batches[0].unionByName(batches[1]).unionByName(batches[2])
+    assert {r.plan_id: r.subscription_count for r in s.counts_from_pairs(pairs, meta).collect()} == counts
+
+
 def test_cancel_at_zero(spark):
     rows = [(i, i, k, "p") for i, k in enumerate([s.CANCELLED, s.CREATED, s.CANCELLED, s.CANCELLED])]
     meta = spark.createDataFrame([("p", 0)], META)
