@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import connect_string, occupancy_label, strip_color_codes
@@ -55,6 +55,31 @@ def sort_by_players(servers: DataFrame) -> DataFrame:
     return servers.orderBy("game", F.desc("clientnum"), "instance_seq", "pos")
 
 
+#: Positions of servers that stand in one cell of ``row_before``.
+PLACES_PER_CELL = 1 << 20
+
+
+def row_before(
+    servers: DataFrame, value: str = "id", name: str = "follows", group: str = "game", falling: str | None = None, place: str = "place"
+) -> DataFrame:
+    """``name``: the ``value`` of the row before in the group, by ``falling`` (largest first) and then ``place``.
+
+    A group is cut into cells, each a function of the row: the value of ``falling`` and a range of places. A
+    window holds one cell; the first row of a cell takes the last row of the cell before, from one edge row per
+    cell. No window holds a group, however many rows it has.
+    """
+    cells = ["_part", *([falling] if falling else [])]
+    placed = servers.withColumn("_part", F.floor(F.col(place) / PLACES_PER_CELL))
+    edges = placed.groupBy(group, *cells).agg(F.max_by(value, place).alias("_edge"))
+    along = [*([F.desc(falling)] if falling else []), "_part"]
+    edges = edges.withColumn("_before", F.lag("_edge").over(Window.partitionBy(group).orderBy(*along)))
+    edges = edges.select(*[F.col(c).alias(f"_e_{c}") for c in (group, *cells)], "_before")
+    inside = F.lag(value).over(Window.partitionBy(group, *cells).orderBy(place))
+    same = [F.col(c).eqNullSafe(F.col(f"_e_{c}")) for c in (group, *cells)]
+    joined = placed.withColumn("_inside", inside).join(edges, same)
+    return joined.select(*servers.columns, F.coalesce("_inside", "_before").alias(name))
+
+
 def group_servers(servers: DataFrame) -> DataFrame:
     """Servers by game. Groups stay as sorted rows: one game may hold a third of all servers, and
     range partitioning on the whole sort key splits it over tasks."""

@@ -67,6 +67,9 @@ def upsert_latest(
     packed = None if rows.isStreaming else packed_order(rows, order)
     if packed is None:
         return latest_by_aggregate(rows, key, order)
+    rest = [c for c in rows.columns if c != key]
+    if set(rest) <= set(order):  # nothing to pick up
+        return rows.groupBy(key).agg(*[F.max_by(c, packed).alias(c) for c in rest]).select(*rows.columns)
     newest = rows.groupBy(F.col(key).alias("_key")).agg(F.max(packed).alias("_newest"))
     placed = rows.withColumn("_order", packed)
     hopeful = placed.filter(may_contain(membership_bits(newest, bit_words), F.col(key), F.col("_order")))

@@ -254,19 +254,27 @@ def _length(history: DataFrame, metric: str) -> Column:
     return _count_runs(history).agg(F.coalesce(F.sum(of_metric), F.lit(0)).alias("n")).scalar()
 
 
+def kept_length(history: DataFrame, keep: int | None, length_metric: str = "instance") -> Column:
+    """Samples of one series that are left when the newest ``keep`` are kept, as a scalar subquery."""
+    length = _length(history, length_metric)
+    return length if keep is None else F.least(length, F.lit(keep).cast("bigint"))
+
+
 def slice_stride(
     history: DataFrame,
     start: int = 0,
     points: int = CHART_POINTS,
     length_metric: str = "instance",
     cell: int = HOUR,
+    keep: int | None = None,
 ) -> DataFrame:
     """About ``points`` samples per series from index ``start``, as ``(metric, idx, time, count)``.
 
     The stride is taken from the length of one series and used for all. The tree of counts tells which
-    cells hold a picked index; only their runs are put in order.
+    cells hold a picked index; only their runs are put in order. With ``keep``, indexes count in the newest
+    ``keep`` samples of each series, as if the others had been dropped before.
     """
-    remaining = _length(history, length_metric) - start
+    remaining = kept_length(history, keep, length_metric) - start
     stride = F.greatest(ceil_div(remaining, F.lit(points)), F.lit(1).cast("bigint"))
 
     def first_pick(before: str) -> Column:
@@ -276,6 +284,8 @@ def slice_stride(
 
     runs = _count_runs(history)
     cells = sample_cells(runs, cell).withColumn("_stride", stride)
+    if keep is not None:
+        cells = cells.withColumn("start", F.col("start") - F.greatest(F.col("length") - keep, F.lit(0).cast("bigint")))
     touched = cells.filter(first_pick("start") < F.col("start") + F.col("samples"))
     ordered = _ordered_runs(runs, touched, cell, "_stride").withColumn("_first", first_pick("before"))
     last = F.col("before") + F.col("n") - 1
@@ -287,29 +297,37 @@ def slice_stride(
     )
 
 
+def next_zoom(total: Column, start: int) -> Column:
+    """Start index that shows the newer half of what is shown from ``start``."""
+    return ceil_div(total - start, F.lit(ZOOM_FACTOR)) + start
+
+
+def previous_zoom(total: Column, start: int) -> Column:
+    """Start index that shows twice as much, 0 when nothing is shown."""
+    zero = F.lit(0).cast("bigint")
+    return F.when(total == start, zero).otherwise(F.greatest(zero, start - (total - start)))
+
+
 def zoom_points(
     history: DataFrame, start: int = 0, points: int = CHART_POINTS, length_metric: str = "instance"
 ) -> DataFrame:
     """One row: total samples, stride, and the start indexes of the next and previous zoom."""
     total = F.col("total")
-    remaining = total - start
     one_row = history.filter(F.col("metric") == length_metric).agg(F.count(F.lit(1)).alias("total"))
-    previous = F.when(total == start, F.lit(0).cast("bigint")).otherwise(
-        F.greatest(F.lit(0).cast("bigint"), start - remaining)
-    )
     return one_row.select(
         "total",
-        F.greatest(ceil_div(remaining, F.lit(points)), F.lit(1).cast("bigint")).alias("stride"),
-        (ceil_div(remaining, F.lit(ZOOM_FACTOR)) + start).alias("next_zoom_point"),
-        previous.alias("previous_zoom_point"),
+        F.greatest(ceil_div(total - start, F.lit(points)), F.lit(1).cast("bigint")).alias("stride"),
+        next_zoom(total, start).alias("next_zoom_point"),
+        previous_zoom(total, start).alias("previous_zoom_point"),
     )
 
 
 def history_series(sliced: DataFrame, now: int, metrics: Sequence[str] = ("client", "instance")) -> DataFrame:
     """Plotted rows with their age label. The server series is kept out of the plot."""
     label = time_ago(epoch_seconds(F.col("time")), F.lit(now))
+    rest = [c for c in sliced.columns if c not in ("metric", "idx", "time", "count")]
     return sliced.filter(F.col("metric").isin(*metrics)).select(
-        "metric", "idx", "time", F.col("count").alias("value"), label.alias("label")
+        "metric", "idx", "time", F.col("count").alias("value"), label.alias("label"), *rest
     )
 
 
@@ -318,6 +336,11 @@ def first_label(series: DataFrame, metric: str = "instance") -> DataFrame:
     return series.filter(F.col("metric") == metric).agg(F.min_by("label", "idx").alias("label"))
 
 
+def _latest(metric: str, place: str, over=None) -> Column:
+    newest = F.max_by("count", F.when(F.col("metric") == metric, F.col(place)))
+    return F.coalesce(newest if over is None else newest.over(over), F.lit(0).cast("bigint")).alias(f"{metric}_count")
+
+
 def last_value(sliced: DataFrame) -> DataFrame:
     """Latest value of each series, 0 where it is empty, as one row.
 
@@ -325,9 +348,13 @@ def last_value(sliced: DataFrame) -> DataFrame:
     whole history for the newest.
     """
     place = "idx" if "idx" in sliced.columns else "time"
+    return sliced.agg(*[_latest(metric, place) for metric in HISTORY_METRICS])
+
 
-    def latest(metric: str) -> Column:
-        of_metric = F.when(F.col("metric") == metric, F.col(place))
-        return F.coalesce(F.max_by("count", of_metric), F.lit(0).cast("bigint")).alias(f"{metric}_count")
+def beside_last_values(sliced: DataFrame) -> DataFrame:
+    """Sliced samples with the latest value of each series on every row.
 
-    return sliced.agg(*map(latest, HISTORY_METRICS))
+    One window over all of them: a slice has about as many samples as the chart has points, whatever the history.
+    """
+    everything = Window.partitionBy()
+    return sliced.select("*", *[_latest(metric, "idx", everything) for metric in HISTORY_METRICS])

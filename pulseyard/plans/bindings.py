@@ -11,6 +11,7 @@ NOW = 1_706_659_200  # 2024-01-31 00:00:00 UTC
 # The users of `events` report about twice a day, so periods are hours instead of seconds.
 STATS_EXPIRY, STATS_SWEEP = 86_400, 7_200
 CENSUS_EXPIRY, CENSUS_SWEEP, CENSUS_TICK = 21_600, 7_200, 3_600
+ACTIVITY_STEP = 600
 REMOTE_IP = "203.0.113.9"
 
 
@@ -218,23 +219,36 @@ def plans(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def plan_meta(spark: SparkSession, folder: str) -> DataFrame:
-    """Metadata of two plans in three."""
-    key = F.col("s_suppkey")
+    """Metadata from parts. Their keys are the even numbers, so every other plan has none, and many of them have no plan."""
+    key = F.col("p_partkey") * 2
     suffix = F.when(key % 7 == 0, ".txt").when(key % 3 == 1, ".dll").otherwise(".JS")
-    return table(spark, folder, "supplier").filter(key % 3 != 0).select(
+    return table(spark, folder, "part").select(
         key.cast("string").alias("plan_id"),
-        F.when(key % 4 != 0, key % 4).cast("bigint").alias("subscription_count"),
-        F.concat(F.lit("author "), F.col("s_nationkey").cast("string")).alias("author"),
+        F.when(F.col("p_size") % 5 != 0, F.col("p_size") % 5).cast("bigint").alias("subscription_count"),
+        F.concat(F.lit("author "), F.col("p_brand")).alias("author"),
         F.concat(F.lit("https://help.example.com/"), key.cast("string")).alias("help_url"),
         F.concat(F.lit("https://c.example.com/"), key.cast("string"), suffix).alias("content_url"),
     )
 
 
 def contents(spark: SparkSession, folder: str) -> DataFrame:
-    """Content of the plans with metadata; one in ten is missing."""
+    """Content of every plan with metadata; one in five could not be fetched and is null."""
     text = F.concat(F.lit("content of "), F.col("plan_id"), F.lit(" "), F.repeat("author", F.lit(5)))
-    missing = F.col("plan_id").cast("int") % 10 == 0
-    return plan_meta(spark, folder).filter(~missing).select("content_url", F.encode(text, "UTF-8").alias("payload"))
+    payload = F.when(F.col("plan_id").cast("bigint") % 10 != 0, F.encode(text, "UTF-8"))
+    return plan_meta(spark, folder).select("content_url", payload.alias("payload"))
+
+
+def activity(spark: SparkSession, folder: str) -> DataFrame:
+    """A history of events per type and ten minutes; slots without events are missing."""
+    slot = F.unix_seconds("ts") - F.pmod(F.unix_seconds("ts"), F.lit(ACTIVITY_STEP))
+    counted = _events(spark, folder).groupBy(F.col("event_type").alias("metric"), F.timestamp_seconds(slot).alias("time"))
+    return counted.agg(F.count(F.lit(1)).alias("count"))
+
+
+def timed_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """The instance requests, each at a second of its own within the month of the events."""
+    at = F.lit(1_704_067_200) + F.pmod(F.col("o_orderkey") * 7919, F.lit(2_592_000))
+    return instance_requests(spark, folder).withColumn("at", at)
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:

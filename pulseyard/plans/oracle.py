@@ -228,12 +228,12 @@ plans AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, s_suppkey, s_name AS name, 'P
                  CASE WHEN s_suppkey % 11 = 0 THEN 0 ELSE CAST(round(s_acctbal * 100) AS BIGINT) END AS price,
                  CASE WHEN s_suppkey % 2 = 0 THEN 'month' ELSE 'year' END AS period_unit,
                  CASE WHEN s_suppkey % 5 = 0 THEN 'archived' ELSE 'active' END AS status FROM supplier),
-meta AS (SELECT CAST(s_suppkey AS VARCHAR) AS plan_id, s_suppkey,
-                CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey % 4 END AS subscription_count,
-                'author ' || s_nationkey AS author, 'https://help.example.com/' || s_suppkey AS help_url,
-                'https://c.example.com/' || s_suppkey || CASE WHEN s_suppkey % 7 = 0 THEN '.txt'
-                  WHEN s_suppkey % 3 = 1 THEN '.dll' ELSE '.JS' END AS content_url
-         FROM supplier WHERE s_suppkey % 3 <> 0),
+meta AS (SELECT CAST(p_partkey * 2 AS VARCHAR) AS plan_id, p_partkey * 2 AS plan_key,
+                CAST(CASE WHEN p_size % 5 <> 0 THEN p_size % 5 END AS BIGINT) AS subscription_count,
+                'author ' || p_brand AS author, 'https://help.example.com/' || (p_partkey * 2) AS help_url,
+                'https://c.example.com/' || (p_partkey * 2) || CASE WHEN p_partkey * 2 % 7 = 0 THEN '.txt'
+                  WHEN p_partkey * 2 % 3 = 1 THEN '.dll' ELSE '.JS' END AS content_url
+         FROM part),
 catalogue AS (SELECT id, name, description, printf('%.2f', price / 100.0) AS price, period_unit,
                      CASE WHEN price = 0 THEN 'Free' ELSE '$' || printf('%.2f', price / 100.0) || ' per ' || period_unit END
                        AS price_label,
@@ -247,8 +247,8 @@ first_customer AS (SELECT email, min(id) AS customer_id FROM cust GROUP BY email
 owned AS (SELECT DISTINCT customer_id, plan_id FROM subs WHERE status = 'active'),
 entitled AS (SELECT email, customer_id, plan_id, content_url, author
              FROM first_customer JOIN owned USING (customer_id) JOIN meta USING (plan_id)),
-contents AS (SELECT content_url, 'content of ' || plan_id || ' ' || repeat(author, 5) AS payload
-             FROM meta WHERE s_suppkey % 10 <> 0)"""
+contents AS (SELECT content_url, CASE WHEN plan_key % 10 <> 0 THEN 'content of ' || plan_id || ' ' || repeat(author, 5) END AS payload
+             FROM meta)"""
 
 COUNTS = """
 subscription_events AS (
@@ -298,7 +298,7 @@ def _stat(index: int) -> str:
 
 
 PLOT = f"SELECT metric, idx, time, count AS value, {label(f'({NOW} - time)')} AS label FROM sliced WHERE metric <> 'server'"
-GAPPY = f"{WITH_HISTORY}, gappy AS (SELECT * FROM history WHERE (time // 3600) % 24 NOT IN (3, 4, 5))"
+GAPPY = f"{WITH_HB}, gappy AS (SELECT event_type AS metric, t // 600 * 600 AS time, count(*) AS count FROM hb GROUP BY ALL)"
 LAST = """
 last AS (SELECT coalesce(arg_max(count, idx) FILTER (WHERE metric = 'client'), 0) AS client_count,
                 coalesce(arg_max(count, idx) FILTER (WHERE metric = 'instance'), 0) AS instance_count,
@@ -401,6 +401,12 @@ ORACLE: dict[str, str] = {
     "exists_by_key": f"""{WITH_REG}
         SELECT o_orderkey, 'i' || (o_custkey % 400) AS id, ('i' || (o_custkey % 400)) IN (SELECT id FROM reg) AS found
         FROM orders""",
+    "registry_as_of": f"""{WITH_HB},
+        beats AS (SELECT id, t, max(seq) AS seq FROM hb GROUP BY id, t),
+        asked AS (SELECT o_orderkey, 'i' || (o_custkey % 400) AS id, 1704067200 + (o_orderkey * 7919) % 2592000 AS "at" FROM orders),
+        met AS (SELECT asked.o_orderkey, asked.id, asked."at", t, seq, coalesce({purge("t", 86400, 7200)} > "at", false) AS found
+                FROM asked ASOF LEFT JOIN beats ON asked.id = beats.id AND asked."at" >= beats.t)
+        SELECT o_orderkey, id, "at", found, CASE WHEN found THEN t END AS last_heartbeat, CASE WHEN found THEN seq END AS heartbeat_seq FROM met""",
     "not_found_by_key": f"""{WITH_REG}
         SELECT o_orderkey, 'i' || (o_custkey % 400) AS id FROM orders
         WHERE ('i' || (o_custkey % 400)) NOT IN (SELECT id FROM reg)""",
@@ -448,7 +454,7 @@ ORACLE: dict[str, str] = {
         SELECT metric, time, count FROM (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY time DESC) AS rn FROM history)
         WHERE rn <= 300""",
     "fill_gaps": f"""{GAPPY},
-        spine AS (SELECT metric, unnest(range(lo, hi + 1, 3600)) AS time
+        spine AS (SELECT metric, unnest(range(lo, hi + 1, 600)) AS time
                   FROM (SELECT metric, min(time) AS lo, max(time) AS hi FROM gappy GROUP BY metric))
         SELECT metric, time, coalesce(count, 0) AS count FROM spine LEFT JOIN gappy USING (metric, time)""",
     "fill_after_stop": f"""{WITH_HISTORY},
@@ -502,7 +508,13 @@ ORACLE: dict[str, str] = {
                uptime & 65535 AS masked, CAST(ceil(uptime / 30.0) AS BIGINT) AS slots, 9007199254740993 + seq AS large,
                regexp_replace(id, '(i)([0-9]+)', '\\2-\\1') AS swapped, id AS plain, (seq % 9) || '/9' AS occupancy,
                'connect ' || ip_address || ':7' AS connect, printf('%.2f', seq / 100.0) AS price, 'Free' AS free, seq % 3 AS counted,
-               0 AS kind, CAST(round_even((seq % 7) / 8.0::DOUBLE * 100, 0) AS BIGINT) AS percent FROM hb""",
+               0 AS kind, CAST(round_even((seq % 7) / 8.0::DOUBLE * 100, 0) AS BIGINT) AS percent,
+               CASE WHEN seq % 260 < 256 THEN
+                 seq % 260 IN (10, 127, 239) OR (seq % 260 = 100 AND 64 + seq % 70 <= 127) OR (seq % 260 = 198 AND 64 + seq % 70 BETWEEN 18 AND 19)
+                 OR (seq % 260 = 172 AND 64 + seq % 70 BETWEEN 16 AND 31) OR (seq % 260 IN (169, 192) AND 64 + seq % 70 IN (254, 168)) END AS non_public,
+               CASE WHEN seq % 90 >= 10 THEN seq % 90 BETWEEN 80 AND 89 ELSE false END AS non_public_6,
+               'h' || (user_id % 9) || '.example.com' AS host, {label(f'({NOW} - t)')} AS age, t, to_base64(encode(id)) AS coded,
+               strlen(id) + 28 AS sealed_bytes, id AS inner_field, true AS fits FROM hb""",
     "seal_content": f"""{WITH_STORE}
         SELECT content_url, payload AS opened, strlen(payload) + 28 AS sealed_bytes FROM contents""",
     "q_server_list": f"""{WITH_RSRV}
@@ -530,7 +542,7 @@ ORACLE: dict[str, str] = {
                  AS type,
                strlen(payload) + 28 AS sealed_bytes
         FROM (SELECT DISTINCT email, instance_id FROM cust WHERE instance_id IS NOT NULL)
-        JOIN entitled USING (email) JOIN contents USING (content_url)""",
+        JOIN entitled USING (email) JOIN contents USING (content_url) WHERE payload IS NOT NULL""",
     "q_plan_counts": f"""{WITH_COUNTS},
         tallies AS (SELECT plan_id, count(*) FILTER (WHERE outcome = 'applied') AS applied,
                            count(*) FILTER (WHERE outcome = 'acknowledged') AS acknowledged,

@@ -31,23 +31,20 @@ def history(
 ) -> DataFrame:
     """Plotted samples of the history page beside its zoom points and current values.
 
-    Nothing is written on the way. The page values come from the plotted samples and the number of kept ones,
-    as one row that every sample reads.
+    Nothing is written on the way, and retained samples are not made: the slice counts its indexes in them. The
+    zoom points follow from the number of retained samples alone.
     """
-    kept = timeseries.retain_last_n(samples, keep)
-    sliced = timeseries.slice_stride(kept, start, points)
-    zoom = timeseries.zoom_points(kept, start, points).agg(F.struct(F.first("next_zoom_point").alias("next"), F.first("previous_zoom_point").alias("previous")).alias("v")).scalar()
-    names = [f"{metric}_count" for metric in timeseries.HISTORY_METRICS]
-    latest = timeseries.last_value(sliced).select(F.struct(*names).alias("v")).scalar()
+    sliced = timeseries.beside_last_values(timeseries.slice_stride(samples, start, points, keep=keep))
+    total = timeseries.kept_length(samples, keep)
     return timeseries.history_series(sliced, now).select(
         "metric",
         "idx",
         F.unix_seconds("time").alias("t"),
         "value",
         "label",
-        zoom["next"].alias("next_zoom_point"),
-        zoom["previous"].alias("previous_zoom_point"),
-        *[latest[name].alias(name) for name in names],
+        timeseries.next_zoom(total, start).alias("next_zoom_point"),
+        timeseries.previous_zoom(total, start).alias("previous_zoom_point"),
+        *[f"{metric}_count" for metric in timeseries.HISTORY_METRICS],
     )
 
 

@@ -5,7 +5,7 @@ Timestamps are shown as epoch seconds and arrays as text, so that results compar
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
@@ -336,6 +336,12 @@ def exists_by_key(spark, folder):
     return found.select("o_orderkey", "id", "found")
 
 
+@query
+def registry_as_of(spark, folder):
+    asked = b.timed_requests(spark, folder)
+    return registry.registry_as_of(asked, b.heartbeats(spark, folder), expiry=b.STATS_EXPIRY, sweep=b.STATS_SWEEP)
+
+
 @query
 def not_found_by_key(spark, folder):
     return registry.not_found_by_key(b.instance_requests(spark, folder), _registry(spark, folder))
@@ -412,30 +418,28 @@ def game_summary(spark, folder):
     return nested.game_summary(nested.flatten_nested(_registry(spark, folder), parents=("seq",)))
 
 
-def _in_order(rows: DataFrame) -> DataFrame:
-    """Sorted rows with ``follows``, the id of the row before within the game, as they come out of the sort."""
-    placed = rows.withColumn("_place", F.monotonically_increasing_id())
-    before = Window.partitionBy("game").orderBy("_place")
-    return placed.withColumn("follows", F.lag("id").over(before))
-
-
 @query
 def group_servers(spark, folder):
     grouped = nested.group_servers(_servers(spark, folder))
     return grouped.select("game", "instance_seq", F.col("pos").cast("bigint").alias("pos"), "id")
 
 
+def _placed_servers(spark, folder) -> DataFrame:
+    servers = nested.flatten_nested(b.heartbeats(spark, folder).withColumnRenamed("seq", "instance_seq"))
+    return servers.withColumn("place", nested.server_place(F.col("instance_seq"), F.col("pos")))
+
+
 @query
 def sort_by_game(spark, folder):
-    servers = nested.flatten_nested(b.heartbeats(spark, folder).withColumnRenamed("seq", "instance_seq"))
-    return _in_order(nested.sort_by_game(servers)).select("game", "instance_seq", "id", "follows")
+    servers = nested.row_before(_placed_servers(spark, folder))
+    return nested.sort_by_game(servers).select("game", "instance_seq", "id", "follows")
 
 
 @query
 def sort_by_players(spark, folder):
-    servers = nested.flatten_nested(b.heartbeats(spark, folder).withColumnRenamed("seq", "instance_seq"))
+    servers = nested.row_before(_placed_servers(spark, folder), falling="clientnum")
     clients = F.col("clientnum").cast("bigint").alias("clientnum")
-    return _in_order(nested.sort_by_players(servers)).select("game", "instance_seq", clients, "id", "follows")
+    return nested.sort_by_players(servers).select("game", "instance_seq", clients, "id", "follows")
 
 
 @query
@@ -454,10 +458,7 @@ def upsert_latest(spark, folder):
 
 @query
 def expire_stale(spark, folder):
-    latest = registry.upsert_latest(b.heartbeats(spark, folder)).withColumn(
-        "last_heartbeat", F.unix_seconds("received_at")
-    )
-    alive = registry.expire_stale(latest, b.NOW, expiry=b.CENSUS_EXPIRY, sweep=0)
+    alive = registry.live_rows(b.heartbeats(spark, folder), b.NOW, expiry=b.CENSUS_EXPIRY, sweep=0)
     return alive.select("id", "last_heartbeat", "seq")
 
 
@@ -492,14 +493,9 @@ def retain_last_n(spark, folder):
     return kept.select("metric", _seconds("time"), "count")
 
 
-def _gappy(spark, folder) -> DataFrame:
-    hour = F.hour("time")
-    return _history(spark, folder).filter(~hour.isin(3, 4, 5))
-
-
 @query
 def fill_gaps(spark, folder):
-    filled = timeseries.fill_gaps(_gappy(spark, folder), b.CENSUS_TICK)
+    filled = timeseries.fill_gaps(b.activity(spark, folder), b.ACTIVITY_STEP)
     return filled.select("metric", _seconds("time"), "count")
 
 
@@ -697,7 +693,13 @@ def register_sql_functions(spark, folder):
                   py_strip_color_codes(concat('^', seq, id, '^:')) AS plain, py_occupancy_label(CAST(seq % 9 AS INT), 9) AS occupancy,
                   py_connect_string(ip_address, 7) AS connect, py_cents_to_text(seq) AS price, py_price_label('0.00', id) AS free,
                   py_count_or_zero(nullif(seq % 3, 0)) AS counted, py_content_type(concat(id, '.DLL')) AS kind,
-                  py_percent_half_even(seq % 7, 8) AS percent
+                  py_percent_half_even(seq % 7, 8) AS percent,
+                  py_is_non_public(concat_ws('.', seq % 260, 64 + seq % 70, seq % 256, 9)) AS non_public,
+                  py_is_non_public(concat('fe', seq % 90, '::', seq % 10)) AS non_public_6, py_url_parts(webfront_url).host AS host,
+                  py_time_ago(py_epoch_truncate(received_at), 1706659200L) AS age, py_epoch_truncate(received_at) AS t,
+                  py_base64_encode(encode(id, 'UTF-8')) AS coded,
+                  length(py_seal_content(encode(id, 'UTF-8'), unhex(sha2(id, 256)))) AS sealed_bytes,
+                  py_json_nested_field(concat('{"a":{"b":"', id, '"}}'), '$.a.b') AS inner_field, py_array_length_check(size(servers)) AS fits
            FROM py_heartbeats"""
     )
 

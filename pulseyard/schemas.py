@@ -59,5 +59,3 @@ ERROR_TYPE = "array<struct<path:string,message:string>>"
 
 HISTORY_SCHEMA = "metric string, time timestamp, count bigint"
 HISTORY_METRICS = ("client", "instance", "server")
-
-SUBSCRIPTION_EVENT_SCHEMA = "event_type string, content struct<subscription:struct<plan_id:string>>"

@@ -28,11 +28,13 @@ def build_session(app_name: str = "pulseyard", master: str | None = None, **conf
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where the key is unset, as in tests, a folder below the warehouse takes its place: the warehouse
-    is shared by the driver and all executors on every master, a temporary folder is not.
+    Where the key is unset, as in tests on a local master, a folder below the warehouse takes its place. On a
+    cluster the warehouse may be a local path of each machine, so there the key must be set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_cut"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)

@@ -73,3 +73,57 @@ def test_shared_folder_comes_from_the_session(spark):
 def test_registry_without_position_reads_no_past(spark, name):
     plan = initial_plan(queries()[name](spark, SMALL))
     assert plan.count("events.parquet") == 1 and "_cell" not in plan
+
+
+@pytest.mark.parametrize("name", ["upsert_latest", "token_registry", "expire_stale"])
+def test_newest_rows_by_hash(spark, name):
+    plan = initial_plan(queries()[name](spark, SMALL))
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_newest_rows_read_narrow_columns_first(spark, tmp_path):
+    from pulseyard.operators import registry
+
+    path = str(tmp_path / "beats")
+    b.heartbeats(spark, SMALL).write.parquet(path)
+    plan = initial_plan(registry.upsert_latest(spark.read.parquet(path)).select("id", "version"))
+    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
+    assert "id:string,received_at:timestamp,seq:bigint" in schemas
+    assert all("servers" not in s and "uptime" not in s for s in schemas)
+
+
+def test_age_bound_reaches_the_scan(spark):
+    plan = initial_plan(queries()["expire_stale"](spark, SMALL))
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(ts", plan)
+
+
+def test_census_shuffle_does_not_grow_with_the_expiry(spark):
+    from pulseyard.operators import timeseries
+
+    beats = b.heartbeats(spark, SMALL)
+    # One instance each, so that nothing replaces a heartbeat and it lives for the whole expiry.
+    beats = beats.withColumn("id", beats.seq.cast("string")).cache()
+    moved = []
+    for expiry in (7_200, 720_000):
+        spark.sparkContext.setJobGroup(f"census {expiry}", "census")
+        df = timeseries.census_at_ticks(beats, tick=60, expiry=expiry, sweep=0)
+        df.write.format("noop").mode("overwrite").save()
+        tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
+        stages = {s for j in tracker.getJobIdsForGroup(f"census {expiry}") for s in tracker.getJobInfo(j).stageIds}
+        moved.append(sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert moved[1] <= 1.5 * moved[0]
+
+
+def test_history_is_put_in_order_by_cell(spark):
+    """No window over runs takes a whole series or a day of it, and the page writes nothing on the way."""
+    for name in ("retain_last_n", "slice_stride", "q_history"):
+        plan = initial_plan(queries()[name](spark, SMALL))
+        assert re.search(r"windowspecdefinition\(metric#\d+, cell#\d+L?, t#\d+L? ASC", plan) or "cell" in plan
+        assert "Scan ExistingRDD" not in plan
+
+
+@pytest.mark.parametrize("name", ["sort_by_game", "sort_by_players"])
+def test_no_window_holds_a_game(spark, name):
+    plan = initial_plan(queries()[name](spark, SMALL))
+    assert re.search(r"windowspecdefinition\(game#\d+, (?:clientnum#\d+L?, )?_part", plan)

@@ -111,3 +111,43 @@ def test_flatten_keeps_parents_and_order(spark):
     assert nested.fleet_totals(instances).first().asDict() == {"clients": 11, "instances": 3, "servers": 3}
     empty = nested.fleet_totals(instances.filter("false")).first().asDict()
     assert empty == {"clients": 0, "instances": 0, "servers": 0}
+
+
+def test_newest_rows_with_nulls_repeats_and_large_numbers(spark):
+    rows = [
+        ("a", 5, 2**62, "old"), ("a", 5, 2**62 + 1, "new"), ("b", 7, -5, "b1"), ("b", 7, None, "b2"), ("c", None, 1, "only"),
+        (None, 3, 1, "n1"), (None, 4, 0, "n2"), ("d", -9, 3, "d1"), ("d", -8, -(2**63), "d2"), ("e", 1, 1, "same"), ("e", 1, 1, "same"),
+    ]
+    beats = frame(spark, rows)
+    got = registry.upsert_latest(beats).collect()
+    assert {r.id: r.payload for r in got} == {"a": "new", "b": "b1", "c": "only", None: "n2", "d": "d2", "e": "same"}
+    assert len(got) == 6
+    assert sorted(map(str, got)) == sorted(map(str, registry.latest_by_aggregate(beats).collect()))
+    assert registry.upsert_latest(beats.filter("false")).collect() == []
+
+
+def test_lookups_at_their_own_time(spark):
+    """Each request sees the registry as it was at its second."""
+    rows = make_beats(12, rows=150, span=3000)
+    rng = random.Random(4)
+    asked = [(i, rng.choice(["hot", "i0", "i1", "i2", "i3", "nobody", None]), rng.randrange(3500)) for i in range(120)] + [(900, "hot", None)]
+    requests = spark.createDataFrame(asked, "n int, id string, at bigint")
+    for expiry, sweep in ((60, 300), (20, 0)):
+        got = {r.n: (r.found, r.last_heartbeat, r.heartbeat_seq) for r in registry.registry_as_of(requests, frame(spark, rows), expiry=expiry, sweep=sweep).collect()}
+        for n, key, at in asked:
+            held = None if at is None else simulate([r for r in rows if r[1] <= at], at, expiry, sweep).get(key)
+            assert got[n] == ((True, held[1], held[2]) if held else (False, None, None)), (n, key, at)
+
+
+def test_row_before_over_cells(spark, monkeypatch):
+    monkeypatch.setattr(nested, "PLACES_PER_CELL", 7)
+    rng = random.Random(6)
+    rows = [(i, "g" if rng.random() < 0.7 else None, rng.randrange(3), i * 3) for i in range(200)]
+    servers = spark.createDataFrame(rows, "id int, game string, clientnum int, place long")
+    for falling in (None, "clientnum"):
+        got = {r.id: r.follows for r in nested.row_before(servers, falling=falling).collect()}
+        order = sorted(rows, key=lambda r: (-(r[2] if falling else 0), r[3]))
+        last, wanted = {}, {}
+        for i, game, _, _ in order:
+            wanted[i], last[game] = last.get(game), i
+        assert got == wanted
