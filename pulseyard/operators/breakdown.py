@@ -122,11 +122,53 @@ def stats_all(instances: DataFrame, limit: int = TOP) -> DataFrame:
     breakdowns, and everything is grouped in one shuffle. ``count`` is text because the uptime
     breakdown shows a duration.
     """
-    groups = (
-        _facts(instances)
-        .groupBy("dim", "key", "kind")
-        .agg(F.count(F.lit(1)).alias("rows"), F.sum("amount").alias("amount"), F.min("seq").alias("first"))
+    return stats_of_groups(stats_groups(instances), limit)
+
+
+def stats_groups(instances: DataFrame) -> DataFrame:
+    """(dim, key, kind, rows, amount, first) of every group that the breakdowns count."""
+    return _facts(instances).groupBy("dim", "key", "kind").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("amount").alias("amount"), F.min("seq").alias("first")
+    )
+
+
+def changed_groups(groups: DataFrame, left: DataFrame, came: DataFrame, current: DataFrame) -> DataFrame:
+    """``groups`` after some instances ``left`` and others ``came``; a changed instance does both.
+
+    Counts and sums take the changes with a sign. The first place of a group is the least of the old one and those
+    that came; a group whose first member left looks it up among the ``current`` instances, and only such a group.
+    Groups without members drop out.
+    """
+    keys = ["dim", "key", "kind"]
+    signed = _facts(left).withColumn("sign", F.lit(-1)).unionByName(_facts(came).withColumn("sign", F.lit(1)))
+    changes = signed.groupBy(*keys).agg(
+        F.sum("sign").alias("d_rows"),
+        F.sum(F.col("sign") * F.col("amount")).alias("d_amount"),
+        F.min(F.when(F.col("sign") > 0, F.col("seq"))).alias("first_in"),
+        F.min(F.when(F.col("sign") < 0, F.col("seq"))).alias("first_out"),
+    )
+    # Changes and states of a group meet in one aggregate; a join would need two sides without nulls.
+    states = groups.select(*keys, "rows", "amount", "first")
+    both = states.unionByName(changes, allowMissingColumns=True).groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in ("rows", "amount", "d_rows", "d_amount")], *[F.min(c).alias(c) for c in ("first", "first_in", "first_out")]
     )
+    zero = F.lit(0).cast("bigint")
+    merged = both.withColumns(
+        {
+            "rows": F.coalesce("rows", zero) + F.coalesce("d_rows", zero),
+            "amount": F.when(F.col("amount").isNotNull() | F.col("d_amount").isNotNull(), F.coalesce("amount", zero) + F.coalesce("d_amount", zero)),
+            "lost": F.coalesce(F.col("first_out") <= F.col("first"), F.lit(False)),
+        }
+    ).filter("rows > 0")
+    kept = merged.filter("not lost").withColumn("first", F.least("first", "first_in")).select(*keys, "rows", "amount", "first")
+    lost = merged.filter("lost").select(*[F.col(c).alias(f"l_{c}") for c in (*keys, "rows", "amount")])
+    same = [F.col(c).eqNullSafe(F.col(f"l_{c}")) for c in keys]
+    found = _facts(current).join(lost, same).groupBy(*keys).agg(F.max("l_rows").alias("rows"), F.max("l_amount").alias("amount"), F.min("seq").alias("first"))
+    return kept.unionByName(found)
+
+
+def stats_of_groups(groups: DataFrame, limit: int = TOP) -> DataFrame:
+    """The eight breakdowns of counted groups; see ``stats_all``."""
     # One row per dimension, which is a fixed list, so this side is safe to broadcast.
     seen = F.col("first").isNotNull()
     totals = groups.groupBy("dim").agg(

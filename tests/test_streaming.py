@@ -163,15 +163,15 @@ def test_stored_registry_equals_batch(spark, tmp_path):
     some = [r.id for r in wanted][:2]
     asked = table.stored_instances(spark, path, 3, schema, [*some, "nobody"], now, buckets=8)
     assert sorted(r.id for r in asked.collect()) == sorted(some)
-    # A batch with one heartbeat rewrites one bucket.
+    # A batch with one heartbeat rewrites one bucket, as long as no removal is due.
     one = spark.createDataFrame([("hot", 999_999, "late")], "id string, seq bigint, payload string")
-    one = one.select("id", F.lit(0).cast("bigint").alias("x"), "seq", "payload").drop("x").withColumn("received_at", F.timestamp_seconds(F.lit(3010)))
+    one = one.select("id", F.lit(0).cast("bigint").alias("x"), "seq", "payload").drop("x").withColumn("received_at", F.timestamp_seconds(F.lit(2999)))
     one = one.withColumn("servers", F.array().cast(schema["servers"].dataType)).select(*beats.columns)
     table.apply_batch(one, 4, path, buckets=8)
     import os
 
     assert len([d for d in os.listdir(f"{path}/rows/batch=4") if d.startswith("bucket=")]) == 1
-    assert {r.payload for r in table.stored_registry(spark, path, 4, schema, 3010).filter("id = 'hot'").collect()} == {"late"}
+    assert {r.payload for r in table.stored_registry(spark, path, 4, schema, 2999).filter("id = 'hot'").collect()} == {"late"}
 
 
 def test_registry_table_stream(spark, tmp_path):
@@ -220,3 +220,27 @@ def test_late_events_fold_right(spark, tmp_path):
     expected, _, _ = fold(rows, start)
     meta = spark.createDataFrame(list(start.items()), "plan_id string, subscription_count bigint")
     assert {r.plan_id: r.subscription_count for r in counters.stored_counts(spark, str(tmp_path / "pairs"), meta).collect()} == expected
+
+
+def test_statistics_kept_up_equal_recompute(spark, tmp_path):
+    """After every batch, with removals and a replay, the stored statistics equal those of the whole history."""
+    from pulseyard.plans import bindings as b
+    from pulseyard.plans import pages
+    from pulseyard.streaming import registry_table as table
+
+    beats = b.heartbeats(spark, "/root/testdata/sf0.001").cache()
+    seconds, schema, path = F.unix_seconds("received_at"), beats.schema, str(tmp_path / "table")
+    low, high = beats.agg(F.min(seconds), F.max(seconds)).first()
+    settings = {"buckets": 4, "expiry": 86_400, "sweep": 7_200}
+    sizes = []
+    for k in range(4):
+        batch = beats.filter((seconds >= low + (high - low) * k / 8) & (seconds < low + (high - low) * (k + 1) / 8))
+        for _ in range(2 if k == 1 else 1):
+            changed = table.apply_batch(batch, k, path, **settings)
+            current = table._read_buckets(spark, path, table._places(spark, path, k), table._full(spark, schema))
+            table.apply_statistics(changed, current, k, path)
+        now = batch.agg(F.max(seconds)).first()[0]
+        wanted = pages.stats(beats.filter(seconds <= now), now, 86_400, 7_200)
+        assert sorted(map(str, table.stored_statistics(spark, path, k).collect())) == sorted(map(str, wanted.collect()))
+        sizes.append(current.count())
+    assert 0 < min(sizes) < beats.select("id").distinct().count()  # some were removed
