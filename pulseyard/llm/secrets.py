@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from pulseyard.session import stored
 
-from .shared import may_contain, membership_bits, spare_names, text_or_empty, without
+from .shared import bit_words, may_contain, membership_bits, spare_names, text_or_empty, without
 
 LEDGER_SCHEMA = "blob binary, rules array<string>, findings array<struct<start:int,rank:int,kind:string,end:int>>"
 
@@ -74,45 +74,59 @@ def rule_spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(present, found).otherwise(none)
 
 
-def _scan(text: Column, rules: Sequence[Rule], wanted: Column | None = None) -> Column:
-    parts = []
-    for rank, rule in enumerate(rules):
-        spans = rule_spans(text, rule, rank)
-        if wanted is not None:
-            spans = F.when(F.array_contains(wanted, rule.key), spans).otherwise(F.slice(spans, 1, 0))
-        parts.append(spans)
+def _scan(text: Column, rules: Sequence[Rule], wanted: Column) -> Column:
+    """Matches of those rules whose keys are in ``wanted``."""
+    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
+    parts = [F.when(F.array_contains(wanted, r.key), rule_spans(text, r, rank)).otherwise(none) for rank, r in enumerate(rules)]
     return F.array_sort(F.concat(*parts))
 
 
+def _unseen_rules(counted: DataFrame, ledger: DataFrame | None, keys: list[str]) -> DataFrame:
+    """``counted`` with ``missing``, the rules by which the ledger has not scanned the blob, in their order."""
+    every = F.array(*map(F.lit, keys)).cast("array<string>")
+    if ledger is None:
+        return counted.withColumn("missing", every)
+    seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
+    left = F.coalesce(F.array_except(every, F.col("seen")), every)
+    return counted.join(seen, "blob", "left").select(*counted.columns, left.alias("missing"))
+
+
 def scan_unseen(docs: DataFrame, ledger: DataFrame | None = None, rules: Sequence[Rule] = ALL_RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """New ledger rows: one per blob (SHA-256 of a text) with the rules it had not been scanned by.
+    """New ledger rows: one per blob (SHA-256 of a text) that was not scanned by all ``rules``, with those it lacked.
 
-    A blob that can be neither repeated nor known, by a Bloom filter of fixed size over the repeated and
-    the known blobs, is scanned where it is read. For the others, exact joins on narrow rows name one
-    carrier per blob and its missing rules, and only the carriers' texts are moved and scanned. Joining on
-    (blob, id) spreads nothing hot: a carrier is one row however many copies the blob has.
+    A narrow join of blobs and ledger says what each blob lacks, and most blobs lack the same: everything in
+    a first scan, the new rules after a change of rules, nothing on a later day. What most lack is scanned
+    where texts are read, or nowhere if it is nothing. The exceptions (blobs that lack something else, and
+    repeated ones) pass a Bloom filter and a join on (blob, id) of one carrier per blob, so only the carriers'
+    texts move; a carrier is one row however many copies the blob has.
+
+    A null text counts as empty, and null ids carry as well as others; of rows that repeat an id and its text
+    one is scanned. Texts are read whole. An empty table, or one that is known, gives no rows.
     """
     docs = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     docs = docs.withColumn("blob", F.unhex(F.sha2("text", 256)))
-    keys = F.array(*[F.lit(r.key) for r in rules])
+    keys = [rule.key for rule in rules]
     counted = docs.groupBy("blob").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("id"))
-    doubtful = counted.filter("rows > 1").select("blob")
-    if ledger is not None:
-        doubtful = doubtful.unionByName(ledger.select("blob"))
-    known = may_contain(membership_bits(doubtful), F.col("blob"))
-    fresh = docs.filter(~known).select("blob", keys.alias("rules"), _scan(F.col("text"), rules).alias("findings"))
-
-    todo = counted.filter(known).select("blob", "id", keys.alias("missing"))
-    if ledger is not None:
-        seen = ledger.select("blob", F.explode("rules").alias("rule")).distinct()
-        pairs = todo.select("blob", "id", F.explode("missing").alias("rule")).join(seen, ["blob", "rule"], "left_anti")
-        todo = pairs.groupBy("blob", "id").agg(F.array_sort(F.collect_list("rule")).alias("missing"))
+    blobs = stored(_unseen_rules(counted, ledger, keys))
+    # One row for each set of missing rules, of which the first alone comes here.
+    usual = blobs.groupBy("missing").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "missing").first()
+    usual = list(usual["missing"]) if usual else []
+
+    other = F.col("missing") != F.array(*map(F.lit, usual)).cast("array<string>")
+    exceptions = blobs.filter(other | (F.col("rows") > 1) if usual else other).select("blob")
+    exceptional = may_contain(membership_bits(exceptions, bit_words(exceptions.count())), F.col("blob"))
+
+    todo = blobs.filter(exceptional & (F.size("missing") > 0)).select("blob", "id", "missing")
     same = F.col("d.blob").eqNullSafe(F.col("t.blob")) & F.col("d.id").eqNullSafe(F.col("t.id"))
-    carriers = docs.filter(known).alias("d").join(todo.alias("t"), same).select("d.blob", "d.text", "t.missing")
+    carriers = docs.filter(exceptional).alias("d").join(todo.alias("t"), same).select("d.blob", "d.text", "t.missing")
     scanned = carriers.select("blob", F.col("missing").alias("rules"), _scan(F.col("text"), rules, F.col("missing")).alias("findings"))
     # One id may stand in several rows with the same text; their findings are the same.
     scanned = scanned.dropDuplicates(["blob"])
-    return fresh.unionByName(scanned)
+    if not usual:
+        return scanned
+    wanted = F.array(*map(F.lit, usual))
+    here = [rule_spans(F.col("text"), rule, rank) for rank, rule in enumerate(rules) if rule.key in usual]
+    return docs.filter(~exceptional).select("blob", wanted.alias("rules"), F.array_sort(F.concat(*here)).alias("findings")).unionByName(scanned)
 
 
 def findings_by_path(docs: DataFrame, ledger: DataFrame, text_col: str = "text", rules: Sequence[Rule] = ALL_RULES) -> DataFrame:

@@ -56,6 +56,28 @@ def test_a_new_rule_version_is_scanned_alone(spark):
     assert sum(f["kind"] == "hex" for f in found) == 2
 
 
+def test_blobs_that_lack_different_rules(spark):
+    texts = [*TEXTS, *(f"{t} more {i}" for i, t in enumerate(TEXTS * 3))]
+    rows = [(i if i % 4 else None, t) for i, t in enumerate([*texts, *texts[:5], *texts[:2]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    base = secrets.scan_unseen(docs.limit(7), rules=secrets.BASE_RULES)
+    whole = base.unionByName(secrets.scan_unseen(docs.filter("doc_id < 4"), base))
+    seen = {}
+    for r in whole.collect():
+        seen.setdefault(bytes(r["blob"]), set()).update(r["rules"])
+    new = secrets.scan_unseen(docs, whole)
+    got = {bytes(r["blob"]): r["rules"] for r in new.collect()}
+    keys = [rule.key for rule in secrets.ALL_RULES]
+    lacks = {hashlib.sha256(t.encode()).digest(): None for t in texts}
+    lacks = {blob: [k for k in keys if k not in seen.get(blob, ())] for blob in lacks}
+    assert new.count() == len(got) and got == {blob: missing for blob, missing in lacks.items() if missing}
+    assert len({tuple(missing) for missing in lacks.values()}) == 3
+    whole = whole.unionByName(new)
+    assert secrets.scan_unseen(docs, whole).count() == 0
+    for r in secrets.findings_by_path(docs, whole).collect():
+        assert [tuple(f) for f in r["findings"]] == brute(r["text"])
+
+
 def test_secrets_awkward_rows(spark):
     docs = awkward(spark)
     got = secrets.findings_by_path(docs, secrets.scan_unseen(docs)).collect()
