@@ -1,7 +1,6 @@
 """Byte-level BPE: texts to token ids and back, in padded numpy matrices bucketed by length."""
 
 import base64
-import heapq
 from collections.abc import Callable, Iterator, Sequence
 from functools import cached_property, lru_cache
 
@@ -22,8 +21,9 @@ COARSE = f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 #: Cells of one matrix, so that memory does not depend on the number or length of pieces.
 MATRIX_CELLS = 1 << 18
 
-#: Pieces of more bytes are merged one by one with a heap, which costs n log n instead of n * n.
-LONGEST_ROW = 1024
+#: Longer pieces are cut where no merge can reach across. A part that is still wider is a matrix of one
+#: row, whose rounds take along the merges that would follow one by one.
+SHARED_WIDTH = 1024
 
 #: Encoded pieces that a task remembers; when full it starts afresh, which changes no result.
 CACHED_PIECES = 100_000
@@ -110,27 +110,50 @@ class Vocabulary:
         return PairTable(found[:, 0], found[:, 1], found[:, 2].astype(np.int32))
 
     @cached_property
-    def pair_ranks(self) -> dict[tuple[int, int], int]:
-        return {(a, b): rank for a, b, rank in self._merges()}
+    def joins(self) -> np.ndarray:
+        """Whether any token holds these two bytes next to each other, at 256 * first + second."""
+        inside = np.ones(len(self.flat), dtype=bool)
+        inside[self.starts[self.lengths > 0]] = False
+        second = np.flatnonzero(inside)
+        out = np.zeros(1 << 16, dtype=bool)
+        out[self.flat[second - 1].astype(np.int64) * 256 + self.flat[second]] = True
+        return out
+
+    def _parts(self, piece: bytes) -> list[bytes]:
+        """The piece, cut between bytes that no token holds together: no merge can reach across."""
+        data = np.frombuffer(piece, dtype=np.uint8)
+        cuts = np.flatnonzero(~self.joins[data[:-1].astype(np.int64) * 256 + data[1:]]) + 1
+        ends = [0, *cuts.tolist(), len(piece)]
+        return [piece[a:b] for a, b in zip(ends, ends[1:])]
 
     def encode_pieces(self, pieces: Sequence[bytes]) -> list[bytes]:
         """Ids of each piece as little-endian 32-bit integers."""
         out: list[bytes] = [b""] * len(pieces)
-        by_width: dict[int, list[int]] = {}
+        rows: list[bytes] = []
+        rows_of: dict[int, range] = {}
         for i, piece in enumerate(pieces):
             known = self.ranks.get(piece)
             if known is not None:
                 out[i] = known.to_bytes(4, "little")
-            elif len(piece) > LONGEST_ROW:
-                out[i] = self._merge_long(piece)
             else:
-                by_width.setdefault(_width(len(piece)), []).append(i)
+                parts = self._parts(piece) if len(piece) > SHARED_WIDTH else [piece]
+                rows_of[i] = range(len(rows), len(rows) + len(parts))
+                rows += parts
+        merged: list[bytes] = [b""] * len(rows)
+        by_width: dict[int, list[int]] = {}
+        for k, row in enumerate(rows):
+            if len(row) > SHARED_WIDTH:
+                merged[k] = self._merge_row(row)
+            else:
+                by_width.setdefault(_width(len(row)), []).append(k)
         for width, members in by_width.items():
-            rows = max(1, MATRIX_CELLS // width)
-            for at in range(0, len(members), rows):
-                chunk = members[at : at + rows]
-                for i, ids in zip(chunk, self._merge_rows([pieces[i] for i in chunk], width), strict=True):
-                    out[i] = ids
+            height = max(1, MATRIX_CELLS // width)
+            for at in range(0, len(members), height):
+                chunk = members[at : at + height]
+                for k, ids in zip(chunk, self._merge_rows([rows[k] for k in chunk], width), strict=True):
+                    merged[k] = ids
+        for i, held in rows_of.items():
+            out[i] = b"".join([merged[k] for k in held])
         return out
 
     def _merge_rows(self, pieces: Sequence[bytes], width: int) -> list[bytes]:
@@ -170,27 +193,44 @@ class Vocabulary:
                 ranks[at[ok], first[ok]] = self.pairs.ranks(ids[at[ok], first[ok]], ids[at[ok], first[ok] + 1])
         return out
 
-    def _merge_long(self, piece: bytes) -> bytes:
-        """The same merges for one very long piece: a heap of (rank, place) over a linked list."""
-        ids = self.bytes_to_id[np.frombuffer(piece, dtype=np.uint8)].tolist()
-        n = len(ids)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        rank_of = self.pair_ranks.get
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank_of((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, left, right = heapq.heappop(heap)
-            j = after[i]
-            if not alive[i] or j >= n or ids[i] != left or ids[j] != right:
-                continue
-            ids[i], alive[j], after[i] = rank, False, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-                if (r := rank_of((rank, ids[after[i]]))) is not None:
-                    heapq.heappush(heap, (r, i, rank, ids[after[i]]))
-            if (h := before[i]) >= 0 and (r := rank_of((ids[h], rank))) is not None:
-                heapq.heappush(heap, (r, h, ids[h], rank))
-        return np.array([x for x, a in zip(ids, alive, strict=True) if a], dtype="<u4").tobytes()
+    def _merge_row(self, piece: bytes) -> bytes:
+        """One row alone. A round merges the leftmost pair of least rank and, with it, the further pairs of
+        that rank which single rounds would merge next: all up to the first whose merge makes a pair of
+        lower rank, inside each cluster of places.
+
+        Until pairs of higher rank have their turn, such a merge can only grow its own token, by at most the
+        longest token. So clusters, which lie two longest tokens apart, cannot meet, and the ids are
+        those of one merge a round."""
+        ids = self.bytes_to_id[np.frombuffer(piece, dtype=np.uint8)]
+        sizes = np.ones(len(ids), dtype=np.int64)
+        ranks = self.pairs.ranks(ids[:-1], ids[1:])
+        apart = 2 * int(self.lengths.max())
+        while len(ranks) and (best := ranks.min()) != _NEVER:
+            at = np.flatnonzero(ranks == best)
+            if len(at) > 1:
+                # Of pairs that overlap (a run of one id) the leftmost goes first, and every other one after it.
+                turn = np.arange(len(at))
+                run = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, turn, 0))
+                at = at[(turn - run) % 2 == 0]
+                begin = (np.cumsum(sizes) - sizes)[at]
+                after_merge = np.diff(at, prepend=-3) == 2
+                left = np.where(after_merge, best, np.where(at > 0, ids[at - 1], -1))
+                right = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], -1)
+                merged = np.full(len(at), best, dtype=np.int32)
+                lower = np.minimum(self.pairs.ranks(left, merged), self.pairs.ranks(merged, right)) < best
+                if lower.any():
+                    first = np.diff(begin, prepend=-apart) >= apart + self.lengths[best]
+                    first[0] = True
+                    earlier = np.cumsum(lower) - lower
+                    at = at[earlier == earlier[np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))]]
+            sizes[at] += sizes[at + 1]
+            ids[at] = best
+            ids, sizes, ranks = np.delete(ids, at + 1), np.delete(sizes, at + 1), np.delete(ranks, at)
+            place = at - np.arange(len(at))
+            for first in (place - 1, place):
+                first = first[(first >= 0) & (first < len(ranks))]
+                ranks[first] = self.pairs.ranks(ids[first], ids[first + 1])
+        return ids.astype("<u4").tobytes()
 
     def decode(self, packed: bytes) -> bytes:
         ids = np.frombuffer(packed, dtype="<u4").astype(np.int64)

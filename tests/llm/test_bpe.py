@@ -1,6 +1,8 @@
 import base64
 import hashlib
+import random
 import re
+import string
 
 import numpy as np
 import public_tokenizers
@@ -54,10 +56,41 @@ def _attach(reference, encode):
     test_any_text.vocab = bpe.vocabulary(bpe.read_file(PATH))
 
 
-def test_rows_and_heap_agree(encode):
+def wide_pieces():
+    draw = random.Random(5)
+    tokens = [t for t in bpe.vocabulary(bpe.read_file(PATH)).ranks if len(t) > 1]
+    letters = string.ascii_letters.encode()
+    yield from (b"internationalization", bytes(range(256)), b"=" * 77, b"a" * 5001, b"ab" * 3000, b"the" * 2000)
+    for size in (2, 3, 700, 4000):
+        yield bytes(draw.choices(letters, k=size))
+        yield bytes(draw.choices(b"abe", k=size))
+        yield bytes(draw.choices(range(256), k=size))
+        yield b"".join(draw.choices(tokens, k=size // 2))
+        yield "".join(chr(draw.randrange(0x4E00, 0x5200)) for _ in range(size)).encode()
+
+
+def test_wide_rows_equal_the_library(reference):
+    """A row alone, a row among others, and a piece cut into rows give the ids of the library."""
     vocab = bpe.vocabulary(bpe.read_file(PATH))
-    for piece in (b"internationalization", b"ab" * 300, bytes(range(256)), b"=" * 77):
-        assert vocab._merge_rows([piece], bpe._width(len(piece)))[0] == vocab._merge_long(piece)
+    for piece in wide_pieces():
+        wanted = np.array(reference._core_bpe.encode_single_piece(piece), "<u4").tobytes()
+        assert vocab.encode_pieces([piece]) == [wanted]
+        if piece not in vocab.ranks:
+            assert vocab._merge_row(piece) == vocab._merge_rows([piece], bpe._width(len(piece)))[0] == wanted
+            assert b"".join(vocab._merge_row(part) for part in vocab._parts(piece)) == wanted
+
+
+def test_runs_of_lower_rank():
+    """Tokens whose rank is below that of their halves, which single rounds meet in mid-run."""
+    ranks = {bytes([b]): b for b in range(256)}
+    ranks |= {b"aba": 256, b"bab": 257, b"ab": 258, b"ba": 259, b"abab": 260, b"aab": 261, b"aa": 262, b"abaab": 263}
+    vocab = bpe.Vocabulary(ranks)
+    core = tiktoken.Encoding("small", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe
+    draw = random.Random(6)
+    for trial in range(400):
+        piece = bytes(draw.choices(b"ab" if trial % 2 else b"aabc", k=draw.randrange(2, 90)))
+        if piece not in ranks:
+            assert vocab._merge_row(piece) == np.array(core.encode_single_piece(piece), "<u4").tobytes()
 
 
 def test_pair_table():
