@@ -153,23 +153,43 @@ FROM (SELECT m.*, array_to_string(list_filter([{fails}], lambda x: x IS NOT NULL
 ORACLE["op2_quality_rules"] = _quality_sql()
 
 ORACLE["op9_chat_format"] = """
-WITH m AS (
-  SELECT *, CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
-    CASE role WHEN 'user' THEN turn WHEN 'assistant' THEN turn - 1 END AS call_turn FROM conversations),
-c AS (SELECT DISTINCT conv_id, turn FROM m WHERE kind = 'call'),
-i AS (SELECT *, turn - 2 * row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM c),
-v AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn % 2, island ORDER BY turn) - 1 AS level FROM i),
-r AS (SELECT DISTINCT conv_id, call_turn FROM m WHERE kind = 'result')
-SELECT m.conv_id, m.turn, m.role, m.kind,
-  CASE WHEN m.kind = 'message' THEN 'plain' WHEN m.kind = 'result' THEN CASE WHEN v.turn IS NULL THEN 'orphan' ELSE 'linked' END
-    WHEN r.conv_id IS NULL THEN 'pending' ELSE 'answered' END AS status,
-  coalesce(v.turn, m.turn) AS at_turn, v.level, CASE WHEN m.kind = 'result' THEN 1 ELSE 0 END AS step,
-  CASE WHEN m.kind = 'call' THEN CASE WHEN m.text IS NULL THEN 'missing: text' ELSE '' END END AS errors,
-  CASE m.kind WHEN 'call' THEN to_json({arguments: {text: m.text, turn: m.turn}, call_id: 'c' || m.conv_id || '-' || m.turn, role: m.role, text: m.text, tool: 'answer'})
-    WHEN 'result' THEN to_json({call_id: 'c' || m.conv_id || '-' || (m.turn - 1), role: m.role, text: m.text})
-    ELSE to_json({role: m.role, text: m.text}) END::VARCHAR AS json
-FROM m LEFT JOIN v ON v.conv_id = m.conv_id AND v.turn = m.call_turn
-LEFT JOIN r ON r.conv_id = m.conv_id AND r.call_turn = m.turn AND m.kind = 'call'
+WITH RECURSIVE m AS (
+  SELECT *, length(text) % 16 AS fault,
+    CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
+    CASE role WHEN 'user' THEN CASE WHEN length(text) % 17 = 5 THEN turn - 2 ELSE turn END WHEN 'assistant' THEN turn - 1 END AS id,
+    CASE WHEN turn IN (4, 5) THEN [turn - 4] WHEN turn IN (6, 7) THEN [turn - 4, turn - 2] ELSE [turn - 2] END AS one,
+    CASE WHEN length(text) % 23 = 4 THEN [turn + 2] ELSE [] END AS more FROM conversations),
+c AS (SELECT conv_id, id, min(turn) AS turn, arg_min(list_concat(one, more), turn) AS after FROM m WHERE kind = 'call' GROUP BY conv_id, id),
+x AS (SELECT conv_id, id, unnest(after) AS a FROM c),
+e AS (SELECT DISTINCT x.conv_id, x.id, x.a FROM x JOIN c ON c.conv_id = x.conv_id AND c.id = x.a),
+z AS (SELECT conv_id, count(*) AS n FROM c GROUP BY conv_id),
+w(conv_id, id, at_id, steps) AS (
+  SELECT conv_id, id, id, 0 FROM c UNION
+  SELECT w.conv_id, w.id, e.a, w.steps + 1 FROM w JOIN e ON e.conv_id = w.conv_id AND e.id = w.at_id JOIN z ON z.conv_id = w.conv_id WHERE w.steps < z.n),
+g AS (
+  SELECT w.conv_id, w.id, max(steps) AS level, max(c.turn) AS reach, max(steps) >= max(z.n) AS cyclic
+  FROM w JOIN c ON c.conv_id = w.conv_id AND c.id = w.at_id JOIN z ON z.conv_id = w.conv_id GROUP BY w.conv_id, w.id),
+v AS (
+  SELECT c.conv_id, c.id, c.turn AS call_turn, CASE WHEN NOT cyclic THEN level END AS level, CASE WHEN NOT cyclic THEN reach END AS reach
+  FROM c JOIN g ON g.conv_id = c.conv_id AND g.id = c.id),
+r AS (SELECT DISTINCT conv_id, id FROM m WHERE kind = 'result'),
+j AS (
+  SELECT m.*, v.id IS NOT NULL AS called, r.id IS NOT NULL AS returned, v.level, v.reach, kind = 'call' AND m.turn <> call_turn AS later, 'c' || m.conv_id || '-' || m.id AS call_id,
+    CASE WHEN fault = 0 THEN 'lookup' ELSE 'answer' END AS tool
+  FROM m LEFT JOIN v ON v.conv_id = m.conv_id AND v.id = m.id LEFT JOIN r ON r.conv_id = m.conv_id AND r.id = m.id)
+SELECT conv_id, turn, role, kind,
+  CASE WHEN kind = 'message' THEN 'plain' WHEN kind = 'result' THEN CASE WHEN called THEN 'linked' ELSE 'orphan' END
+    WHEN later THEN 'duplicate' WHEN level IS NULL THEN 'cyclic' WHEN returned THEN 'answered' ELSE 'pending' END AS status,
+  CASE WHEN later AND reach < turn THEN turn ELSE coalesce(reach, turn) END AS at_turn, level::BIGINT AS level, CASE WHEN kind = 'result' THEN 1 ELSE 0 END AS step,
+  CASE WHEN kind = 'call' THEN CASE WHEN fault = 0 THEN 'unknown tool' WHEN fault = 1 THEN 'type: turn' WHEN fault = 3 THEN 'arguments are not an object'
+    WHEN fault = 4 THEN 'unknown: note' WHEN fault = 2 OR text IS NULL THEN 'missing: text' ELSE '' END END AS errors,
+  CASE WHEN kind = 'result' THEN to_json({call_id: call_id, role: role, text: text}) WHEN kind = 'message' THEN to_json({role: role, text: text})
+    WHEN fault = 1 THEN to_json({arguments: {text: text, turn: turn::VARCHAR}, call_id: call_id, role: role, text: text, tool: tool})
+    WHEN fault = 2 THEN to_json({arguments: {turn: turn}, call_id: call_id, role: role, text: text, tool: tool})
+    WHEN fault = 3 THEN to_json({arguments: 'turn ' || turn, call_id: call_id, role: role, text: text, tool: tool})
+    WHEN fault = 4 THEN to_json({arguments: {note: role, text: text, turn: turn}, call_id: call_id, role: role, text: text, tool: tool})
+    ELSE to_json({arguments: {text: text, turn: turn}, call_id: call_id, role: role, text: text, tool: tool}) END::VARCHAR AS json
+FROM j
 """
 
 

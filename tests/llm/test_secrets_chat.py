@@ -1,5 +1,6 @@
 import hashlib
 import json
+import random
 import re
 
 from helpers import awkward, empty
@@ -132,6 +133,59 @@ def test_long_chains(spark):
     assert got == {i: i for i in range(70)}
 
 
+def brute_levels(turns, edges):
+    """Longest paths by plain relaxation; calls that still grow after as many rounds as calls are behind a cycle."""
+    level, reach, size = dict.fromkeys(turns, 0), dict(turns), len(turns)
+    for _ in range(2 * size + 1):
+        for call, after in edges:
+            if call in turns and after in turns:
+                level[call] = max(level[call], level[after] + 1)
+                reach[call] = max(reach[call], reach[after])
+    return {c: (level[c], reach[c]) if level[c] < size else (None, None) for c in turns}
+
+
+def test_levels_of_graphs(spark):
+    """A diamond, a ladder of joints, a cycle through a joint, what waits for it, and drawn graphs."""
+    graphs = [
+        "b>a c>a d>b d>c e>d",
+        "b>a c>b c>a d>c d>b e>d e>c f>e g>f h>f h>g h>a",
+        "b>a c>b c>e d>c e>d f>e g>a g>f h>a",
+        "a>a b>a c>b c>gone d>c d>c",
+    ]
+    graphs = [[tuple(pair.split(">")) for pair in g.split()] for g in graphs]
+    draw = random.Random(3)
+    for density in (6, 9, 12, 15):
+        graphs += [[(draw.choice("abcdefgh"), draw.choice("abcdefgh")) for _ in range(density)] for _ in range(3)]
+        graphs += [[(a, b) for a, b in graphs[-1] if a > b]]
+    calls = [(i if i else None, call, (7 * k) % 8) for i in range(len(graphs)) for k, call in enumerate("abcdefgh")]
+    edges = [(i if i else None, a, b) for i, g in enumerate(graphs) for a, b in g]
+    got = chat.call_levels(spark.createDataFrame(calls, "conv_id long, call_id string, turn long"), spark.createDataFrame(edges, "conv_id long, call_id string, after string"))
+    got = {(r["conv_id"], r["call_id"]): (r["level"], r["reach"]) for r in got.collect()}
+    assert len(got) == len(calls)
+    for i, graph in enumerate(graphs):
+        turns = {call: (7 * k) % 8 for k, call in enumerate("abcdefgh")}
+        assert {c: got[i if i else None, c] for c in turns} == brute_levels(turns, graph), graph
+
+
+def test_call_with_several_needs(spark):
+    rows = [(1, i, "assistant", None, c, "add", '{"x":1,"y":2}', after) for i, (c, after) in enumerate({"d": ["b", "c"], "b": ["a"], "c": ["a", None], "a": None, "e": []}.items())]
+    schema = SCHEMA.replace("after string", "after array<string>")
+    got = {r["call_id"]: (r["level"], r["at_turn"]) for r in chat.format_chat(spark.createDataFrame(rows, schema), TOOLS).collect()}
+    assert got == {"a": (0, 3), "b": (1, 3), "c": (1, 3), "d": (2, 3), "e": (0, 4)}
+
+
+def test_chat_clashing_names(spark):
+    names = "calls results reach call_turn l_conv l_call s_tool s_parameters __args link _link tool_schema parsed_arguments level root next".split()
+    rows = [(1, 0, "u", "t", "a", "add", '{"x":1,"y":2}', None), (1, 1, "tool", "r", "a", None, None, None)]
+    plain = spark.createDataFrame(rows, SCHEMA)
+    odd = plain.select("*", *[F.lit(f"x{i}").alias(n) for i, n in enumerate(names)], F.create_map(F.lit("k"), F.lit(1)).alias("a.bag"))
+    got = chat.format_chat(odd, TOOLS)
+    kept = [n for n in names if n not in chat.OUTPUT]
+    assert got.select(*plain.columns, *chat.OUTPUT).collect() == chat.format_chat(plain, TOOLS).collect()
+    for r in got.collect():
+        assert [r[n] for n in kept] == [f"x{names.index(n)}" for n in kept] and r["a.bag"] == {"k": 1}
+
+
 def test_chat_awkward_rows(spark):
     rows = [(None, None, None, None, None, None, None, None), (None, 1, "tool", "", "a", None, None, None), (None, 0, "x", "é\"\n", "a", "add", "{}", None)] * 2
     clash = spark.createDataFrame(rows, SCHEMA).withColumn("kind", F.lit(1)).withColumn("json", F.lit(2))
