@@ -1,7 +1,5 @@
 """The registered queries as DuckDB SQL, where SQL can express them."""
 
-from .quality_rules import RATES
-
 ORACLE: dict[str, str] = {}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -110,23 +108,27 @@ ORACLE["op4_license_scan"] = _license_sql()
 def _quality_sql() -> str:
     gap = r"[\x20\x09-\x0D]+"
     bucket = "(({v}) >> greatest(len(bin({v})) - 6, 0)) << greatest(len(bin({v})) - 6, 0)"
+    asked = (("symbols", "n_symbols", "n_words", False), ("word_length", "word_chars", "n_words", True), ("dup_lines", "n_dup_lines", "n_lines", False))
     rates = " UNION ALL ".join(
         f"SELECT doc_id, lang, source, '{name}' AS rate, {bucket.format(v=f'1000 * {top} // {bottom}')} AS bucket FROM m WHERE NOT base_failed AND {bottom} > 0"
-        for name, top, bottom, _, _ in RATES
+        for name, top, bottom, _ in asked
     )
     quart = """
   SELECT {g}, rate, min(bucket) FILTER (4 * below >= total) AS q1, min(bucket) FILTER (4 * below >= 3 * total) AS q3, max(total) AS n FROM (
     SELECT *, sum(c) OVER (PARTITION BY {g}, rate ORDER BY bucket) AS below, sum(c) OVER (PARTITION BY {g}, rate) AS total FROM (
       SELECT {g}, rate, bucket, count(*) AS c FROM r GROUP BY ALL)) GROUP BY {g}, rate"""
+    over = "({s} * (1000 * {top} - {name}.{side} * {bottom}) - 3000)::DOUBLE"
+    far = f"({over} > 0 AND {over} * {over} > 9000.0::DOUBLE * greatest({{name}}.{{side}} * {{bottom}}, 0)::DOUBLE)"
     fails = ", ".join(
-        f"CASE WHEN {bottom} > 0 AND (1000 * {top} // {bottom} > {name}.q3 + 3 * greatest({name}.q3 - {name}.q1, {least})"
-        + (f" OR 1000 * {top} // {bottom} < {name}.q1 - 3 * greatest({name}.q3 - {name}.q1, {least})" if low else "")
+        f"CASE WHEN {bottom} > 0 AND ("
+        + far.format(s=1, side="high", name=name, top=top, bottom=bottom)
+        + (" OR " + far.format(s=-1, side="low", name=name, top=top, bottom=bottom) if low else "")
         + f") THEN '{name}' END"
-        for name, top, bottom, least, low in RATES
+        for name, top, bottom, low in asked
     )
     joins = " ".join(
         f"LEFT JOIN c AS {name} ON {name}.rate = '{name}' AND {name}.lang IS NOT DISTINCT FROM m.lang AND {name}.source IS NOT DISTINCT FROM m.source"
-        for name, *_ in RATES
+        for name, *_ in asked
     )
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '{gap}'), lambda w: w <> '') AS ws FROM documents),
@@ -142,9 +144,11 @@ m AS (
     n_words < 50 OR 100 * coalesce(n, 0) > 50 * n_words AS base_failed FROM e LEFT JOIN z USING (doc_id)),
 r AS ({rates}),
 f AS ({quart.format(g="lang, source")}), g AS ({quart.format(g="lang")}),
-c AS (
+h AS (
   SELECT f.lang, f.source, f.rate, CASE WHEN f.n >= 50 THEN f.q1 ELSE g.q1 END AS q1, CASE WHEN f.n >= 50 THEN f.q3 ELSE g.q3 END AS q3
-  FROM f JOIN g ON f.lang IS NOT DISTINCT FROM g.lang AND f.rate = g.rate)
+  FROM f JOIN g ON f.lang IS NOT DISTINCT FROM g.lang AND f.rate = g.rate),
+i AS (SELECT *, q3 + (1::BIGINT << greatest(len(bin(q3)) - 6, 0)) AS q3_end FROM h),
+c AS (SELECT lang, source, rate, q3_end + 3 * (q3_end - q1) AS high, q1 - 3 * (q3_end - q1) AS low FROM i)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules = '' AS kept, failed_rules
 FROM (SELECT m.*, array_to_string(list_filter([{fails}], lambda x: x IS NOT NULL), ',') AS failed_rules FROM m {joins})
 """

@@ -8,11 +8,11 @@ from .shared import SPACE_RUN, spare_names, text_or_empty, without
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 OUTPUT = (*BASE, "base_failed", "kept", "failed_rules")
 
-#: Rates in thousandths: name, numerator, denominator, smallest spread, whether low values fail too.
+#: Rates in thousandths: name, numerator, denominator, whether low values fail too.
 RATES = (
-    ("symbols", "n_symbols", "n_words", 100, False),
-    ("word_length", "word_chars", "n_words", 500, True),
-    ("dup_lines", "n_dup_lines", "n_lines", 100, False),
+    ("symbols", "n_symbols", "n_words", False),
+    ("word_length", "word_chars", "n_words", True),
+    ("dup_lines", "n_dup_lines", "n_lines", False),
 )
 
 
@@ -39,7 +39,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Every row with the base counts and ``n_lines`` (lines with a word). Null texts count nothing.
 
     All of it is a projection of the row's own text, so there is no shuffle. Windows of three words are
-    compared by 64-bit hashes within one text.
+    compared by 64-bit hashes within one text. Input columns named like a count are replaced.
     """
     docs = without(docs, (*BASE, "n_lines"))
     hashes, windows, ordered, twice, pairs = spare_names(docs, "word_hashes", "window_hashes", "sorted_hashes", "repeated_hashes", "hash_places")
@@ -72,7 +72,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     covered = F.when(F.col(twice).isNull(), F.lit(0).cast("long")).otherwise(_starts_covered(starts))
     counts = F.struct(*BASE[:-1], covered.alias("n_repeat_words"), "n_lines")
     # A filter on the counts must not copy their expressions below this step, and into each other's lambdas.
-    return counted.select(*docs.columns, F.inline(F.array(counts)))
+    return counted.select(*[f"`{c}`" for c in docs.columns], F.inline(F.array(counts)))
 
 
 def _rate(top: str, bottom: str) -> Column:
@@ -83,10 +83,18 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def _shift(value: Column) -> Column:
+    return F.greatest(F.length(F.bin(value)) - 6, F.lit(0)).cast("int")
+
+
 def sketch_bucket(value: Column) -> Column:
     """Lower bound of the log-linear bucket of a count: exact below 64, then 32 buckets per doubling."""
-    shift = F.greatest(F.length(F.bin(value)) - 6, F.lit(0)).cast("int")
-    return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
+    return F.call_function("shiftleft", F.call_function("shiftright", value, _shift(value)), _shift(value))
+
+
+def bucket_end(bucket: Column) -> Column:
+    """Where the next bucket starts."""
+    return bucket + F.call_function("shiftleft", F.lit(1).cast("long"), _shift(bucket))
 
 
 def sketches(measured: DataFrame, groups: tuple[str, ...]) -> DataFrame:
@@ -96,7 +104,7 @@ def sketches(measured: DataFrame, groups: tuple[str, ...]) -> DataFrame:
     A quantile read from one is off by one part in 32 at most. Rows that failed the base are not asked.
     """
     rates = F.explode(
-        F.array(*[F.struct(F.lit(name).alias("rate"), sketch_bucket(_rate(top, bottom)).alias("bucket")) for name, top, bottom, _, _ in RATES])
+        F.array(*[F.struct(F.lit(name).alias("rate"), sketch_bucket(_rate(top, bottom)).alias("bucket")) for name, top, bottom, _ in RATES])
     )
     rows = measured.filter(~base_failed()).select(*groups, rates.alias("r")).select(*groups, "r.*").filter("bucket is not null")
     return rows.groupBy(*groups, "rate", "bucket").agg(F.count(F.lit(1)).alias("n"))
@@ -116,11 +124,14 @@ def quartiles(sketch: DataFrame, groups: tuple[str, ...]) -> DataFrame:
 
 
 def thresholds(measured: DataFrame, reach: int = 3, least_rows: int = 50, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One row per language and source with ``<rate>_low`` and ``<rate>_high``.
-
-    A limit lies ``reach`` spreads beyond the quartile, a spread being the distance of the quartiles or
-    the rate's smallest spread. A source with fewer than ``least_rows`` rows in a language takes the
-    sketch of the language, merged from all its sources. Null language and null source are groups.
+    """One row per language and source with ``<rate>_low`` and ``<rate>_high``, in thousandths.
+
+    A limit lies ``reach`` spreads beyond the quartile, a spread being the distance of the quartiles as the
+    sketch knows them, from the start of one bucket to the end of the other. So every limit comes from the
+    rows of its own source, and quartiles stay what they are while less than a quarter of the rows is bad.
+    A source with fewer than ``least_rows`` rows in a language takes the sketch of the language, merged from
+    all its sources. Null language and null source are groups. Repeated rows count as often as they
+    stand; an empty table has no limits.
     """
     both = sketches(measured.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), *BASE, "n_lines"), ("lang", "source"))
     merged = both.groupBy("lang", "rate", "bucket").agg(F.sum("n").alias("n"))
@@ -136,28 +147,38 @@ def thresholds(measured: DataFrame, reach: int = 3, least_rows: int = 50, lang_c
         F.when(enough, F.col("f.q3")).otherwise(F.col("c.q3")).alias("q3"),
     )
     limits = []
-    for name, _, _, least, two_sided in RATES:
-        spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(least))
+    end = bucket_end(F.col("q3"))
+    spread = end - F.col("q1")
+    for name, _, _, two_sided in RATES:
         here = F.col("rate") == name
-        limits.append(F.max(F.when(here, F.col("q3") + reach * spread)).alias(f"{name}_high"))
+        limits.append(F.max(F.when(here, end + reach * spread)).alias(f"{name}_high"))
         limits.append(F.max(F.when(here, (F.col("q1") - reach * spread) if two_sided else F.lit(None))).cast("long").alias(f"{name}_low"))
     return chosen.groupBy("lang", "source").agg(*limits)
 
 
-def judge(measured: DataFrame, limits: DataFrame, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+def judge(measured: DataFrame, limits: DataFrame, noise: int = 3, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Every measured row with ``base_failed``, ``kept`` and the names of the rules it failed.
 
-    The limits have one row per language and source; a hot pair is split by adaptive execution.
+    A text is a small sample of its source, so it fails a limit only by more than ``noise`` standard
+    deviations of a count of the size that the limit allows it, and one count each: short texts have more room
+    than long ones. The limits have one row per language and source; a hot pair is split by adaptive execution.
+    Equal rows get equal verdicts, a row without limits fails by the base alone. Input columns named like an output are replaced.
     """
     measured = without(measured, OUTPUT[len(BASE) :])
-    limits = limits.select(*[F.col(c).alias(f"__limit_{c}") for c in limits.columns])
-    same = F.col(lang_col).eqNullSafe(F.col("__limit_lang")) & F.col(source_col).eqNullSafe(F.col("__limit_source"))
+    (limit,) = spare_names(measured, "limit")
+    limits = limits.select(F.struct(*limits.columns).alias(limit))
+    same = F.col(lang_col).eqNullSafe(F.col(f"{limit}.lang")) & F.col(source_col).eqNullSafe(F.col(f"{limit}.source"))
+
+    def beyond(top: Column, allowed: Column, sign: int) -> Column:
+        over = (sign * (1000 * top - allowed) - 1000 * noise).cast("double")
+        return F.coalesce((over > 0) & (over * over > F.lit(1000.0 * noise * noise) * F.greatest(allowed, F.lit(0)).cast("double")), F.lit(False))
+
     failures = []
-    for name, top, bottom, _, _ in RATES:
-        rate = _rate(top, bottom)
-        out = (rate > F.col(f"__limit_{name}_high")) | F.coalesce(rate < F.col(f"__limit_{name}_low"), F.lit(False))
-        failures.append(F.when(out, F.lit(name)))
+    for name, top, bottom, _ in RATES:
+        allowed = {side: F.col(f"{limit}.{name}_{side}") * F.col(bottom) for side in ("high", "low")}
+        out = beyond(F.col(top), allowed["high"], 1) | beyond(F.col(top), allowed["low"], -1)
+        failures.append(F.when((F.col(bottom) > 0) & out, F.lit(name)))
     joined = measured.join(limits, same, "left")
     joined = joined.withColumns({"base_failed": base_failed(), "failed_rules": F.array_compact(F.array(*failures))})
     joined = joined.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
-    return joined.select(*measured.columns, "base_failed", "kept", "failed_rules")
+    return joined.select(*[f"`{c}`" for c in measured.columns], "base_failed", "kept", "failed_rules")
