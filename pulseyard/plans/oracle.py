@@ -52,15 +52,20 @@ WITH_SRV = f"WITH {HB},{SRV}"
 WITH_REG = f"WITH {HB},{REG}"
 WITH_RSRV = f"WITH {HB},{REG},{RSRV}"
 
-CENSUS = f"""
+
+def census(tick: int) -> str:
+    return f"""
 beats AS (SELECT *, coalesce(list_sum([(whole + j) % 129 FOR j IN range(n_servers)]), 0) AS clients FROM hb),
-spans AS (SELECT t, clients, n_servers, (t + 3599) // 3600 * 3600 AS first_tick,
+spans AS (SELECT t, clients, n_servers, (t + {tick - 1}) // {tick} * {tick} AS first_tick,
                  least(coalesce(lead(t) OVER (PARTITION BY id ORDER BY ts, seq), 9223372036854775807),
                        {purge("t", 21600, 7200)}) AS until_t
           FROM beats),
 counted AS (SELECT tick, CAST(sum(clients) AS BIGINT) AS clients, count(*) AS instances,
                    CAST(sum(n_servers) AS BIGINT) AS servers
-            FROM (SELECT *, unnest(range(first_tick, until_t, 3600)) AS tick FROM spans) GROUP BY tick)"""
+            FROM (SELECT *, unnest(range(first_tick, until_t, {tick})) AS tick FROM spans) GROUP BY tick)"""
+
+
+CENSUS = census(3600)
 
 HISTORY = """
 history AS (SELECT 'client' AS metric, tick AS time, clients AS count FROM counted
@@ -298,7 +303,9 @@ def _stat(index: int) -> str:
 
 
 PLOT = f"SELECT metric, idx, time, count AS value, {label(f'({NOW} - time)')} AS label FROM sliced WHERE metric <> 'server'"
-GAPPY = f"{WITH_HB}, gappy AS (SELECT event_type AS metric, t // 600 * 600 AS time, count(*) AS count FROM hb GROUP BY ALL)"
+GAPPY = f"""WITH {HB},{census(600)},{HISTORY},
+gappy AS (SELECT * FROM history
+          UNION ALL SELECT event_type AS metric, t // 600 * 600 AS time, count(*) AS count FROM hb GROUP BY ALL)"""
 LAST = """
 last AS (SELECT coalesce(arg_max(count, idx) FILTER (WHERE metric = 'client'), 0) AS client_count,
                 coalesce(arg_max(count, idx) FILTER (WHERE metric = 'instance'), 0) AS instance_count,

@@ -19,6 +19,7 @@ from ..operators import (
     translations,
     versions,
 )
+from ..session import stored
 from ..sources import readers, writers
 from . import bindings as b
 from . import pages
@@ -52,10 +53,10 @@ def _all_servers(spark, folder) -> DataFrame:
     return servers.withColumn("place", nested.server_place(F.col("seq"), F.col("pos")))
 
 
-def _census(spark, folder, dense=False) -> DataFrame:
+def _census(spark, folder, dense=False, tick=b.CENSUS_TICK) -> DataFrame:
     return timeseries.census_at_ticks(
         b.heartbeats(spark, folder),
-        tick=b.CENSUS_TICK,
+        tick=tick,
         expiry=b.CENSUS_EXPIRY,
         sweep=b.CENSUS_SWEEP,
         dense=dense,
@@ -495,7 +496,9 @@ def retain_last_n(spark, folder):
 
 @query
 def fill_gaps(spark, folder):
-    filled = timeseries.fill_gaps(b.activity(spark, folder), b.ACTIVITY_STEP)
+    census = timeseries.census_to_history(_census(spark, folder, tick=b.ACTIVITY_STEP))
+    history = stored(census.unionByName(b.activity(spark, folder)))  # read three times
+    filled = timeseries.fill_gaps(history, b.ACTIVITY_STEP)
     return filled.select("metric", _seconds("time"), "count")
 
 

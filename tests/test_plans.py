@@ -127,3 +127,21 @@ def test_history_is_put_in_order_by_cell(spark):
 def test_no_window_holds_a_game(spark, name):
     plan = initial_plan(queries()[name](spark, SMALL))
     assert re.search(r"windowspecdefinition\(game#\d+, (?:clientnum#\d+L?, )?_part", plan)
+
+
+def test_gaps_are_filled_in_the_whole_census(spark, tmp_path):
+    """Two heartbeats a day apart: 41 slots of ten minutes each, night hours included, and zeros between them."""
+    events = [(1, 1_704_078_600, 7, "view", 5.0, '{"k": 1}'), (5, 1_704_165_000, 7, "view", 6.0, '{"k": 1}')]
+    schema = "event_id bigint, ts bigint, user_id bigint, event_type string, value double, props string"
+    rows = spark.createDataFrame(events, schema).selectExpr("event_id", "timestamp_seconds(ts) AS ts", "user_id", "event_type", "value", "props")
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    filled = {}
+    for r in queries()["fill_gaps"](spark, str(tmp_path)).collect():
+        filled.setdefault(r.metric, []).append((r["time"], r["count"]))
+    counts = {metric: [count for _, count in sorted(series)] for metric, series in filled.items()}
+    assert counts == {
+        "client": [5] * 41 + [0] * 103 + [6] * 41,
+        "instance": [1] * 41 + [0] * 103 + [1] * 41,
+        "server": [1] * 41 + [0] * 103 + [1] * 41,
+        "view": [1] + [0] * 143 + [1],
+    }
