@@ -7,7 +7,7 @@ left to test; the others are read field by field.
 """
 
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -246,24 +246,36 @@ def _parse_by_shape(raw: DataFrame) -> DataFrame:
     )
 
 
+def _beyond(row: Column, rule: Rule) -> Column:
+    """True where the value breaks its limits; null where there is none."""
+    value = row[rule.name]
+    if rule.name == PORT.name:
+        return mask16(value) < rule.low  # 16 bits are never too many
+    if rule.kind != "text":
+        return (value < rule.low) | (value > rule.high)
+    too_long = F.length(value) > rule.high
+    return too_long if rule.low == 0 else (F.length(value) < rule.low) | too_long
+
+
+def _any_beyond(row: Column, rules: tuple[Rule, ...]) -> Column:
+    return F.coalesce(reduce(or_, (_beyond(row, rule) for rule in rules if rule.low is not None)), F.lit(False))
+
+
 def _limit_errors(row: Column, rules: tuple[Rule, ...], prefix: Column | None = None) -> Column:
     """(field, message) of the limits that a typed row breaks; the types are right already."""
-    found, good = [], []
+    found = []
     for rule in (r for r in rules if r.low is not None):
-        value = row[rule.name]
-        size = F.length(value) if rule.kind == "text" else mask16(value) if rule.name == PORT.name else value
-        inside = F.coalesce(size.between(rule.low, rule.high), F.lit(True))
         path = F.lit(rule.name) if prefix is None else F.concat(prefix, F.lit(f".{rule.name}"))
-        good.append(inside)
-        found.append(F.when(~inside, _error(path, F.lit(rule.message))))
-    return F.when(reduce(and_, good), F.array().cast(ERROR_TYPE)).otherwise(F.array_compact(F.array(*found)))
+        found.append(F.when(_beyond(row, rule), _error(path, F.lit(rule.message))))
+    return F.when(_any_beyond(row, rules), F.array_compact(F.array(*found))).otherwise(F.array().cast(ERROR_TYPE))
 
 
 def _typed_body_errors(typed: Column) -> Column:
     servers = typed["servers"]
     count = F.when(F.size(servers) > MAX_SERVERS, F.array(_error(F.lit("servers"), F.lit(BAD_SERVER_COUNT))))
     each = F.transform(servers, lambda s, i: _limit_errors(s, SERVER_RULES, F.concat(F.lit("servers."), i.cast("string"))))
-    return F.concat(_limit_errors(typed, INSTANCE_RULES), F.coalesce(count, F.array().cast(ERROR_TYPE)), F.flatten(each))
+    each = F.when(F.exists(servers, lambda s: _any_beyond(s, SERVER_RULES)), F.flatten(each)).otherwise(F.array().cast(ERROR_TYPE))
+    return F.concat(_limit_errors(typed, INSTANCE_RULES), F.coalesce(count, F.array().cast(ERROR_TYPE)), each)
 
 
 def _typed_body_server(server: Column, remote_ip: Column) -> Column:
@@ -347,21 +359,27 @@ def validate_heartbeats(
     def either(of_shape: Column, of_fields: Column) -> Column:
         return F.when(known, of_shape).otherwise(of_fields)
 
-    version = F.col("version")
-    sender = F.col(remote_ip)
-    return _computed(
+    judged = _computed(
         repaired,
-        [*kept, received_at],
-        id=either(typed["id"], read["id"]),
-        version=either(F.try_variant_get(version, "$", "string"), cells["version"]["text"]),
-        version_kind=version_class(either(variant_kind(version), cells["version"]["kind"])),
-        uptime=either(typed["uptime"].try_cast("int"), read["uptime"]),
-        servers=either(F.transform(typed["servers"], lambda s: _typed_body_server(s, sender)), F.transform("servers", _typed_server)),
-        ip_address=sender,
-        webfront_url=normalize_webfront(either(typed["webfront_url"], read["webfront_url"]), sender),
-        last_heartbeat=epoch_seconds(F.col(received_at)),
+        repaired.columns,
         errors=F.when(known, _typed_body_errors(typed)).when(F.col("doc").isNull(), not_object).otherwise(errors),
     )
+    version = F.col("version")
+    sender = F.col(remote_ip)
+    # Plain columns above the errors: those not asked for, and all of rows that a filter on the errors drops, are not computed.
+    return judged.select(
+        *kept,
+        received_at,
+        either(typed["id"], read["id"]).alias("id"),
+        either(F.try_variant_get(version, "$", "string"), cells["version"]["text"]).alias("version"),
+        version_class(either(variant_kind(version), cells["version"]["kind"])).alias("version_kind"),
+        either(typed["uptime"].try_cast("int"), read["uptime"]).alias("uptime"),
+        either(F.transform(typed["servers"], lambda s: _typed_body_server(s, sender)), F.transform("servers", _typed_server)).alias("servers"),
+        sender.alias("ip_address"),
+        normalize_webfront(either(typed["webfront_url"], read["webfront_url"]), sender).alias("webfront_url"),
+        epoch_seconds(F.col(received_at)).alias("last_heartbeat"),
+        "errors",
+    )
 
 
 def accepted(validated: DataFrame) -> DataFrame:

@@ -88,10 +88,34 @@ def _quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), text, F.lit('"'))
 
 
-def _server_json(j: Column) -> Column:
-    """JSON text of one server; the first server carries the fault of its heartbeat."""
-    fault = F.when(j == 0, F.pmod("event_id", F.lit(23))).otherwise(0)
-    address = F.pmod(F.col("event_id") + j, F.lit(6))
+ADDRESSES = ("", "x", "10.0.0.4", "127.0.0.1", "8.8.8.8", "fd00::1")
+
+
+def _server_address(j: Column) -> Column:
+    texts = [f',"ip":"{address}"' if address else "" for address in ADDRESSES]
+    return F.coalesce(F.get(F.array(*map(F.lit, texts)), F.pmod(F.col("event_id") + j, F.lit(len(texts))).cast("int")), F.lit(""))
+
+
+def _next_server_json(j: Column) -> Column:
+    """JSON text of a server without faults. What all servers of a heartbeat share is in the columns ``game``, ``whole`` and ``first_id``."""
+    return F.concat(
+        F.lit('{"id":'),
+        (F.col("first_id") + j).cast("string"),
+        _server_address(j),
+        F.lit(',"port":'),
+        (F.lit(28960) + j).cast("string"),
+        F.col("game"),
+        F.lit(',"clientnum":'),
+        F.pmod(F.col("whole") + j, F.lit(129)).cast("int").cast("string"),
+        F.lit(',"maxclientnum":128,"map":"map'),
+        F.pmod(F.col("k") + j, F.lit(12)).cast("string"),
+        F.lit('","gametype":"dm"}'),
+    )
+
+
+def _first_server_json() -> Column:
+    """JSON text of the first server, which carries the fault of its heartbeat."""
+    j, fault = F.lit(0), F.pmod("event_id", F.lit(23))
 
     def field(name: str, value: Column, **faults: str | None) -> Column:
         text = F.concat(F.lit(f',"{name}":'), value)
@@ -101,15 +125,10 @@ def _server_json(j: Column) -> Column:
         return text
 
     server = _server(j)
-    addresses = ["", "x", "10.0.0.4", "127.0.0.1", "8.8.8.8", "fd00::1"]
-    ip = F.lit("")
-    for code, value in enumerate(addresses):
-        if value:
-            ip = F.when(address == code, F.lit(f',"ip":"{value}"')).otherwise(ip)
     return F.concat(
         F.lit("{"),
         F.substring(field("id", server["id"].cast("string"), _3="25525525525565536"), F.lit(2), F.lit(99)),
-        ip,
+        _server_address(j),
         field("port", server["port"].cast("string"), _4="65536", _5="70000"),
         F.when(fault == 14, F.lit(',"version":"' + "v" * 129 + '"')).otherwise(F.lit("")),
         field("game", _quoted(server["game"]), _6='"ninechars"'),
@@ -127,7 +146,9 @@ def heartbeat_bodies(spark: SparkSession, folder: str) -> DataFrame:
     """Raw JSON heartbeats, one per event, with a fault chosen by ``event_id % 23``."""
     fault = F.pmod("event_id", F.lit(23))
     positions = F.when(fault == 22, F.sequence(F.lit(0), F.lit(64))).otherwise(_positions())
-    servers = F.concat(F.lit(',"servers":['), F.array_join(F.transform(positions, _server_json), ","), F.lit("]"))
+    first = F.when(F.size(positions) > 0, F.array(_first_server_json())).otherwise(F.array().cast("array<string>"))
+    texts = F.concat(first, F.transform(F.slice(positions, 2, 64), _next_server_json))
+    servers = F.concat(F.lit(',"servers":['), F.array_join(texts, ","), F.lit("]"))
     uptime = F.floor(F.col("value") * 1000).cast("string")
     uptime = F.when(fault == 1, "-1").when(fault == 2, "2147483648").otherwise(uptime)
     version = F.when(F.pmod("k", F.lit(2)) == 0, F.lit(',"version":1.0')).otherwise(F.lit(',"version":"1.0.0.0"'))
@@ -141,7 +162,15 @@ def heartbeat_bodies(spark: SparkSession, folder: str) -> DataFrame:
         F.when(fault == 19, "").otherwise(servers),
         F.lit("}"),
     )
-    return _events(spark, folder).select(
+    shared = _server(F.lit(0))
+    events = _events(spark, folder).withColumns(
+        {
+            "first_id": F.col("event_id") * 4,
+            "whole": F.floor("value").cast("bigint"),
+            "game": F.concat(F.lit(',"game":'), _quoted(shared["game"]), F.lit(',"hostname":'), _quoted(shared["hostname"])),
+        }
+    )
+    return events.select(
         F.when(fault == 21, "not json").otherwise(body).alias("body"),
         F.lit(REMOTE_IP).alias("remote_ip"),
         F.col("ts").alias("received_at"),
