@@ -40,16 +40,36 @@ def shingle_hashes(words: Column, width: int) -> Column:
     return F.transform(starts, lambda w, i: F.xxhash64(F.lit(width), w, *[F.get(words, i + k) for k in range(1, width)]))
 
 
+def _read(docs: DataFrame, widths: list[int], id_col: str, text_col: str) -> tuple[DataFrame, Column]:
+    """(id, key, words) of every row, and the hashes of its shingles, those of one width after those of another."""
+    identity = (F.col(id_col).alias("id"), _row_key(text_col).alias("key"))
+    # An array of one row keeps the optimizer from copying the splitting of the text into every later use.
+    read = docs.select(*identity, F.explode(F.array(words_of(text_or_empty(text_col)))).alias("words"))
+    return read, F.concat(*[shingle_hashes(F.col("words"), w) for w in widths])
+
+
+def _count_pass(docs: DataFrame, shingles: DataFrame, widths: list[int], id_col: str, text_col: str) -> DataFrame:
+    """(id, key, n_words, null) of every row, and (null, null, null, hash) of every shingle that may be among those given.
+
+    Both come from one splitting of the texts and are written, so that words need not be counted by another scan.
+    A null behind the hashes of a text stands for its row. Places where a shingle stands are one number each.
+    """
+    read, hashes = _read(docs, widths, id_col, text_col)
+    n_words = F.size("words").cast("long").alias("n_words")
+    ended = F.concat(hashes, F.array(F.lit(None).cast("long")))
+    spread = read.select("id", "key", n_words, F.explode(ended).alias("hash"))
+    is_row = F.col("hash").isNull()
+    held = spread.filter(is_row | may_contain(membership_bits(shingles.select("hash")), F.col("hash")))
+    return stored(held.select(*[F.when(is_row, F.col(c)).alias(c) for c in ("id", "key", "n_words")], "hash"))
+
+
 def _hits(docs: DataFrame, shingles: DataFrame, widths: list[int], id_col: str, text_col: str) -> DataFrame:
     """(id, key, words, place, hash) of the shingles of texts that may be among those given.
 
     Texts are split once and hashed once. Only a shingle that passes the Bloom filter becomes a row of its own:
     the test stands directly above the explosion, in generated code that copies nothing before it.
     """
-    identity = (F.col(id_col).alias("id"), _row_key(text_col).alias("key"))
-    # An array of one row keeps the optimizer from copying the splitting of the text into every later use.
-    read = docs.select(*identity, F.explode(F.array(words_of(text_or_empty(text_col)))).alias("words"))
-    hashes = F.concat(*[shingle_hashes(F.col("words"), w) for w in widths])
+    read, hashes = _read(docs, widths, id_col, text_col)
     spread = read.select("id", "key", "words", F.posexplode(hashes).alias("place", "hash"))
     held = spread.filter(may_contain(membership_bits(shingles.select("hash")), F.col("hash")))
     # The hashes of one width follow those of another.
@@ -86,7 +106,7 @@ def _prefixes(shingles: DataFrame, counts: DataFrame, threshold: float) -> DataF
     return ranked.filter((F.col("rank") <= F.col("n_shingles") - F.col("need") + 1) & (F.col("n") > 0)).drop("rank", "n")
 
 
-def scan(
+def rows_and_occurrences(
     docs: DataFrame,
     windows: DataFrame,
     threshold: float = 1.0,
@@ -94,14 +114,14 @@ def scan(
     shingle: int = SHINGLE_WORDS,
     id_col: str = "doc_id",
     text_col: str = "text",
-) -> DataFrame:
-    """(id, key, start, size, phrase) of every occurrence of a window in a text.
+) -> tuple[DataFrame, DataFrame]:
+    """(id, key, n_words) of every row, and (id, key, start, size, phrase) of every occurrence of a window in a text.
 
     ``key`` is the MD5 of the text: it parts rows that share an id. Repeated rows with one text share their
     occurrences. ``start`` counts words from 0.
 
-    The first scan of the texts finds the shingles that windows have (a Bloom filter holds back the rest)
-    and counts them, which orders them by rarity. The second scan takes up the rarest ones only, with the
+    The first scan of the texts counts their words, finds the shingles that windows have (a Bloom filter holds
+    back the rest) and counts them, which orders them by rarity. The second scan takes up the rarest ones only, with the
     few words around each, so that no text is moved; they meet the windows on the hash of the shingle.
     Length and position say where the window must start and that the text is long enough, and the words
     themselves settle it. A hot shingle is a hot key of a join without anything above it that needs its
@@ -111,8 +131,11 @@ def scan(
     widths = [r["width"] for r in shingles.select("width").distinct().orderBy("width").collect()]  # `shingle` values at most
     if not widths:
         nothing = f"id {docs.schema[id_col].dataType.simpleString()}, key binary, start int, size int, phrase string"
-        return docs.sparkSession.createDataFrame([], nothing)
-    counts = _hits(docs, shingles, widths, id_col, text_col).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+        rows = docs.select(F.col(id_col).alias("id"), _row_key(text_col).alias("key"), word_count(text_or_empty(text_col)).alias("n_words"))
+        return rows, docs.sparkSession.createDataFrame([], nothing)
+    counted = _count_pass(docs, shingles, widths, id_col, text_col)
+    rows = counted.filter(F.col("n_words").isNotNull()).select("id", "key", "n_words")
+    counts = counted.filter(F.col("n_words").isNull()).groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
     prefixes = stored(_prefixes(shingles, counts, threshold))
     hits = _hits(docs, prefixes, widths, id_col, text_col)
     first = F.greatest(F.col("place") - (window - 1), F.lit(0))
@@ -126,7 +149,12 @@ def scan(
     same = F.transform(F.sequence(F.lit(1), "n_shingles"), lambda i: F.slice("there", i, F.col("width")) == F.slice("words", i, F.col("width")))
     contained = F.size(F.filter(same, lambda x: x)) >= F.col("need")
     found = bounded.filter((F.col("there") == F.col("words")) | (F.lit(threshold < 1) & contained))
-    return found.select("id", "key", "start", "size", "phrase").distinct()
+    return rows, found.select("id", "key", "start", "size", "phrase").distinct()
+
+
+def scan(docs: DataFrame, windows: DataFrame, *args, **kwargs) -> DataFrame:
+    """(id, key, start, size, phrase) of every occurrence of a window in a text."""
+    return rows_and_occurrences(docs, windows, *args, **kwargs)[1]
 
 
 def hit_words(occurrences: DataFrame) -> DataFrame:
@@ -159,12 +187,12 @@ def decontaminate(
     empty benchmark no hits.
     """
     windows = stored(item_windows(benchmark, window, item_col, text_col))
-    occurrences = stored(scan(docs, windows, threshold, window, shingle, id_col, text_col))
+    rows, occurrences = rows_and_occurrences(docs, windows, threshold, window, shingle, id_col, text_col)
+    occurrences = stored(occurrences)
     named = occurrences.select("id", "key", "phrase").distinct().join(windows, "phrase").select("id", "key", "item").distinct()
     items = named.groupBy("id", "key").agg(F.array_sort(F.collect_list("item")).alias("items"))
     hits = hit_words(occurrences).alias("h").join(items.alias("i"), F.col("h.id").eqNullSafe(F.col("i.id")) & (F.col("h.key") == F.col("i.key")))
     hits = hits.select(F.col("h.id").alias("hit_id"), F.col("h.key").alias("hit_key"), "n_hit", "items")
-    rows = docs.select(F.col(id_col).alias("id"), _row_key(text_col).alias("key"), word_count(text_or_empty(text_col)).alias("n_words"))
     joined = rows.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("key") == F.col("hit_key")), "left")
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))

@@ -94,3 +94,12 @@ def test_awkward_rows(spark):
     assert decontamination.decontaminate(empty(spark), items).collect() == []
     clean = decontamination.decontaminate(docs, items.filter("item_id = 2")).collect()
     assert len(clean) == docs.count() and not any(r["contaminated"] for r in clean)
+
+
+def test_words_are_counted_by_the_first_scan(spark):
+    """No scan of its own counts words; every row has its count, hit or not."""
+    docs = spark.createDataFrame([(1, "One two, THREE"), (1, "One two, THREE"), (2, None), (None, "?! x"), (3, "a b c d")], "doc_id long, text string")
+    items = spark.createDataFrame([(8, "b c")], "item_id long, text string")
+    got = decontamination.decontaminate(docs, items)
+    assert "regexp_count" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r["n_words"], r["n_hit"]) for r in got.collect()) == [(0, 0), (1, 0), (3, 0), (3, 0), (4, 2)]
